@@ -16,7 +16,42 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score_toxicity
+
+    return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import select_quality
+
+    return select_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import find_leaks
+
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_join import jaccard_links
+
+    return jaccard_links(_table(spark, sf_dir, "documents"))
+
+
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embedding_links import link_embeddings
+
+    return link_embeddings(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
+    "op1_ngram_join": op1_ngram_join,
+    "op2_embedding_dedup": op2_embedding_dedup,
+    "op6_decontaminate": op6_decontaminate,
+    "op8_quality_classifier": op8_quality_classifier,
+    "op9_toxicity": op9_toxicity,
     "op10_mix_sources": op10_mix_sources,
 }
 
@@ -62,6 +97,54 @@ SELECT q.doc_id, q.source, q.size, q.source_size, q.target, CAST(coalesce(t.take
 FROM queued q LEFT JOIN taken t ON q.doc_id IS NOT DISTINCT FROM t.doc_id AND q.rank = t.rank AND q.fin = t.fin AND q.size > 0
 """
 
+JACCARD_SQL = r"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, list_filter(string_split_regex(lower(text), '\s+'), lambda w: w <> '') AS words FROM documents
+), classes AS (
+  SELECT words, min(doc_id) AS copy_id, count(*) AS n_copies FROM texts WHERE len(words) > 0 GROUP BY words
+), sets AS (
+  SELECT copy_id, n_copies, list_distinct(list_transform(range(1, greatest(len(words) - 4, 1) + 1),
+    lambda i: array_to_string(words[i : i + 4], ' '))) AS grams FROM classes
+), grams AS (
+  SELECT copy_id, unnest(grams) AS gram FROM sets
+), common AS (
+  SELECT a.copy_id AS u, b.copy_id AS v, count(*) AS both FROM grams a JOIN grams b ON a.gram = b.gram AND a.copy_id <> b.copy_id GROUP BY 1, 2
+), links AS (
+  SELECT u, v, y.n_copies AS other FROM common JOIN sets x ON x.copy_id = u JOIN sets y ON y.copy_id = v
+  WHERE 10 * both >= 8 * (len(x.grams) + len(y.grams) - both)
+), reach AS (
+  SELECT copy_id AS node, copy_id AS seen FROM sets UNION SELECT node, v FROM reach JOIN links ON seen = u
+), parts AS (
+  SELECT node, min(seen) AS class_id FROM reach GROUP BY node
+), degree AS (
+  SELECT u, sum(other) AS links FROM links GROUP BY u
+)
+SELECT t.doc_id, coalesce(c.copy_id, t.doc_id) AS copy_id, coalesce(c.n_copies, 1) AS n_copies,
+  CAST(coalesce(d.links, 0) + coalesce(c.n_copies, 1) - 1 AS BIGINT) AS n_links,
+  coalesce(p.class_id, t.doc_id) AS class_id, t.doc_id = coalesce(p.class_id, t.doc_id) AS kept
+FROM texts t LEFT JOIN classes c ON t.words = c.words LEFT JOIN degree d ON d.u = c.copy_id LEFT JOIN parts p ON p.node = c.copy_id
+"""
+
+LINKS_SQL = r"""
+WITH RECURSIVE vectors AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.9
+), reach AS (
+  SELECT vec_id AS node, vec_id AS seen FROM embeddings UNION SELECT node, v FROM reach JOIN links ON seen = u
+), parts AS (
+  SELECT node, min(seen) AS component_id FROM reach GROUP BY node
+), degree AS (
+  SELECT u, count(*) AS n FROM links GROUP BY u
+)
+SELECT e.vec_id, CAST(coalesce(d.n, 0) AS BIGINT) AS n_links, p.component_id, e.vec_id = p.component_id AS kept
+FROM embeddings e JOIN parts p ON p.node = e.vec_id LEFT JOIN degree d ON d.u = e.vec_id
+"""
+
 ORACLES = {
+    "op1_ngram_join": JACCARD_SQL,
+    "op2_embedding_dedup": LINKS_SQL,
     "op10_mix_sources": MIX_SQL.format(text="text", docs="documents"),
 }
