@@ -108,10 +108,10 @@ WITH RECURSIVE texts AS (
 ), grams AS (
   SELECT copy_id, unnest(grams) AS gram FROM sets
 ), common AS (
-  SELECT a.copy_id AS u, b.copy_id AS v, count(*) AS both FROM grams a JOIN grams b ON a.gram = b.gram AND a.copy_id <> b.copy_id GROUP BY 1, 2
+  SELECT a.copy_id AS u, b.copy_id AS v, count(*) AS n_both FROM grams a JOIN grams b ON a.gram = b.gram AND a.copy_id <> b.copy_id GROUP BY 1, 2
 ), links AS (
   SELECT u, v, y.n_copies AS other FROM common JOIN sets x ON x.copy_id = u JOIN sets y ON y.copy_id = v
-  WHERE 10 * both >= 8 * (len(x.grams) + len(y.grams) - both)
+  WHERE 10 * n_both >= 8 * (len(x.grams) + len(y.grams) - n_both)
 ), reach AS (
   SELECT copy_id AS node, copy_id AS seen FROM sets UNION SELECT node, v FROM reach JOIN links ON seen = u
 ), parts AS (
