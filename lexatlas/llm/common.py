@@ -25,9 +25,13 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def new_shared_path(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage: write the rows as Parquet into the shared folder and read them back."""
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = new_shared_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

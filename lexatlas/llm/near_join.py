@@ -53,7 +53,7 @@ def _signer(trees: int, depth: int, seed: int = 1):
 
 
 def sign_documents(docs: DataFrame, n: int, trees: int, depth: int) -> DataFrame:
-    """(row, doc_id, kh, kl, n_shingles, prefixes): text identity in two longs, and the prefix of each tree. Texts
+    """(row, doc_id, text_hash, kh, kl, n_shingles, prefixes): text identity in two longs, and the prefix of each tree. Texts
     without words have null prefixes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -66,10 +66,10 @@ def sign_documents(docs: DataFrame, n: int, trees: int, depth: int) -> DataFrame
                 keys.append(np.frombuffer(_key(words), np.int64))
                 sizes.append(len(x))
                 found.append(sign(x) if len(x) else None)
-            yield pd.DataFrame({"row": pdf["row"], "doc_id": pdf["doc_id"], "kh": [k[0] for k in keys], "kl": [k[1] for k in keys], "n_shingles": sizes, "prefixes": found})
+            yield pd.DataFrame({"row": pdf["row"], "doc_id": pdf["doc_id"], "text_hash": pdf["text_hash"], "kh": [k[0] for k in keys], "kl": [k[1] for k in keys], "n_shingles": sizes, "prefixes": found})
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    return materialize(rows.mapInPandas(run, "row long, doc_id long, kh long, kl long, n_shingles int, prefixes array<long>"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    return materialize(rows.mapInPandas(run, "row long, doc_id long, text_hash long, kh long, kl long, n_shingles int, prefixes array<long>"))
 
 
 def _shingle_rows(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -159,7 +159,7 @@ def jaccard_links(docs: DataFrame, n: int = 5, threshold: float = 0.8, trees: in
     nodes whose members meet in an earlier tree are skipped; the members of a large node are dealt into blocks, and
     pairs of blocks are separate units, so that pairs are counted where they are verified and never become rows.
 
-    Returns one row per input row: doc_id, copy_id (smallest doc_id with the same words), n_copies, n_links (other
+    Returns one row per input row: doc_id, text_hash (xxhash64 of the text), copy_id (smallest doc_id with the same words), n_copies, n_links (other
     documents of similarity >= threshold, copies included), class_id (smallest doc_id reachable by links), kept (the
     row that stands for its class; of repeated doc_ids, one). Words are runs of non-blanks in lower case; a text of fewer than
     ``n`` words is one shingle; null and wordless texts link with nothing and are kept. A null doc_id counts as larger
@@ -206,10 +206,10 @@ def jaccard_links(docs: DataFrame, n: int = 5, threshold: float = 0.8, trees: in
             F.when(F.col("head").isNull(), F.col("copy_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("head", "node").alias("head"),
         )
     )
-    out = signed.select("row", "doc_id", "kh", "kl", "n_shingles").join(full, ["kh", "kl"], "left")
+    out = signed.select("row", "doc_id", "text_hash", "kh", "kl", "n_shingles").join(full, ["kh", "kl"], "left")
     alone = F.col("n_shingles") == 0
     return out.select(
-        "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("copy_id")).alias("copy_id"), F.when(alone, 1).otherwise(F.col("n_copies")).cast("long").alias("n_copies"),
+        "doc_id", "text_hash", F.when(alone, F.col("doc_id")).otherwise(F.col("copy_id")).alias("copy_id"), F.when(alone, 1).otherwise(F.col("n_copies")).cast("long").alias("n_copies"),
         F.when(alone, 0).otherwise(F.col("n_links")).cast("long").alias("n_links"), F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         (alone | (F.col("row") == F.col("head"))).alias("kept"),
     )

@@ -28,6 +28,31 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import new_shared_path
+    from .warc import archive_pages
+
+    return archive_pages(_table(spark, sf_dir, "pages"), new_shared_path(spark)).drop("archive", "byte_offset")
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tokens import count_tokens
+
+    return count_tokens(_table(spark, sf_dir, "documents"))
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import repair_roles
+
+    return repair_roles(_table(spark, sf_dir, "conversations"))
+
+
+def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract_text
+
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import find_leaks
 
@@ -37,7 +62,7 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_join import jaccard_links
 
-    return jaccard_links(_table(spark, sf_dir, "documents"))
+    return jaccard_links(_table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +74,11 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_embedding_dedup": op2_embedding_dedup,
+    "op3_warc_salvage": op3_warc_salvage,
+    "op4_token_counts": op4_token_counts,
+    "op5_chat_format": op5_chat_format,
     "op6_decontaminate": op6_decontaminate,
+    "op7_html_extract": op7_html_extract,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_toxicity": op9_toxicity,
     "op10_mix_sources": op10_mix_sources,
@@ -143,7 +172,20 @@ SELECT e.vec_id, CAST(coalesce(d.n, 0) AS BIGINT) AS n_links, p.component_id, e.
 FROM embeddings e JOIN parts p ON p.node = e.vec_id LEFT JOIN degree d ON d.u = e.vec_id
 """
 
+WARC_SQL = r"""
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), f AS (
+  SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+FROM f
+"""
+
 ORACLES = {
+    "op3_warc_salvage": WARC_SQL,
     "op1_ngram_join": JACCARD_SQL,
     "op2_embedding_dedup": LINKS_SQL,
     "op10_mix_sources": MIX_SQL.format(text="text", docs="documents"),
