@@ -105,7 +105,8 @@ def payload_prose(pages: DataFrame, least: int = 200) -> DataFrame:
     """P7. (page_id, text): strings of at least ``least`` characters with a blank that scripts carry as JSON or quoted
     literals, joined in order, without markup; source-like or short results are dropped."""
     scripts = F.regexp_extract_all("html", F.lit(r"(?is)<script\b[^>]*>(.*?)</script\s*>"), F.lit(1))
-    literal = F.regexp_extract_all(F.array_join(scripts, "\n"), F.lit(r'("(?:[^"\\]|\\.){200,}")'), F.lit(1))
+    literal = F.regexp_extract_all(F.array_join(scripts, "\n"), F.lit(r'("(?:[^"\\]++|\\.)*+")'), F.lit(1))
+    literal = F.filter(literal, lambda s: F.length(s) >= least)
     plain = F.transform(literal, lambda s: F.get_json_object(F.concat(F.lit('{"a":'), s, F.lit("}")), "$.a"))
     prose = F.filter(F.transform(plain, lambda s: collapse(F.regexp_replace(s, "<[^>]*>", " "))), lambda s: s.isNotNull() & (F.length(s) >= least) & s.contains(" "))
     return pages.select("page_id", F.array_join(prose, " ").alias("text")).where((F.length("text") >= least) & ~source_like(F.col("text")))

@@ -139,7 +139,8 @@ def sitemap_urls(robots: DataFrame, sitemaps: DataFrame, lang: Column | None = N
     nested = level1.where(F.col("loc").rlike(r"(?i)\.xml(\?|$)"))
     own = F.desc(F.col("loc").rlike("(?i)[/_-]" + "en" + "[/_.-]")) if lang is None else F.desc(lang)
     few = nested.withColumn("r", F.row_number().over(W.partitionBy("site").orderBy(own, "m", "n"))).where("r <= 6")
-    level2 = few.join(maps.withColumnRenamed("loc", "url"), few["loc"] == maps["sitemap_url"]).select("site", F.lit(1).alias("level"), F.col("r").alias("a"), maps["n"].alias("b"), "url")
+    inner = maps.select(F.col("sitemap_url").alias("loc"), F.col("n").alias("b"), F.col("loc").alias("url"))
+    level2 = few.join(inner, "loc").select("site", F.lit(1).alias("level"), F.col("r").alias("a"), "b", "url")
     level1 = level1.where(~F.col("loc").rlike(r"(?i)\.xml(\?|$)")).select("site", F.lit(0).alias("level"), F.col("m").alias("a"), F.col("n").alias("b"), F.col("loc").alias("url"))
     every = level1.unionByName(level2).where(~F.col("url").rlike("(?i)" + rules.ASSET_URL))
     return every.withColumn("pos", F.row_number().over(W.partitionBy("site").orderBy("level", "a", "b"))).select("site", "pos", "url")

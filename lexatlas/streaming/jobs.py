@@ -1,4 +1,4 @@
-"""Jobs on streams of scans, pages and payloads. Every keyed state has a time to live."""
+"""Jobs on streams of scans, pages and payloads. Every keyed state has a time to live in event time."""
 
 from __future__ import annotations
 
@@ -19,20 +19,23 @@ def stream_collapse_rescans(scans: DataFrame, gap: str = "10 minutes", late: str
 
 
 def _keyed(stream: DataFrame, keys: list[str], step, out: str, state: str, ttl_ms: int) -> DataFrame:
-    """Fold of each key's rows, batch by batch: step(key, rows in order, state tuple or None) -> (output rows, new state)."""
+    """Fold of each key's rows, batch by batch: step(key, rows in order, state tuple or None) -> (output rows, new state). A
+    state goes once the watermark has passed its key's last row by the time to live."""
     names = [f.split()[0] for f in out.split(", ")]
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         if held.hasTimedOut:
             held.remove()
             return
-        rows, new = step(key, pd.concat(list(batches)), held.get if held.exists else None)
+        pdf = pd.concat(list(batches))
+        rows, new = step(key, pdf, held.get if held.exists else None)
         held.update(new)
-        held.setTimeoutDuration(ttl_ms)
+        held.setTimeoutTimestamp(max(int(pdf["ts"].max().timestamp() * 1000), held.getCurrentWatermarkMs()) + ttl_ms)
         if rows:
             yield pd.DataFrame(rows, columns=names)
 
-    return stream.groupBy(*keys).applyInPandasWithState(run, out, state, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    late = f"{max(1, ttl_ms // 1000)} seconds"  # rows may be as late as a state may be old
+    return stream.withWatermark("ts", late).groupBy(*keys).applyInPandasWithState(run, out, state, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_history(scans: DataFrame, gap_seconds: int = 600, ttl_ms: int = 30 * DAY_MS) -> DataFrame:
