@@ -92,7 +92,10 @@ def parse(source: str) -> Node:
                 continue
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
-                    del stack[i:]
+                    if tag not in BLOCKS and any(x.tag in BLOCKS for x in stack[i + 1 :]):
+                        del stack[i]  # a block outlives the end of inline markup that holds it
+                    else:
+                        del stack[i:]
                     break
                 if stack[i].tag in ("td", "th", "table") and tag not in ("tr", "table", "tbody", "thead", "tfoot"):
                     break
