@@ -75,7 +75,7 @@ def _unit(rows) -> np.ndarray:
 
 
 def link_embeddings(
-    vectors: DataFrame, threshold: float = 0.9, max_sample: int = 20_000, lists: int | None = None, subspaces: int = 8, codes: int = 64, z: float = 4.0,
+    vectors: DataFrame, threshold: float = 0.9, max_sample: int = 20_000, lists: int | None = None, subspaces: int = 8, codes: int = 64, z: float = 3.5,
 ) -> DataFrame:
     """Link the rows of ``vectors`` (vec_id, embedding, ...) whose cosine, in double precision, is >= ``threshold``.
 
@@ -94,7 +94,7 @@ def link_embeddings(
     """
     good = F.col("embedding").isNotNull() & F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("embedding", lambda v: v != 0)
     rows = materialize(
-        vectors.select(F.monotonically_increasing_id().alias("row"), "vec_id", F.when(good, F.col("embedding").cast("array<double>")).alias("embedding")).withColumn("key", F.sha2(F.to_json("embedding"), 256))
+        vectors.select(F.monotonically_increasing_id().alias("row"), "vec_id", F.when(good, F.col("embedding")).alias("embedding")).withColumn("key", F.sha2(F.to_json("embedding"), 256))
     )
     lead = F.min(F.struct(F.col("vec_id").isNull().alias("none"), "vec_id", "row"))
     classes = materialize(
@@ -121,7 +121,7 @@ def link_embeddings(
 
 def _search(classes: DataFrame, threshold, max_sample, lists, subspaces, codes, z) -> DataFrame:
     spark = classes.sparkSession
-    n = classes.count()
+    n, kind = classes.count(), classes.schema["embedding"].dataType.simpleString()
     sample = classes.orderBy(F.xxhash64("key"), "key").limit(max_sample).select("embedding").collect()
     lists = lists or max(1, min(len(sample) // 4, round(n**0.5)))
     shared = spark.sparkContext.broadcast(ProductQuantiser(_unit(r[0] for r in sample), lists, subspaces, codes))
@@ -133,9 +133,9 @@ def _search(classes: DataFrame, threshold, max_sample, lists, subspaces, codes,
                 continue
             x = _unit(pdf["embedding"])
             own, code, error = pq.encode(x)
-            yield pd.DataFrame({"node": pdf["node"], "copies": pdf["copies"], "vector": list(x), "list": own.astype(np.int32), "codes": [c.tobytes() for c in code], "error": error, "probes": [p.astype(np.int32) for p in pq.probes(x, threshold, z)]})
+            yield pd.DataFrame({"node": pdf["node"], "copies": pdf["copies"], "vector": pdf["embedding"], "list": own.astype(np.int32), "codes": [c.tobytes() for c in code], "error": error, "probes": [p.astype(np.int32) for p in pq.probes(x, threshold, z)]})
 
-    coded = materialize(classes.select("node", "copies", "embedding").mapInPandas(encode, "node long, copies long, vector array<double>, list int, codes binary, error double, probes array<int>"))
+    coded = materialize(classes.select("node", "copies", "embedding").mapInPandas(encode, f"node long, copies long, vector {kind}, list int, codes binary, error double, probes array<int>"))
     blocks = lambda d: d.agg(F.ceil(F.count("*") / UNIT_ROWS).cast("int").alias("blocks"))
     searches = coded.select("node", "copies", "vector", F.explode("probes").alias("list"))
     held, asked = blocks(coded.groupBy("list")).withColumnRenamed("blocks", "held"), blocks(searches.groupBy("list")).withColumnRenamed("blocks", "asked")
@@ -152,7 +152,7 @@ def _search(classes: DataFrame, threshold, max_sample, lists, subspaces, codes,
         m, q = np.flatnonzero(~is_query), np.flatnonzero(is_query)
         if not len(m) or not len(q):
             return None
-        x = np.stack(g["vector"])
+        x = _unit(g["vector"])
         code = np.stack([np.frombuffer(bytes(c), np.uint8) for c in g["codes"][m]])
         near = pq.distances(x[q], int(g["list"][0]), code) - g["error"][m].astype(np.float32) <= far
         i, j = np.nonzero(near)
