@@ -690,6 +690,27 @@ def _(spark, d):
     return history.derive_analyses(derived(spark, d, "analyses")).select("analysis_id", "safety_score", "safety_prediction")
 
 
+@query("s4_append_analyses", ORACLES["s6_read_analyses"])
+def _(spark, d):
+    """Appended by day and read back."""
+    from .sources import crawl
+
+    path = f"{_shared(spark)}/analyses"
+    rows = derived(spark, d, "analyses").withColumns({"created_at": F.timestamp_seconds(F.col("created_at") * 86400), "summary": F.lit(""), "title": F.lit("")})
+    crawl.append_analyses(rows, path)
+    return crawl.read_analyses(spark, path).select("analysis_id", "safety_score", "safety_prediction")
+
+
+@query("s7_scan_stream", cte("scans") + " SELECT scan_id, client_id, url, content_hash, CAST(epoch_us(ts) AS BIGINT) AS ts_us FROM scans")
+def _(spark, d):
+    """A scan log as files, read as a stream and written batch by batch."""
+    from .sources import crawl
+
+    path = f"{_shared(spark)}/scans"
+    derived(spark, d, "scans").withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(path)
+    return _drain(crawl.scan_stream(spark, path)).select("scan_id", "client_id", "url", "content_hash", F.unix_micros("ts").alias("ts_us"))
+
+
 @query("w10_recent_history", cte("analyses") + """ SELECT coalesce(client_id, 'legacy') AS client_id, analysis_id, CAST(row_number() OVER (PARTITION BY coalesce(client_id, 'legacy') ORDER BY created_at DESC, analysis_id DESC) AS INTEGER) AS rank
   FROM analyses QUALIFY rank <= 5""")
 def _(spark, d):
