@@ -38,7 +38,7 @@ def _fit(cols: np.ndarray, lens: np.ndarray, extra: np.ndarray, y: np.ndarray, w
     base = float((weight * y).sum() / max(weight.sum(), 1e-12))
     if n == 0 or base in (0.0, 1.0):
         return w_full, np.zeros(extra.shape[1]), 40.0 if n and base else -40.0
-    rows = np.repeat(np.arange(n), lens)
+    rows = np.repeat(np.arange(n, dtype=np.int32), lens)
     seen = np.bincount(cols, weight[rows], 1 << BITS)
     hit = np.bincount(cols, (weight * y)[rows], 1 << BITS)
     expected = seen * base
@@ -65,7 +65,7 @@ def _fit(cols: np.ndarray, lens: np.ndarray, extra: np.ndarray, y: np.ndarray, w
     return w_full, w[k:-1], float(w[-1])
 
 
-def fit_chain(docs: DataFrame, labels: DataFrame, categories: Mapping[str, Sequence[str]] = CATEGORIES, max_rows: int = 8000, folds: int = 3) -> list[tuple[str, np.ndarray, np.ndarray, float]]:
+def fit_chain(docs: DataFrame, labels: DataFrame, categories: Mapping[str, Sequence[str]] = CATEGORIES, max_rows: int = 5000, folds: int = 3) -> list[tuple[str, np.ndarray, np.ndarray, float]]:
     """Fit the links of the chain on at most ``max_rows`` labelled rows, half of each class at most, weighted back to
     the classes' shares. Each link but the last predicts the rows of each fold by a model of the other folds, and
     those out-of-fold probabilities are inputs of the later links; the last link is the toxic label itself."""
@@ -80,19 +80,21 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: Mapping[str, Seque
     def featurize(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             own = [set(plain_words(t)) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "cols": [np.unique(_features(t)) for t in pdf["text"]], "kinds": [[int(bool(s & w)) for w in words] for s in own]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "cols": [np.unique(_features(t)).tobytes() for t in pdf["text"]], "kinds": [[int(bool(s & w)) for w in words] for s in own]})
 
     joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    rows = joined.mapInPandas(featurize, "doc_id long, toxic int, cols array<int>, kinds array<int>").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["toxic"], r["cols"]))
+    rows = joined.mapInPandas(featurize, "doc_id long, toxic int, cols binary, kinds array<int>").collect()
+    rows.sort(key=lambda r: (r["doc_id"], r["toxic"], bytes(r["cols"])))
     y = np.array([r["toxic"] for r in rows], float)
     weight = np.array([total[r["toxic"]] for r in rows], float)
     for v in (0, 1):
         weight[y == v] /= max(1, int((y == v).sum()))
-    lens = np.array([len(r["cols"]) for r in rows], int)
-    cols = np.concatenate([np.asarray(r["cols"], int) for r in rows]) if rows else np.zeros(0, int)
+    lens = np.array([len(r["cols"]) // 4 for r in rows], int)
+    cols = np.frombuffer(b"".join(bytes(r["cols"]) for r in rows), np.int32)
+    often = (np.bincount(cols, minlength=1 << BITS) >= 3)[cols]  # features of one or two rows teach nothing
+    at_row = np.repeat(np.arange(len(rows), dtype=np.int32), lens)[often]
+    cols, lens = cols[often], np.bincount(at_row, minlength=len(rows))
     fold = np.arange(len(rows)) % folds
-    at_row = np.repeat(np.arange(len(rows)), lens)
     extra, chain = np.zeros((len(rows), 0)), []
     for i, name in enumerate([*categories, "toxic"]):
         target = y * np.array([r["kinds"][i] for r in rows], float) if i < len(words) else y
@@ -107,7 +109,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: Mapping[str, Seque
     return chain
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, categories: Mapping[str, Sequence[str]] = CATEGORIES, max_rows: int = 8000, threshold: float = 0.3) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, categories: Mapping[str, Sequence[str]] = CATEGORIES, max_rows: int = 5000, threshold: float = 0.3) -> DataFrame:
     """Score every document of ``docs`` (doc_id, text, ...) by a classifier chain fitted on ``labels`` (doc_id, toxic).
 
     Returns one row per input row: doc_id, text_hash (xxhash64 of the text), p_<category> of each link, p_toxic and
