@@ -219,7 +219,7 @@ def _(spark, d):
 def _(spark, d):
     own = derived(spark, d, "legal_links").withColumn("score", F.lit(0))
     more = derived(spark, d, "sitemap").select(F.floor(F.col("pos") / 10).alias("page_id"), F.col("url").alias("page_url"), "pos", F.col("url").alias("href"), F.lit("").alias("label"), F.lit(1).alias("score"))
-    return links.union_candidates(own, more).select("page_id", F.col("pos").cast("long").alias("pos"), "href", F.col("score").cast("long").alias("score"))
+    return links.union_candidates(own, more).select("page_id", F.col("pos").cast("long").alias("pos"), "href", F.col("score").cast("int").alias("score"))
 
 
 @query("u5_new_vs_known", cte("sitemap", "legal_links") + f" SELECT url FROM sitemap WHERE {sql_canonical('url')} NOT IN (SELECT {sql_canonical('href')} FROM legal_links)")
