@@ -116,13 +116,13 @@ def repair_roles(turns: DataFrame, costs: dict[str, int] | None = None, open_mar
     cost, inserted (empty turns put before it), closing (empty turns put after a conversation's last), rendered. The
     rendered pieces of a conversation, joined in order of place, are its text. Roles are compared without case, common
     aliases are known, other and null roles are unknown; null text is empty; rows with a null conv_id are one
-    conversation; null turns come last; equal turns go by role and text; an empty table gives an empty result; other columns are ignored.
+    conversation; null turns come last; equal turns go by role and a hash of the text; an empty table gives an empty result; other columns are ignored.
     """
     spark = turns.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_dir(spark))
-    order = ["conv_id", F.col("turn").asc_nulls_last(), "role", "text"]
+    order = ["conv_id", F.col("turn").asc_nulls_last(), "role", F.xxhash64("text")]
     spread = turns.select("conv_id", "turn", "role", "text").repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
     held = spread.withColumn("pid", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id()).checkpoint()
     same = lambda a, b: a == b or (a is None and b is None)
