@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import bound_batches, materialize
 from .text import hashes, plain_words
 
 BITS = 18
@@ -133,6 +133,7 @@ def find_leaks(
     (items that repeat id and text: once); an empty table on either side gives an empty result; further columns are
     ignored.
     """
+    bound_batches(docs.sparkSession)
     spark = docs.sparkSession
     schema = "doc_id long, text_hash long, item_id long, lcs double, answer double, cosine double"
     passages = benchmark_passages(benchmark.select("item_id", "text").dropDuplicates(), window, stride)

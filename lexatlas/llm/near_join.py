@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, small_or_shuffled, stream_groups
+from .common import bound_batches, connected_components, materialize, small_or_shuffled, stream_groups
 from .text import blank_words, hashes, mix, ngrams
 
 #: A verification unit holds at most about so many documents and shingles of each side.
@@ -166,6 +166,7 @@ def jaccard_links(docs: DataFrame, n: int = 5, threshold: float = 0.8, trees: in
     than any other. Rows that repeat a doc_id with other words are documents of their own. An empty table gives an
     empty result; other columns are ignored.
     """
+    bound_batches(docs.sparkSession)
     depth = forest_depth(threshold, trees, max_depth, target_recall)
     signed = sign_documents(docs, n, trees, depth)
     known = signed.where("n_shingles > 0")

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, prefix_sum
+from .common import bound_batches, materialize, prefix_sum
 from .text import hashes, ngrams, runs
 
 
@@ -85,6 +85,7 @@ def select_quality(docs: DataFrame, labels: DataFrame, seed: int = 7, **fit) ->
     logs; equal keys go by doc_id (null first) and text; repeated rows are counted one by one; without labels of both
     kinds all are kept; an empty table gives an empty result. Other columns are ignored.
     """
+    bound_batches(docs.sparkSession)
     scored, cut = score_quality(docs, labels, **fit)
     k = scored.where(F.col("log_weight") >= F.lit(cut)).count()
     u = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)

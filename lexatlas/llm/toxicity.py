@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import bound_batches, materialize
 from .text import hashes, plain_words
 
 #: Weak categories of the labelled toxic texts: a text has the category if it is labelled toxic and holds one of the words.
@@ -117,6 +117,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, categories: Mapping[str,
     that no document has are left out, and a doc_id labelled twice is toxic if any label is; without labelled rows, or
     with labels of one class only, every row gets that class's (or no) toxicity. Other columns are ignored.
     """
+    bound_batches(docs.sparkSession)
     chain = fit_chain(docs, labels, categories, max_rows)
     names = [c[0] for c in chain]
     table = np.stack([c[1] for c in chain], 1)
