@@ -208,3 +208,11 @@ def test_entry_points():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_stream_history_equals_batch_fold(spark):
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    rows = events.select(F.col("user_id").cast("string").alias("client_id"), F.concat(F.lit("https://app.example.com/"), "event_type").alias("url"), F.md5(F.floor(F.col("value") / 10).cast("long").cast("string")).alias("content_hash"), "ts")
+    batch = history.collapse_rescans(rows, 12 * 3600).groupBy("client_id", "url", "action").count()
+    stream = queries.QUERIES["t2_stream_history"](spark, SF).groupBy("client_id", "url", "action").count()
+    assert rows_of(batch.collect()) == rows_of(stream.collect())
