@@ -35,9 +35,9 @@ def write_archives(pages: DataFrame, path: str, compress: bool = True, min_paylo
     body = F.coalesce(F.col("html").cast("binary"), F.lit("").cast("binary"))
     rows = pages.select("page_id", F.coalesce(F.regexp_replace("url", r"[\x00-\x20]+", "%20"), F.lit("about:blank")).alias("url"), body.alias("body"))
     rows = rows.withColumn("digest", F.sha2("body", 256)).withColumn("size", F.octet_length("body").cast("long"))
-    per = rows.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"), F.max("size").alias("size"))
+    per = rows.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"), F.max("size").alias("size"), F.sum(F.octet_length("url").cast("long")).alias("urls"))
     per = materialize(per)
-    total, n = per.agg(F.sum(F.col("n") * F.col("size")), F.sum("n")).first()
+    total, n = per.agg(F.sum(F.col("n") * F.col("size") + F.col("urls")), F.sum("n")).first()
     repeats = small_or_shuffled(materialize(per.where((F.col("n") > 1) & (F.col("size") >= min_payload) & F.col("first_id").isNotNull()).select("digest", "first_id")))
     rows = rows.join(repeats, "digest", "left")
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
@@ -71,11 +71,15 @@ def _parse(data: bytes, at: int) -> tuple[dict, int]:
     """The record that starts at ``at``, and its end; BadRecord if a check fails."""
     if not data.startswith(VERSIONS, at):
         raise BadRecord("no version line")
-    stop = data.find(b"\r\n\r\n", at, at + (1 << 16))
-    if stop < 0:
-        raise BadRecord("unended header")
     head: dict[bytes, bytes] = {}
-    for line in data[at:stop].split(b"\r\n")[1:]:
+    begin = at + len(VERSIONS[0])
+    while True:  # lines of any length, up to an empty one; a version line or one that is no field ends a damaged header
+        stop = data.find(b"\r\n", begin)
+        if stop < 0 or data.startswith(VERSIONS, begin):
+            raise BadRecord("unended header")
+        line, begin = data[begin:stop], stop + 2
+        if not line:
+            break
         name, colon, value = line.partition(b":")
         if not colon:
             raise BadRecord("bad header line")
@@ -83,7 +87,6 @@ def _parse(data: bytes, at: int) -> tuple[dict, int]:
     kind = head.get(b"warc-type", b"").decode("latin-1")
     if not kind or not head.get(b"content-length", b"").isdigit():
         raise BadRecord("no type or length")
-    begin = stop + 4
     end = begin + int(head[b"content-length"])
     if data[end : end + 4] != b"\r\n\r\n":
         raise BadRecord("wrong length")
