@@ -15,12 +15,21 @@ TOKEN = re.compile(r"<!--(?s:.*?)(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?")
 BLANKS = re.compile(r"[ \t\n\r\f]+")
 HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
-RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+CSS_NOISE = re.compile(r"/\*(?s:.*?)(?:\*/|\Z)|<!--|-->")
+CSS_MARK = re.compile(r"\"(?:[^\"\\\n]|\\(?s:.))*+\"|'(?:[^'\\\n]|\\(?s:.))*+'|[{};]")
+DRAWING = re.compile(r"<(?:svg|math)(?=[\s/>])", re.I)
 SIMPLE = re.compile(r"[.#]?[A-Za-z_][\w-]*\Z")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template".split())
-UNSEEN = frozenset("head script style template title noscript iframe noembed noframes object audio video canvas datalist param meta link base map svg math".split())
+UNSEEN = frozenset("head script style template title noscript iframe noembed noframes object audio video canvas datalist param meta link base map".split())
+#: Parts of drawings and formulas that are not shown where they stand.
+UNDRAWN = {
+    "svg": frozenset("defs desc metadata symbol clippath mask pattern marker lineargradient radialgradient filter".split()),
+    "math": frozenset("annotation annotation-xml".split()),
+}
+#: Media queries that hold on every screen.
+SCREENS = frozenset(["", "all", "screen", "only all", "only screen", "not print", "not speech"])
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul caption".split()
@@ -62,6 +71,7 @@ def parse(source: str) -> Node:
     Elements nested deeper than DEPTH become siblings."""
     root = Node("html", {})
     stack = [root]
+    drawn = DRAWING.search(source) is not None
 
     def close_to(tags: tuple[str, ...], stops: tuple[str, ...]) -> None:
         """Close the outermost of the tags that are open within the stops."""
@@ -84,6 +94,10 @@ def parse(source: str) -> Node:
         at = m.end()
         end, tag, attrs = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
         if not tag:
+            if drawn and source.startswith("<![CDATA[", m.start()) and any(x.tag in UNDRAWN for x in stack):
+                close = source.find("]]>", m.start())
+                stack[-1].children.append(source[m.start() + 9 : close if close >= 0 else n])
+                at = close + 3 if close >= 0 else n
             continue
         tag = tag.lower()
         if end:
@@ -114,24 +128,60 @@ def parse(source: str) -> Node:
                 stack[-1].children.append(made)
                 stack.append(made)
         node = Node(tag, _attributes(attrs) if attrs and not attrs.isspace() else {})
+        if drawn and any(tag in UNDRAWN[x.tag] for x in stack if x.tag in UNDRAWN):
+            node.attrs["hidden"] = ""
         stack[-1].children.append(node)
+        if drawn and attrs and attrs.endswith("/") and (tag in UNDRAWN or any(x.tag in UNDRAWN for x in stack)):
+            continue
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(source, at)
             text = source[at : close.start() if close else n]
             node.children.append(html.unescape(text) if tag in ("textarea", "title") else text)
             at = close.end() if close else n
         elif tag not in VOID and len(stack) < DEPTH:
-            stack.append(node)  # a slash does not close an element of HTML
+            stack.append(node)  # a slash does not close an element of HTML, but one of svg or math
     return root
 
 
+def _on_screens(query: str) -> bool:
+    """Does a media query hold on every screen?"""
+    return any(" ".join(x.lower().split()) in SCREENS for x in query.split(","))
+
+
+def style_rules(css: str) -> Iterator[tuple[str, str]]:
+    """(selectors, declarations) of the rules that hold on every screen: those outside other blocks, and in blocks of
+    @media with a query that says so, of @layer and of @supports without "not"."""
+    css, at = CSS_NOISE.sub(" ", css), 0
+    blocks: list[tuple[str | None, list[str], bool]] = []  # selectors (None: an at-rule), declarations, do rules in it hold
+    for m in CSS_MARK.finditer(css):
+        if len(m[0]) > 1:
+            continue  # a string
+        text, at = css[at : m.start()].strip(), m.end()
+        if m[0] == "{":
+            holds = not blocks or blocks[-1][0] is None and blocks[-1][2]
+            if text.startswith("@"):
+                rule = re.match(r"@([\w-]*)((?s:.*))", text)
+                name, query = rule[1].lower(), rule[2]
+                blocks.append((None, [], holds and (name == "media" and _on_screens(query) or name == "layer" or name == "supports" and not re.search(r"\bnot\b", query, re.I))))
+            else:
+                blocks.append((text, [], holds))
+        elif blocks:
+            blocks[-1][1].append(text)
+            if m[0] == "}":
+                names, body, holds = blocks.pop()
+                if names is not None and holds:
+                    yield names, ";".join(body)
+
+
 def hidden_selectors(node: Node, out: set[str]) -> set[str]:
-    """Simple selectors (tag, .class, #id) that style sheets of the page hide."""
+    """Simple selectors (tag, .class, #id) that style sheets of the page hide on every screen."""
     todo = [node]
     while todo:
         x = todo.pop()
         if x.tag == "style":
-            for names, body in RULE.findall("".join(c for c in x.children if isinstance(c, str))):
+            if not _on_screens(x.attrs.get("media", "")):
+                continue
+            for names, body in style_rules("".join(c for c in x.children if isinstance(c, str))):
                 if HIDING.search(body):
                     out |= {s for s in (s.strip() for s in names.split(",")) if SIMPLE.match(s)}
         else:
@@ -207,6 +257,10 @@ def _flow(node: Node, out: Layout, hides: set[str]) -> None:
         elif tag == "input":
             if child.attrs.get("type", "").lower() in ("submit", "button", "reset"):
                 out.text(child.attrs.get("value", ""))
+        elif tag == "text":  # a label of a drawing, placed by itself
+            out.text(" ")
+            _flow(child, out, hides)
+            out.text(" ")
         elif tag not in BLOCKS:
             _flow(child, out, hides)
         else:
@@ -269,7 +323,10 @@ def _table(node: Node, hides: set[str]) -> list[str]:
         elif x.tag == "tr":
             row: list[list[str]] = []
             for cell in x.children:
-                if isinstance(cell, Node) and visible(cell, hides):
+                if isinstance(cell, str):
+                    if cell.strip():
+                        lines.append(BLANKS.sub(" ", cell).strip())
+                elif visible(cell, hides):
                     row.append([y for y in _lines(cell, hides) if y])
                     span = cell.attrs.get("colspan", "")
                     row += [[]] * (min(int(span), 100) - 1 if span.isdigit() and len(span) < 9 and int(span) > 1 else 0)
@@ -302,7 +359,8 @@ def extract_text(pages: DataFrame) -> DataFrame:
     """Visible text of ``pages`` (page_id, html, ...) laid out as a reader sees it.
 
     A tree builder supplies implied tags; scripts, styles, heads and elements that attributes or simple style rules
-    hide are left out; blocks stand on lines of their own, paragraphs apart by blank lines, list items behind marks,
+    hide on every screen are left out (rules for print, or for screens of some sizes only, hide nothing); text in
+    drawings and formulas is read; blocks stand on lines of their own, paragraphs apart by blank lines, list items behind marks,
     and table cells in aligned columns. Pages are independent rows: one pass, no shuffle.
 
     Returns one row per input row: page_id, text, n_chars, n_lines. Null and empty html give an empty text; tags that
