@@ -156,9 +156,9 @@ def legal_document_gate(docs: DataFrame, phrases: list[str] = rules.LEGAL_PHRASE
 
 def verify_evidence(findings: DataFrame, docs: DataFrame) -> DataFrame:
     """J7. (doc_id, rule_id, verbatim, uses): is the quote a substring of the document, and how often does the document
-    use it. Short quotes are joined to texts by key; the repeat count is an aggregate joined back."""
+    use it. The repeat count is an aggregate joined back; then quotes are joined to texts by key, so texts are shuffled once."""
     uses = findings.groupBy("doc_id", "evidence").agg(F.count("*").alias("uses"))
-    df = findings.select("doc_id", "rule_id", "evidence").join(docs.select("doc_id", "text"), "doc_id", "left").join(uses, ["doc_id", "evidence"])
+    df = findings.select("doc_id", "rule_id", "evidence").join(uses, ["doc_id", "evidence"]).join(docs.select("doc_id", "text"), "doc_id", "left")
     return df.select("doc_id", "rule_id", F.coalesce(F.contains("text", "evidence"), F.lit(False)).alias("verbatim"), "uses")
 
 

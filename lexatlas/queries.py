@@ -614,6 +614,12 @@ def _(spark, d):
     return risk.verify_evidence(derived(spark, d, "quotes"), read(spark, d, "documents"))
 
 
+@query("j7_verify_own_quotes", cte("own_quotes") + " SELECT q.doc_id, q.rule_id, contains(d.text, q.evidence) AS verbatim, count(*) OVER (PARTITION BY q.doc_id, q.evidence) AS uses FROM own_quotes q JOIN documents d ON d.doc_id = q.doc_id")
+def _(spark, d):
+    """The first sentence of every document, which is a true quote, and that of the next document."""
+    return risk.verify_evidence(derived(spark, d, "own_quotes"), read(spark, d, "documents"))
+
+
 @query("a8_pack_findings", cte("policy_docs") + f", {FINDINGS_SQL} SELECT doc_id, count(*) AS n, string_agg(title, '|' ORDER BY rule_id) AS titles FROM findings GROUP BY 1")
 def _(spark, d):
     packed = risk.pack_findings(findings_of(spark, d))
@@ -872,6 +878,12 @@ def _(spark, d):
     return model.answer_quotes(answers, read(spark, d, "documents")).select("id", "evidence_quote")
 
 
+@query("l8_answer_own_quotes", cte("own_quotes") + " SELECT q.doc_id * 1000 + q.rule_id AS id, CASE WHEN contains(d.text, q.evidence) THEN q.evidence END AS evidence_quote FROM own_quotes q JOIN documents d ON d.doc_id = q.doc_id")
+def _(spark, d):
+    answers = derived(spark, d, "own_quotes").select((F.col("doc_id") * 1000 + F.col("rule_id")).alias("id"), "doc_id", F.lit("yes").alias("answer"), F.col("evidence").alias("quote"))
+    return model.answer_quotes(answers, read(spark, d, "documents")).select("id", "evidence_quote")
+
+
 @query("j9_reuse_translations", cte("blocks") + " SELECT b.doc_id, b.block_no AS chunk_no FROM blocks b WHERE NOT EXISTS (SELECT 1 FROM blocks c WHERE c.text = b.text AND c.doc_id % 2 = 0)")
 def _(spark, d):
     chunks = derived(spark, d, "blocks").select("doc_id", F.col("block_no").alias("chunk_no"), F.col("text").alias("chunk"), F.lit("en").alias("target"))

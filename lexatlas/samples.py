@@ -90,6 +90,10 @@ DERIVED: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT CAST(floor(doc_id / 5) AS BIGINT) AS doc_id, CAST(doc_id % 5 AS INT) AS block_no, text FROM {documents}"""),
     "quotes": (("benchmark", "documents"), """
         SELECT d.doc_id, b.item_id AS rule_id, b.text AS evidence FROM {documents} d JOIN {benchmark} b ON d.doc_id % 40 = b.item_id % 40"""),
+    "own_quotes": (("documents",), """
+        SELECT doc_id, CAST(0 AS BIGINT) AS rule_id, split_part(text, '. ', 1) AS evidence FROM {documents}
+        UNION ALL SELECT d.doc_id, CAST(1 AS BIGINT) AS rule_id, n.evidence FROM {documents} d
+        JOIN (SELECT doc_id - 1 AS doc_id, split_part(text, '. ', 1) AS evidence FROM {documents}) n ON n.doc_id = d.doc_id"""),
     "provider_log": (("events",), """
         SELECT event_id AS id, 'p' || CAST(user_id % 3 AS STRING) AS provider, CASE event_id % 6 WHEN 0 THEN 'Error 429: slow down' WHEN 1 THEN 'Rate limit reached' WHEN 2 THEN 'model_not_found: x'
           WHEN 3 THEN 'You do not have access' WHEN 4 THEN NULL ELSE 'connection reset' END AS message FROM {events}"""),
