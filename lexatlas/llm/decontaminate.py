@@ -14,6 +14,8 @@ from .common import bound_batches, materialize
 from .text import hashes, plain_words
 
 BITS = 18
+#: Least weight of a word: those that every document holds still count, so that tables of copies are searched.
+FLOOR = 0.1
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
 
@@ -141,7 +143,7 @@ def find_leaks(
     if not n_items:
         return spark.createDataFrame([], schema)
     df, total = document_frequencies(docs)
-    idf = np.log((1 + total) / (1 + df)).astype(np.float32)
+    idf = np.maximum(np.log((1 + total) / (1 + df)), FLOOR).astype(np.float32)
     live, vectors = randomised_svd(passages, idf, rank)
     at = np.full(1 << BITS, len(live), np.int32)
     at[live] = np.arange(len(live))
