@@ -308,6 +308,19 @@ def _(spark, d):
     return pages.rendered_text_choice(own, t.where("page_id % 2 = 0").select("page_id", F.repeat(F.lit("shown "), 60).alias("rendered_text")))
 
 
+@query("p6_rendered_text_whole", f"""WITH t AS (SELECT page_id * 2 + n.i AS page_id, CASE WHEN n.i = 0 THEN {sql_strip(BODY)} END AS s, CASE WHEN page_id % 3 = 1 THEN repeat('payload ', 40) END AS p,
+    CASE WHEN page_id % 2 = 0 THEN repeat('shown ', 60) END AS r FROM pages CROSS JOIN (SELECT 0 AS i UNION ALL SELECT 1) n)
+  SELECT page_id, CASE WHEN length(s) >= 200 THEN s WHEN length(p) >= 200 THEN p WHEN r IS NOT NULL THEN trim(r) ELSE s END AS text,
+    CASE WHEN length(s) >= 200 THEN 'static' WHEN length(p) >= 200 THEN 'payload' WHEN r IS NOT NULL THEN 'rendered' ELSE 'static' END AS chosen FROM t""")
+def _(spark, d):
+    """Every page twice: with its whole main text, and without static text."""
+    t = pages.main_text(read(spark, d, "pages"))
+    both = t.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("i"), "page_id", "text")
+    own = both.select((F.col("page_id") * 2 + F.col("i")).alias("page_id"), F.when(F.col("i") == 0, F.col("text")).alias("static_text"), F.when(F.col("page_id") % 3 == 1, F.repeat(F.lit("payload "), 40)).alias("payload_text"))
+    shown = both.where("page_id % 2 = 0").select((F.col("page_id") * 2 + F.col("i")).alias("page_id"), F.repeat(F.lit("shown "), 60).alias("rendered_text"))
+    return pages.rendered_text_choice(own, shown)
+
+
 @query("p7_payload_prose", f"""SELECT page_id, t AS text FROM (SELECT page_id, {sql_collapse("replace(replace(" + sql_strip(BODY) + ", '\"', ' '), chr(92), ' ')")} AS t FROM pages) WHERE length(t) >= 200 AND contains(t, ' ')""")
 def _(spark, d):
     """Pages whose text lies in a script only, as a literal."""
