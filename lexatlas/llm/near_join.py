@@ -1,4 +1,4 @@
-"""N-gram Jaccard join by a MinHash LSH forest with exact verification."""
+"""N-gram Jaccard join by fixed bands of MinHash values ("trees" with one "prefix" each) with exact verification."""
 
 from __future__ import annotations
 
@@ -18,8 +18,8 @@ UNIT_DOCS, UNIT_SHINGLES = 256, 1_000_000
 
 
 def forest_depth(threshold: float, trees: int, max_depth: int, target_recall: float) -> int:
-    """Length to which matched prefixes are shortened: from ``max_depth`` down, until a pair at the threshold shares a
-    prefix in one of the trees with at least the target probability."""
+    """Length of the bands, the same for all documents: the largest up to ``max_depth`` at which a pair at the threshold
+    shares one of the bands with at least the target probability."""
     depth = max_depth
     while depth > 1 and 1 - (1 - threshold**depth) ** trees < target_recall:
         depth -= 1
@@ -153,9 +153,9 @@ def verify_units(units: DataFrame, threshold: float) -> DataFrame:
 def jaccard_links(docs: DataFrame, n: int = 5, threshold: float = 0.8, trees: int = 20, max_depth: int = 10, target_recall: float = 0.995) -> DataFrame:
     """Similarity join of ``docs`` (doc_id, text, ...) with itself on sets of ``n``-word shingles.
 
-    Every document has a prefix in each of ``trees`` tries of MinHash signatures; the prefix length is shortened from
-    ``max_depth`` until a pair at the threshold meets with probability ``target_recall``. Documents below a common
-    node are candidates, and their Jaccard similarity is computed exactly. Copies are one class and are verified once;
+    Every document has one prefix (a hash of all its values) in each of ``trees`` fixed bands of MinHash values, of the
+    length that forest_depth gives for ``max_depth`` and ``target_recall``. Documents with an equal band share a
+    node and are candidates, and their Jaccard similarity is computed exactly. Copies are one class and are verified once;
     nodes whose members meet in an earlier tree are skipped; the members of a large node are dealt into blocks, and
     pairs of blocks are separate units, so that pairs are counted where they are verified and never become rows.
 
