@@ -13,19 +13,19 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int], budget_share: float, max_repeats: int) -> DataFrame:
-    """(source, source_size, rank, before, target) from (source, size) rows.
+    """(source, source_size, longest, rank, before, target) from (source, size) rows.
 
     Sources in code-point order (null last) take ``weights`` in turn and share ``budget_share`` of all sizes; a target
     stops at ``max_repeats`` times the source's size and the excess is shared anew by weight until none is above.
     Each round is one aggregate over the sources; only its two sums come to the driver.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("one", F.lit(1))
+    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.max("size").alias("longest")).withColumn("one", F.lit(1))
     order = [F.col("source").asc_nulls_last()]
     ranked = prefix_sum(prefix_sum(per, order, "one", "rank"), order, "source_size", "upto")
     cycle = F.array(*(F.lit(int(w)) for w in weights))
     ranked = materialize(
         ranked.select(
-            "source", "source_size", "rank", (F.col("upto") - F.col("source_size")).alias("before"),
+            "source", "source_size", "longest", "rank", (F.col("upto") - F.col("source_size")).alias("before"),
             F.element_at(cycle, ((F.col("rank") - 1) % len(weights) + 1).cast("int")).alias("weight"),
             (F.col("source_size") * max_repeats).alias("most"),
         )
@@ -42,18 +42,45 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], budget_share: float
     return materialize(ranked.withColumn("target", target))
 
 
+def cut_queue(entries: DataFrame, budget: int, slack: int) -> tuple[DataFrame, DataFrame]:
+    """Cut the merged queue of ``entries`` (row, rank, tie, size, end, target; size > 0) at ``budget`` words.
+
+    A word that its source sends as the k-th has the virtual finish time k / target, and the mix is the first ``budget``
+    words of all sources by finish time and rank. Entries are range-sorted by the time of their last word and summed up:
+    those that end while the sum and one open entry of each source (``slack`` words in all) stay within the budget are
+    taken whole, those that start after the entry that fills it are not taken, and only the words of the few between are
+    sorted one by one. Returns (row, words) of the words taken, and the sorted entries with ``mix_end``, the words of
+    entries up to each.
+    """
+    timed = entries.withColumn("finish", F.col("end") / F.col("target"))
+    ordered = prefix_sum(timed, ["finish", "rank", "tie", "end", "row"], "size", "mix_end")
+    sure, last = ordered.agg(F.max(F.when(F.col("mix_end") + slack <= budget, F.col("finish"))), F.min(F.when(F.col("mix_end") >= budget, F.col("finish")))).first()
+    sure, last = -1.0 if sure is None else sure, float("inf") if last is None else last
+    whole = ordered.where(F.col("finish") <= sure)
+    rest = budget - (whole.agg(F.sum("size")).first()[0] or 0)
+    first = F.col("end") - F.col("size")
+    between = ordered.where((F.col("finish") > sure) & ((first + 1) / F.col("target") <= last))
+    runs = between.select("row", "rank", "target", "end", F.explode(F.sequence(first, F.col("end") - 1, F.lit(4096).cast("long"))).alias("k"))
+    words = runs.select("row", "rank", "target", F.explode(F.sequence("k", F.least(F.col("k") + 4095, F.col("end") - 1))).alias("k"))
+    words = words.select("row", "rank", ((F.col("k") + 1) / F.col("target")).alias("time"), F.lit(1).cast("long").alias("one"))
+    placed = prefix_sum(words, ["time", "rank"], "one", "place").where(F.col("place") <= rest)
+    part = placed.groupBy("row").agg(F.sum("one").alias("words"))
+    return whole.select("row", F.col("size").alias("words")).unionByName(part), ordered
+
+
 def mix_sources(
     docs: DataFrame, weights: Sequence[int] = (5, 2, 1), budget_share: float = 1.5, max_repeats: int = 2, seed: str = "mix",
 ) -> DataFrame:
     """Mix the sources of ``docs`` (doc_id, text, source, ...) to their target weights.
 
     Each source's documents stand in a queue, shuffled by an MD5 of doc_id and ``seed`` and passed ``max_repeats``
-    times. A document's virtual finish time is the source's words up to its end divided by the source's target, so all
-    sources reach their targets at time 1. The queue entries are range-sorted over all sources by finish time and cut
-    at the total budget; the entry that a source is serving at the cut gives its first words up to the target.
+    times. A word's virtual finish time is the source's words up to it divided by the source's target; a document's is
+    that of its last word. The entries of all sources are range-sorted by finish time and the mix is cut at the total
+    budget (``cut_queue``): what a document gives is what stands before the cut, so sources meet their targets because
+    the order is fair, within a word or two.
 
     Returns one row per input row: doc_id, source, size, source_size, target, taken, finish (of the first pass) and
-    position (words of the mix before the first pass; null if nothing is taken). Words are runs of anything but blank,
+    position (words of the entries that finish before its first pass; null if nothing is taken). Words are runs of anything but blank,
     tab, LF, VT, FF, CR. Null or empty texts have size 0 and are never taken; a null doc_id is shuffled as an empty
     string; repeated rows are documents of their own, in an order that does not change their taken words as a set;
     an empty table gives an empty result. Other columns of the input are ignored.
@@ -61,23 +88,21 @@ def mix_sources(
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     base = materialize(docs.select("doc_id", "source", size.alias("size")).withColumn("row", F.monotonically_increasing_id()))
     targets = source_targets(base, weights, budget_share, max_repeats)
+    total, slack = targets.agg(F.sum("source_size"), F.sum("longest")).first()
     key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":" + seed)))
     mine = base.join(
         small_or_shuffled(targets.select(F.col("source").alias("t_source"), "rank", "source_size", "before", "target")),
         F.col("source").eqNullSafe(F.col("t_source")),
     ).drop("t_source").withColumn("key", key)
     queued = prefix_sum(mine, ["rank", "key", "doc_id", "size", "row"], "size", "upto")
-    passes = queued.withColumn("end", F.col("upto") - F.col("before")).withColumn("pass", F.explode(F.array(*(F.lit(i) for i in range(max_repeats)))))
-    end = F.col("end") + F.col("pass") * F.col("source_size")
-    entries = passes.withColumn("finish", F.when(F.col("target") > 0, end / F.col("target"))).withColumn(
-        "words", F.greatest(F.lit(0), F.least(F.col("size"), F.floor("target") - (end - F.col("size")))).cast("long")
-    )
-    mixed = prefix_sum(entries.where("words > 0"), ["finish", "rank", "pass", "key", "doc_id", "size", "row"], "words", "mix_end")
-    taken = mixed.groupBy("row").agg(
-        F.sum("words").alias("taken"), F.min(F.when(F.col("pass") == 0, F.col("mix_end") - F.col("words"))).alias("position")
-    )
+    passes = queued.where((F.col("size") > 0) & (F.col("target") > 0)).withColumn("tie", F.explode(F.array(*(F.lit(i) for i in range(max_repeats)))))
+    end = F.col("upto") - F.col("before") + F.col("tie") * F.col("source_size")
+    entries = passes.select("row", "rank", "tie", "size", end.alias("end"), "target")
+    taken, ordered = cut_queue(entries, int(min(budget_share, max_repeats) * (total or 0)), slack or 0)
+    firsts = ordered.where("tie = 0").select("row", F.lit(0).cast("long").alias("words"), (F.col("mix_end") - F.col("size")).alias("at"))
+    given = taken.withColumn("at", F.lit(None).cast("long")).unionByName(firsts).groupBy("row").agg(F.sum("words").alias("taken"), F.min("at").alias("at"))
     first = F.when(F.col("target") > 0, (F.col("upto") - F.col("before")) / F.col("target"))
     return (
-        queued.join(materialize(taken).withColumnRenamed("row", "t_row"), F.col("row") == F.col("t_row"), "left")
-        .select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), first.alias("finish"), "position")
+        queued.join(materialize(given).withColumnRenamed("row", "t_row"), F.col("row") == F.col("t_row"), "left")
+        .select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), first.alias("finish"), F.when(F.col("taken") > 0, F.col("at")).alias("position"))
     )

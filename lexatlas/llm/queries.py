@@ -111,19 +111,20 @@ WITH RECURSIVE base AS (
       ROWS UNBOUNDED PRECEDING) AS BIGINT) AS fin
   FROM base b JOIN targets t ON b.source IS NOT DISTINCT FROM t.source
 ), entries AS (
-  SELECT queued.*, p.pass, (fin + p.pass * source_size) / target AS finish,
-    CAST(greatest(0, least(size, floor(target) - (fin + p.pass * source_size - size))) AS BIGINT) AS words
-  FROM queued, (VALUES (0), (1)) p(pass) WHERE target > 0
+  SELECT queued.*, p.pass, fin + p.pass * source_size AS upto FROM queued, (VALUES (0), (1)) p(pass) WHERE target > 0 AND size > 0
+), sorted AS (
+  SELECT *, CAST(sum(size) OVER (ORDER BY upto / target, rank, pass, upto ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS at FROM entries
+), words AS (
+  SELECT doc_id, rank, fin, target, unnest(range(upto - size + 1, upto + 1)) AS k FROM entries
 ), mixed AS (
-  SELECT *, CAST(sum(words) OVER (ORDER BY finish, rank, pass, key, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS mix_end
-  FROM entries WHERE words > 0
+  SELECT doc_id, rank, fin, row_number() OVER (ORDER BY k / target, rank) AS place FROM words
 ), taken AS (
-  SELECT doc_id, rank, fin, CAST(sum(words) AS BIGINT) AS taken, min(CASE WHEN pass = 0 THEN mix_end - words END) AS position
-  FROM mixed GROUP BY doc_id, rank, fin
+  SELECT doc_id, rank, fin, count(*) AS taken FROM mixed WHERE place <= (SELECT CAST(floor(1.5::DOUBLE * sum(size)) AS BIGINT) FROM base) GROUP BY ALL
 )
 SELECT q.doc_id, q.source, q.size, q.source_size, q.target, CAST(coalesce(t.taken, 0) AS BIGINT) AS taken,
-  CASE WHEN q.target > 0 THEN q.fin / q.target END AS finish, t.position
+  CASE WHEN q.target > 0 THEN q.fin / q.target END AS finish, CASE WHEN t.taken > 0 THEN s.at END AS position
 FROM queued q LEFT JOIN taken t ON q.doc_id IS NOT DISTINCT FROM t.doc_id AND q.rank = t.rank AND q.fin = t.fin AND q.size > 0
+LEFT JOIN sorted s ON s.pass = 0 AND q.doc_id IS NOT DISTINCT FROM s.doc_id AND q.rank = s.rank AND q.fin = s.fin AND q.size > 0
 """
 
 JACCARD_SQL = r"""
