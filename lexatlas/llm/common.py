@@ -26,7 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def bound_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Hand texts to Python in Arrow batches of at most ``rows`` rows, so that a worker holds few of them at once."""
+    """Set the session to hand texts to Python in Arrow batches of at most ``rows`` rows, so that a worker holds few of
+    them at once. For programs that own their session (the registered queries, the pipeline); no operator calls it."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))

@@ -10,12 +10,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, materialize
+from .common import materialize
 from .text import hashes, plain_words
 
 BITS = 18
 #: Least weight of a word: those that every document holds still count, so that tables of copies are searched.
 FLOOR = 0.1
+LEAK = "item_id long, lcs double, answer double, cosine double"
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
 
@@ -116,10 +117,32 @@ def _masks(words: list[int]) -> dict[int, int]:
     return out
 
 
-def find_leaks(
+def leak_finders(
     docs: DataFrame, benchmark: DataFrame, rank: int = 200, window: int = 32, stride: int = 16, cosine: float = 0.3,
     share: float = 0.4, lcs: float = 0.6, answer: float = 0.5, block: int = 4000,
-) -> DataFrame:
+) -> Iterator:
+    """Pandas UDFs from text to the leaks of one block of the benchmark each: arrays of (item_id, lcs, answer, cosine)."""
+    passages = benchmark_passages(benchmark.select("item_id", "text").dropDuplicates(), window, stride)
+    n_items = passages.count()
+    if not n_items:
+        return
+    df, total = document_frequencies(docs)
+    idf = np.maximum(np.log((1 + total) / (1 + df)), FLOOR).astype(np.float32)
+    live, vectors = randomised_svd(passages, idf, rank)
+    at = np.full(1 << BITS, len(live), np.int32)
+    at[live] = np.arange(len(live))
+    vectors = np.vstack([vectors, np.zeros((1, vectors.shape[1]))]).astype(np.float32)
+    n_blocks = -(-n_items // block)
+    numbered = materialize(passages.select("item_id", "item_hash").distinct().withColumn("block", F.pmod(F.xxhash64("item_hash"), F.lit(n_blocks))))
+    texts = benchmark.select("item_id", "text", F.xxhash64("text").alias("item_hash")).dropDuplicates()
+    for i in range(n_blocks):
+        own = texts.join(numbered.where(F.col("block") == i).drop("block"), ["item_id", "item_hash"]).select("item_id", "text").collect()
+        own.sort(key=lambda r: (r["item_id"] is None, r["item_id"] or 0, r["text"]))
+        if own:
+            yield _finder(docs.sparkSession, [(r["item_id"], r["text"]) for r in own], at, idf, vectors, window, stride, cosine, share, lcs, answer)
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, **search) -> DataFrame:
     """Benchmark items (item_id, text) that documents (doc_id, text, ...) hold, verbatim or paraphrased.
 
     Every document is cut into windows of words. Windows are TF-IDF vectors (frequencies over the whole corpus) in the
@@ -128,39 +151,32 @@ def find_leaks(
     subsequence of at least ``lcs`` of the item's words and of ``answer`` of its answer (the words of its last
     sentence), or at least the mean of ``lcs`` and 1 without the answer. Windows are not projected
     if the benchmark's words in them have less squared weight than ``share`` of the lightest passage. The benchmark is taken in blocks of
-    ``block`` passages, each a pass over the documents, so what is broadcast is bounded.
+    ``block`` passages, each a pass over the documents, so what is broadcast is bounded. Parameters: those of ``leak_finders``.
 
     Returns one row per document row and item leaked: doc_id, text_hash, item_id, lcs, answer, cosine (the best of its
     windows). Null and wordless texts on either side match nothing; repeated rows and items are reported each by itself
     (items that repeat id and text: once); an empty table on either side gives an empty result; further columns are
     ignored.
     """
-    bound_batches(docs.sparkSession)
-    spark = docs.sparkSession
-    schema = "doc_id long, text_hash long, item_id long, lcs double, answer double, cosine double"
-    passages = benchmark_passages(benchmark.select("item_id", "text").dropDuplicates(), window, stride)
-    n_items = passages.count()
-    if not n_items:
-        return spark.createDataFrame([], schema)
-    df, total = document_frequencies(docs)
-    idf = np.maximum(np.log((1 + total) / (1 + df)), FLOOR).astype(np.float32)
-    live, vectors = randomised_svd(passages, idf, rank)
-    at = np.full(1 << BITS, len(live), np.int32)
-    at[live] = np.arange(len(live))
-    vectors = np.vstack([vectors, np.zeros((1, vectors.shape[1]))]).astype(np.float32)
-    numbered = passages.select("item_id", "item_hash").distinct().withColumn("block", F.pmod(F.xxhash64("item_hash"), F.lit(-(-n_items // block))))
-    numbered = materialize(numbered)
-    texts = benchmark.select("item_id", "text", F.xxhash64("text").alias("item_hash")).dropDuplicates()
-    out = None
-    for i in range(-(-n_items // block)):
-        own = texts.join(numbered.where(F.col("block") == i).drop("block"), ["item_id", "item_hash"]).select("item_id", "text").collect()
-        own.sort(key=lambda r: (r["item_id"] is None, r["item_id"] or 0, r["text"]))
-        found = _search(docs, [(r["item_id"], r["text"]) for r in own], at, idf, vectors, window, stride, cosine, share, lcs, answer, schema)
-        out = found if out is None else out.unionByName(found)
-    return out
+    found = None
+    for finder in leak_finders(docs, benchmark, **search):
+        part = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(finder("text")).alias("leak")).select("doc_id", "text_hash", "leak.*")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return docs.sparkSession.createDataFrame([], f"doc_id long, text_hash long, {LEAK}")
+    return found
 
 
-def _search(docs, own, at, idf, vectors, window, stride, cosine, share, lcs, answer, schema) -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, **search) -> DataFrame:
+    """The rows of ``docs`` without a leak (``find_leaks``), with all their columns; a pass per block of the benchmark,
+    each over what the one before has left, and no join."""
+    kept = None
+    for finder in leak_finders(docs, benchmark, **search):
+        kept = (docs if kept is None else materialize(kept)).where(F.size(finder("text")) == 0)
+    return docs if kept is None else kept
+
+
+def _finder(spark, own, at, idf, vectors, window, stride, cosine, share, lcs, answer):
     items, spots, sides, squares = [], [], [], np.inf
     for item, text in own:
         words = hashes(plain_words(text)).tolist()
@@ -175,15 +191,17 @@ def _search(docs, own, at, idf, vectors, window, stride, cosine, share, lcs, ans
     side = np.stack(sides)
     length = np.maximum(np.linalg.norm(side, axis=1, keepdims=True), 1e-9)
     side = np.hstack([side / length, length])
-    shared = docs.sparkSession.sparkContext.broadcast((items, spots, side, at, idf, vectors))
+    shared = spark.sparkContext.broadcast((items, spots, side, at, idf, vectors))
 
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         items, spots, side, at, idf, vectors = shared.value
         none, side, full = len(vectors) - 1, side[:, :-1], side[:, -1]
         least = share * squares
-        for pdf in batches:
+        for texts in batches:
             rows = []
-            for doc, key, text in zip(pdf["doc_id"], pdf["text_hash"], pdf["text"], strict=True):
+            for text in texts:
+                leaks: list[dict] = []
+                rows.append(leaks)
                 h = hashes(plain_words(text))
                 if not len(h):
                     continue
@@ -221,7 +239,7 @@ def _search(docs, own, at, idf, vectors, window, stride, cosine, share, lcs, ans
                         said = _lcs([m for w in region if (m := last.get(w))], n_last) / n_last
                         if (said >= answer or common >= (1 + lcs) / 2) and (n not in best or common > best[n][0]):
                             best[n] = (common, said, float(near[i, j]))
-                rows += [(doc, key, items[n][0], *v) for n, v in sorted(best.items())]
-            yield pd.DataFrame(rows, columns=["doc_id", "text_hash", "item_id", "lcs", "answer", "cosine"])
+                leaks += [dict(zip(("item_id", "lcs", "answer", "cosine"), (items[n][0], *v), strict=True)) for n, v in sorted(best.items())]
+            yield pd.Series(rows, dtype=object)
 
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInPandas(search, schema)
+    return F.pandas_udf(search, f"array<struct<{LEAK.replace(' ', ':')}>>".replace(",:", ","))
