@@ -9,12 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexatlas.llm.common import materialize, small_or_shuffled
-from lexatlas.llm.decontaminate import find_leaks
+from lexatlas.llm.common import bound_batches, materialize, small_or_shuffled
+from lexatlas.llm.decontaminate import drop_leaks
 from lexatlas.llm.mixing import mix_sources
 from lexatlas.llm.near_join import jaccard_links
-from lexatlas.llm.quality import select_quality
-from lexatlas.llm.toxicity import score_toxicity
+from lexatlas.llm.quality import keep_quality
+from lexatlas.llm.toxicity import keep_harmless
 
 
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
@@ -27,12 +27,12 @@ def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain does not call toxic."""
-    return _without(docs, score_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("toxic"))
+    return keep_harmless(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the importance resampling keeps."""
-    return _without(docs, select_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("not kept"))
+    return keep_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark text."""
-    return _without(docs, find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    return drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,6 +70,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
