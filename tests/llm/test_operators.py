@@ -73,8 +73,12 @@ def test_near_join_odd_rows(spark):
 
 
 def test_forest_depth():
-    assert near_join.forest_depth(0.8, 20, 10, 0.995) == 6
-    assert near_join.forest_depth(0.8, 1, 10, 0.9999) == 1
+    assert near_join.forest_depth(0.8, 20, 0.995) == 6
+    assert near_join.forest_depth(0.8, 20, 0.9995) == 5
+    assert near_join.forest_depth(0.8, 1, 0.9999) == 1
+    close, far = {0.97: 10_000}, {0.97: 100, 0.81: 100}
+    assert near_join.forest_depth(0.8, 20, 0.9995, close) == 8  # close links need no short prefixes
+    assert near_join.forest_depth(0.8, 20, 0.9995, far) < 7 and near_join.forest_depth(0.8, 20, 0.9995, {}) == 5
 
 
 def test_connected_components(spark):
