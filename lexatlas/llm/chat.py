@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -71,6 +73,7 @@ class Repair:
     def __init__(self, costs: dict[str, int] | None = None):
         costs = COSTS | (costs or {})
         self.choices, self.closing = _choices(costs), _closing(costs)
+        self.run = lru_cache(1 << 14)(self.matrix)
 
     def forward(self, roles: list[int], start: list[int]) -> list[list[int]]:
         """Least cost of each state before and after each turn."""
@@ -87,6 +90,13 @@ class Repair:
     def end_state(self, costs: list[int]) -> int:
         return min(range(4), key=lambda s: (costs[s] + self.closing[s][0], s))
 
+    def extend(self, matrix: list[list[int]] | None, roles: list[int]) -> list[list[int]]:
+        """Matrix of a run of turns behind those of ``matrix``, sixteen turns at a time."""
+        for i in range(0, len(roles), 16):
+            more = self.run(tuple(roles[i : i + 16]))
+            matrix = more if matrix is None else [[min(row[u] + more[u][t] for u in range(4)) for t in range(4)] for row in matrix]
+        return matrix
+
     def path(self, roles: list[int], entry: int, exit: int | None) -> list[tuple[int, int, str, tuple[int, ...]]]:
         """(new state, cost, action, inserted before) of each turn, from ``entry`` to ``exit`` (None: a cheapest ending)."""
         rows = self.forward(roles, [0 if s == entry else INF for s in range(4)])
@@ -100,6 +110,48 @@ class Repair:
         return out[::-1]
 
 
+class Plans:
+    """What is done to the turns of a conversation, by its roles alone; those of short ones are remembered.
+
+    A plan is (new roles, actions, costs, inserted, closing, texts put before, texts put after), a list each."""
+
+    def __init__(self, fix: Repair, open_mark: str, close_mark: str):
+        self.fix, self.open, self.close = fix, open_mark, close_mark
+        self.known = lru_cache(1 << 14)(self.make)
+
+    def __call__(self, roles: tuple[int, ...], *ends) -> tuple[list, ...]:
+        return self.known(roles, *ends) if len(roles) <= 32 else self.make(roles, *ends)
+
+    def make(self, roles: tuple[int, ...], entry: int, exit: int | None, goes_on: bool) -> tuple[list, ...]:
+        out: tuple[list, ...] = tuple([] for _ in range(7))
+        state, turn = entry, lambda t: f"{self.open}{NAMES[t]}\n"
+        for new, cost, action, inserted in self.fix.path(list(roles), entry, exit):
+            before = "\n\n" if action == "merge" else f"{self.close}\n" * (state != START) + "".join(f"{turn(t)}{self.close}\n" for t in inserted) + turn(new)
+            for column, value in zip(out, (NAMES[new], action, cost, ",".join(NAMES[t] for t in inserted), "", before, ""), strict=True):
+                column.append(value)
+            state = new
+        if not goes_on:
+            after = self.fix.closing[state][1]
+            out[4][-1], out[6][-1] = ",".join(NAMES[t] for t in after), f"{self.close}\n" + "".join(f"{turn(t)}{self.close}\n" for t in after)
+        return out
+
+
+def role_codes(roles: pd.Series) -> list[int]:
+    place, names = pd.factorize(roles, use_na_sentinel=False)
+    return np.array([role_of(None if pd.isna(r) else r) for r in names], int)[place].tolist()
+
+
+def _conversation(pdf: pd.DataFrame, i: int) -> tuple[int, bool]:
+    return int(pdf["conv_id"].iloc[i]), bool(pdf["no_conv_id"].iloc[i])
+
+
+def _segments(pdf: pd.DataFrame) -> list[tuple[int, int]]:
+    """Bounds of the runs of rows of one conversation."""
+    ids, none = pdf["conv_id"].to_numpy(), pdf["no_conv_id"].to_numpy()
+    cuts = [0, *(np.flatnonzero((ids[1:] != ids[:-1]) | (none[1:] != none[:-1])) + 1).tolist(), len(pdf)]
+    return list(zip(cuts[:-1], cuts[1:], strict=True))
+
+
 def repair_roles(turns: DataFrame, costs: dict[str, int] | None = None, open_mark: str = "<|im_start|>", close_mark: str = "<|im_end|>") -> DataFrame:
     """Repair the roles of conversations (conv_id, turn, role, text) at least cost and render them.
 
@@ -125,61 +177,72 @@ def repair_roles(turns: DataFrame, costs: dict[str, int] | None = None, open_mar
     order = ["conv_id", F.col("turn").asc_nulls_last(), "role", F.xxhash64("text")]
     spread = turns.select("conv_id", "turn", "role", "text").repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
     held = spread.withColumn("pid", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id()).checkpoint()
-    same = lambda a, b: a == b or (a is None and b is None)
-
-    def ids(pdf: pd.DataFrame) -> list[int | None]:
-        return [None if pd.isna(c) else int(c) for c in pdf["conv_id"]]
+    whole = lambda c: [F.coalesce(c, F.lit(0).cast("long")).alias(c), F.col(c).isNull().alias(f"no_{c}")]
 
     def borders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fix, first, last, pid = Repair(costs), None, None, None
         for pdf in batches:
-            for p, c, r in zip(pdf["pid"], ids(pdf), pdf["role"], strict=True):
-                pid = p
-                if last is None or not same(last[0], c):
+            if not len(pdf):
+                continue
+            pid, codes = pdf["pid"].iloc[0], role_codes(pdf["role"])
+            for i, (a, b) in enumerate(segments := _segments(pdf)):
+                conv = _conversation(pdf, a)
+                if last is not None and last[0] == conv:
+                    last = (conv, fix.extend(last[1], codes[a:b]))
+                elif first is None or i == len(segments) - 1:  # those between a task's first and last do not matter
                     first = first or last
-                    last = (c, [[0 if s == t else INF for t in range(4)] for s in range(4)])
-                table = fix.choices[role_of(r)]
-                last = (c, [[min(row[s] + table[s][t][0] for s in range(4)) for t in range(4)] for row in last[1]])
+                    last = (conv, fix.extend(None, codes[a:b]))
         if last is not None:
             parts = [last] if first is None else [first, last]
-            yield pd.DataFrame({"pid": pid, "conv_id": pd.array([p[0] for p in parts], "Int64"), "matrix": [sum(p[1], []) for p in parts]})
+            yield pd.DataFrame({"pid": pid, "conv_id": pd.array([None if p[0][1] else p[0][0] for p in parts], "Int64"), "matrix": [sum(p[1], []) for p in parts]})
 
-    found = held.select("pid", "conv_id", "role").mapInPandas(borders, "pid int, conv_id long, matrix array<long>").collect()
+    found = held.select("pid", *whole("conv_id"), "role").mapInPandas(borders, "pid int, conv_id long, matrix array<long>").collect()
     found.sort(key=lambda r: r["pid"])  # stable: the first conversation of a partition stays before its last
     known = _join_borders(found, Repair(costs))
 
     def render(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fix, rows, current, opened = Repair(costs), [], None, False
-
-        def finish(final: bool) -> pd.DataFrame:
-            """Repair the conversation in ``rows``; ``final``: it is the last of its task."""
-            pid, conv = rows[0][0], rows[0][1]
-            entry, exit, goes_on = known.get((pid, not opened, final), (START, None, False))
-            steps = fix.path([role_of(r[3]) for r in rows], entry, exit)
-            out, state = [], entry
-            for i, (row, (new, cost, action, inserted)) in enumerate(zip(rows, steps, strict=True)):
-                after = fix.closing[new][1] if i == len(rows) - 1 and not goes_on else ()
-                empty = "".join(f"{open_mark}{NAMES[t]}\n{close_mark}\n" for t in inserted)
-                text = "\n\n" + row[4] if action == "merge" else f"{close_mark}\n" * (state != START) + f"{empty}{open_mark}{NAMES[new]}\n{row[4]}"
-                if i == len(rows) - 1 and not goes_on:
-                    text += f"{close_mark}\n" + "".join(f"{open_mark}{NAMES[t]}\n{close_mark}\n" for t in after)
-                out.append((conv, row[5], row[2], row[3], NAMES[new], action, cost, ",".join(NAMES[t] for t in inserted), ",".join(NAMES[t] for t in after), text))
-                state = new
-            frame = pd.DataFrame(out, columns=["conv_id", "place", "turn", "role", "new_role", "action", "cost", "inserted", "closing", "rendered"])
-            return frame.astype({"conv_id": "Int64", "turn": "Int64"})
+        plan = Plans(Repair(costs), open_mark, close_mark)
+        rest: list[pd.DataFrame] = []  # the rows so far of the conversation that goes on
+        opened = False
+
+        def finish(pdf: pd.DataFrame, cuts: list[tuple[int, int]], final: bool) -> pd.DataFrame:
+            """Repair the conversations of whole ``cuts``; ``final``: the last is the last of its task."""
+            nonlocal opened
+            codes, texts, pid = role_codes(pdf["role"]), pdf["text"].tolist(), int(pdf["pid"].iloc[0])
+            columns: list[list] = [[] for _ in range(6)]
+            for a, b in cuts:
+                steps = plan(tuple(codes[a:b]), *known.get((pid, not opened, final and b == len(pdf)), (START, None, False)))
+                opened = True
+                for column, own in zip(columns[:5], steps[:5], strict=True):
+                    column += own
+                columns[5] += [x + (t or "") + y for x, t, y in zip(steps[5], texts[a:b], steps[6], strict=True)]
+            out = dict(zip(("new_role", "action", "cost", "inserted", "closing", "rendered"), columns, strict=True))
+            ids = {c: pdf[c].astype("Int64").mask(pdf[f"no_{c}"]).reset_index(drop=True) for c in ("conv_id", "turn")}
+            return pd.DataFrame(ids | {"place": pdf["place"].to_numpy(), "role": pdf["role"].to_numpy()} | out)
 
         for pdf in batches:
-            for p, c, t, r, text, place in zip(pdf["pid"], ids(pdf), pdf["turn"], pdf["role"], pdf["text"], pdf["place"], strict=True):
-                if rows and not same(current, c):
-                    yield finish(False)
-                    rows, opened = [], True
-                current = c
-                rows.append((p, c, None if pd.isna(t) else int(t), r, text or "", place))
-        if rows:
-            yield finish(True)
+            if not len(pdf):
+                continue
+            if rest and _conversation(rest[-1], 0) == _conversation(pdf, 0):
+                a, b = _segments(pdf)[0]
+                rest.append(pdf[:b])
+                pdf = pdf[b:].reset_index(drop=True)
+                if not len(pdf):
+                    continue
+            if rest:
+                own = pd.concat(rest, ignore_index=True)
+                yield finish(own, [(0, len(own))], False)
+            *cuts, (a, b) = _segments(pdf)
+            if cuts:
+                yield finish(pdf[:a], cuts, False)
+            rest = [pdf[a:].reset_index(drop=True)]
+        if rest:
+            own = pd.concat(rest, ignore_index=True)
+            yield finish(own, [(0, len(own))], True)
 
     schema = "conv_id long, place long, turn long, role string, new_role string, action string, cost int, inserted string, closing string, rendered string"
-    return held.select("pid", "conv_id", "turn", "role", "text", "place").mapInPandas(render, schema)
+    names = [f.split()[0] for f in schema.split(", ")]
+    return held.select("pid", *whole("conv_id"), *whole("turn"), "role", "text", "place").mapInPandas(lambda x: (f[names] for f in render(x)), schema)
 
 
 def _join_borders(found: list, fix: Repair) -> dict[tuple[int, bool, bool], tuple[int, int | None, bool]]:

@@ -69,19 +69,25 @@ class ProductQuantiser:
         return np.sqrt(total)
 
 
+def _bits(places: np.ndarray, n: int) -> bytes:
+    out = np.zeros(n, bool)
+    out[places] = True
+    return np.packbits(out).tobytes()
+
+
 def _unit(rows) -> np.ndarray:
     x = np.stack([np.asarray(v, np.float64) for v in rows])
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def link_embeddings(
-    vectors: DataFrame, threshold: float = 0.9, max_sample: int = 20_000, lists: int | None = None, subspaces: int = 8, codes: int = 64, z: float = 3.5,
+    vectors: DataFrame, threshold: float = 0.9, max_sample: int = 20_000, lists: int | None = None, subspaces: int = 8, codes: int = 64, z: float = 2.0,
 ) -> DataFrame:
     """Link the rows of ``vectors`` (vec_id, embedding, ...) whose cosine, in double precision, is >= ``threshold``.
 
     The index is fitted on at most ``max_sample`` vectors in hash order and holds all: each vector lies in one of
     about sqrt(n) coarse lists as a residual code with its reconstruction error. Each vector searches the lists that a
-    neighbour may lie in, compares table-lookup distances there, less the member's error, with the threshold's distance
+    neighbour may lie in (a pair is found if either finds the other), compares table-lookup distances there, less the member's error, with the threshold's distance
     (which loses no pair of the probed lists), and the rest by exact cosine. Equal embeddings are one class. A list's
     members and searchers are dealt into units of bounded size; units return link counts and a spanning forest, never
     pairs.
@@ -133,17 +139,18 @@ def _search(classes: DataFrame, threshold, max_sample, lists, subspaces, codes,
                 continue
             x = _unit(pdf["embedding"])
             own, code, error = pq.encode(x)
-            yield pd.DataFrame({"node": pdf["node"], "copies": pdf["copies"], "vector": pdf["embedding"], "list": own.astype(np.int32), "codes": [c.tobytes() for c in code], "error": error, "probes": [p.astype(np.int32) for p in pq.probes(x, threshold, z)]})
+            probes = pq.probes(x, threshold, z)
+            yield pd.DataFrame({"node": pdf["node"], "copies": pdf["copies"], "vector": pdf["embedding"], "list": own.astype(np.int32), "codes": [c.tobytes() for c in code], "error": error, "probes": [p.astype(np.int32) for p in probes], "asks": [_bits(p, len(pq.centres)) for p in probes]})
 
-    coded = materialize(classes.select("node", "copies", "embedding").mapInPandas(encode, f"node long, copies long, vector {kind}, list int, codes binary, error double, probes array<int>"))
+    coded = materialize(classes.select("node", "copies", "embedding").mapInPandas(encode, f"node long, copies long, vector {kind}, list int, codes binary, error double, probes array<int>, asks binary"))
     blocks = lambda d: d.agg(F.ceil(F.count("*") / UNIT_ROWS).cast("int").alias("blocks"))
-    searches = coded.select("node", "copies", "vector", F.explode("probes").alias("list"))
+    searches = coded.select("node", "copies", "vector", F.col("list").alias("home"), F.explode("probes").alias("list"))
     held, asked = blocks(coded.groupBy("list")).withColumnRenamed("blocks", "held"), blocks(searches.groupBy("list")).withColumnRenamed("blocks", "asked")
     grid = small_or_shuffled(materialize(held.join(asked, "list")))
     at = lambda n: F.expr(f"cast(pmod(xxhash64(node), {n}) as int)")
     every = lambda n: F.explode(F.expr(f"sequence(0, {n} - 1)"))
-    members = coded.join(grid, "list").select("list", at("held").alias("mb"), every("asked").alias("qb"), "node", "copies", "vector", "codes", "error")
-    searchers = searches.join(grid, "list").select("list", every("held").alias("mb"), at("asked").alias("qb"), "node", "copies", "vector", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("error"))
+    members = coded.join(grid, "list").select("list", at("held").alias("mb"), every("asked").alias("qb"), "node", "copies", "vector", F.col("list").alias("home"), "codes", "error", "asks")
+    searchers = searches.join(grid, "list").select("list", every("held").alias("mb"), at("asked").alias("qb"), "node", "copies", "vector", "home", *(F.lit(None).cast(k).alias(c) for c, k in (("codes", "binary"), ("error", "double"), ("asks", "binary"))))
     far = np.sqrt(2 - 2 * threshold) + 1e-5
 
     def search(g: dict[str, np.ndarray]) -> pd.DataFrame | None:
@@ -161,11 +168,15 @@ def _search(classes: DataFrame, threshold, max_sample, lists, subspaces, codes,
             exact[lo : lo + 65536] = np.einsum("ij,ij->i", x[q[i[lo : lo + 65536]]], x[m[j[lo : lo + 65536]]])
         node = g["node"].astype(np.int64)
         ok = (exact >= threshold) & (node[q[i]] != node[m[j]])
-        i, j = q[i[ok]], m[j[ok]]
+        i, j = i[ok], j[ok]
         if not len(i):
             return None
-        links = np.zeros(len(node), np.int64)
-        np.add.at(links, i, g["copies"][j].astype(np.int64))
+        home = g["home"].astype(np.int64)[q[i]]
+        asks = np.stack([np.frombuffer(bytes(c), np.uint8) for c in g["asks"][m]])[j, home >> 3] >> (7 - (home & 7)) & 1
+        i, j = q[i], m[j]
+        links, copies = np.zeros(len(node), np.int64), g["copies"].astype(np.int64)
+        np.add.at(links, i, copies[j])
+        np.add.at(links, j, np.where(asks, 0, copies[i]))  # a member that does not search the searcher's list counts the link here
         nodes, place = np.unique(node, return_inverse=True)
         root = np.arange(len(nodes))
         while True:
