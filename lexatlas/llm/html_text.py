@@ -11,10 +11,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"<!--(?s:.*?)(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>")
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+MARK = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?")
 BLANKS = re.compile(r"[ \t\n\r\f]+")
-HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 CSS_NOISE = re.compile(r"/\*(?s:.*?)(?:\*/|\Z)|<!--|-->")
 CSS_MARK = re.compile(r"\"(?:[^\"\\\n]|\\(?s:.))*+\"|'(?:[^'\\\n]|\\(?s:.))*+'|[{};]")
 DRAWING = re.compile(r"<(?:svg|math)(?=[\s/>])", re.I)
@@ -47,11 +47,37 @@ IMPLIED = {
     "tfoot": (("tbody", "thead", "tfoot", "caption", "tr"), ("table",)), "body": (("head",), ()),
 }
 PARENTS = {"td": ("tr",), "th": ("tr",), "tr": ("tbody", "thead", "tfoot", "table")}
-DEPTH = 256
+#: Elements nested deeper become siblings, as in browsers.
+DEPTH = 512
 #: A table column is padded up to this width; longer cells are kept whole.
 COLUMN = 60
 
 
+class Tags:
+    """Where tags end, found in time in proportion to the page however many of them never do."""
+
+    def __init__(self, source: str):
+        self.source, self.last = source, source.rfind(">")
+        self.ends = {'"': source.rfind('"'), "'": source.rfind("'")}
+        self.lost: set[int] = set()  # ends of quoted values behind which no tag ends outside quotes
+
+    def end(self, at: int) -> int:
+        """Index of the '>' that ends the tag whose name ends at ``at``: outside quotes, else the next; -1 if none."""
+        if at > self.last:
+            return -1
+        seen, place = [], at
+        while place <= self.last and place not in self.lost:
+            m = MARK.search(self.source, place)
+            if m[0] == ">":
+                return m.start()
+            if m.start() == self.ends[m[0]]:
+                break  # the value never ends
+            place = self.source.index(m[0], m.end()) + 1
+            seen.append(place)
+        self.lost.update(seen)
+        return self.source.find(">", at)
+
+
 class Node:
     __slots__ = ("tag", "attrs", "children")
 
@@ -68,53 +94,81 @@ def _attributes(text: str) -> dict[str, str]:
 
 def parse(source: str) -> Node:
     """Element tree of a page: void elements, raw text, implied end tags and table parts, misnested and missing tags.
-    Elements nested deeper than DEPTH become siblings."""
+    Elements nested deeper than DEPTH become siblings; a '<' that starts no tag, or one that never ends, is text."""
     root = Node("html", {})
     stack = [root]
-    drawn = DRAWING.search(source) is not None
+    opened: dict[str, int] = {}  # how many elements of each tag are open
+    drawn, tags = DRAWING.search(source) is not None, Tags(source)
 
-    def close_to(tags: tuple[str, ...], stops: tuple[str, ...]) -> None:
+    def push(node: Node) -> None:
+        stack.append(node)
+        opened[node.tag] = opened.get(node.tag, 0) + 1
+
+    def cut(i: int, j: int | None = None) -> None:
+        for x in stack[i:j]:
+            opened[x.tag] -= 1
+        del stack[i:j]
+
+    def close_to(names: tuple[str, ...], stops: tuple[str, ...]) -> None:
         """Close the outermost of the tags that are open within the stops."""
+        if not any(opened.get(t) for t in names):
+            return
         found = None
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in stops:
                 break
-            found = i if stack[i].tag in tags else found
+            found = i if stack[i].tag in names else found
         if found:
-            del stack[found:]
+            cut(found)
 
     at, n = 0, len(source)
     while at < n:
-        m = TOKEN.search(source, at)
-        if m is None or m.start() > at:
-            text = source[at : m.start() if m else n]
+        begin, name, close = source.find("<", at), None, -1
+        while begin >= 0:  # the next tag, comment or declaration
+            if source.startswith("<!--", begin):
+                close = source.find("-->", begin + 4)
+                close = n - 1 if close < 0 else close + 2
+                break
+            if begin > tags.last:
+                begin = -1
+                break
+            if source.startswith(("<!", "<?"), begin):
+                close = source.index(">", begin)
+                break
+            if name := NAME.match(source, begin):
+                close = tags.end(name.end())
+                break
+            begin = source.find("<", begin + 1)
+        if begin < 0 or begin > at:
+            text = source[at : begin if begin >= 0 else n]
             stack[-1].children.append(html.unescape(text) if "&" in text else text)
-            if m is None:
+            if begin < 0:
                 break
-        at = m.end()
-        end, tag, attrs = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if not tag:
-            if drawn and source.startswith("<![CDATA[", m.start()) and any(x.tag in UNDRAWN for x in stack):
-                close = source.find("]]>", m.start())
-                stack[-1].children.append(source[m.start() + 9 : close if close >= 0 else n])
+        at = close + 1
+        if name is None:
+            if drawn and source.startswith("<![CDATA[", begin) and any(x.tag in UNDRAWN for x in stack):
+                close = source.find("]]>", begin)
+                stack[-1].children.append(source[begin + 9 : close if close >= 0 else n])
                 at = close + 3 if close >= 0 else n
             continue
+        end, tag, attrs = name[1], name[2], source[name.end() : close]
         tag = tag.lower()
         if end:
-            if tag == "p" and all(x.tag != "p" for x in stack):
-                stack[-1].children.append(Node("p", {}))
+            if not opened.get(tag):
+                if tag == "p":
+                    stack[-1].children.append(Node("p", {}))
                 continue
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
                     if tag not in BLOCKS and any(x.tag in BLOCKS for x in stack[i + 1 :]):
-                        del stack[i]  # a block outlives the end of inline markup that holds it
+                        cut(i, i + 1)  # a block outlives the end of inline markup that holds it
                     else:
-                        del stack[i:]
+                        cut(i)
                     break
                 if stack[i].tag in ("td", "th", "table") and tag not in ("tr", "table", "tbody", "thead", "tfoot"):
                     break
             continue
-        if tag in ("html", "body") and (tag == "html" or any(x.tag == "body" for x in stack)):
+        if tag in ("html", "body") and (tag == "html" or opened.get("body")):
             continue
         if stack[-1].tag == "head" and tag not in UNSEEN:
             close_to(("head",), ())
@@ -123,10 +177,10 @@ def parse(source: str) -> Node:
         if tag in IMPLIED:
             close_to(*IMPLIED[tag])
         if tag in PARENTS and stack[-1].tag not in PARENTS[tag]:
-            if any(x.tag == "table" for x in stack):
+            if opened.get("table"):
                 made = Node(PARENTS[tag][0] if tag != "tr" else "tbody", {})
                 stack[-1].children.append(made)
-                stack.append(made)
+                push(made)
         node = Node(tag, _attributes(attrs) if attrs and not attrs.isspace() else {})
         if drawn and any(tag in UNDRAWN[x.tag] for x in stack if x.tag in UNDRAWN):
             node.attrs["hidden"] = ""
@@ -139,7 +193,7 @@ def parse(source: str) -> Node:
             node.children.append(html.unescape(text) if tag in ("textarea", "title") else text)
             at = close.end() if close else n
         elif tag not in VOID and len(stack) < DEPTH:
-            stack.append(node)  # a slash does not close an element of HTML, but one of svg or math
+            push(node)  # a slash does not close an element of HTML, but one of svg or math
     return root
 
 
@@ -173,29 +227,85 @@ def style_rules(css: str) -> Iterator[tuple[str, str]]:
                     yield names, ";".join(body)
 
 
-def hidden_selectors(node: Node, out: set[str]) -> set[str]:
-    """Simple selectors (tag, .class, #id) that style sheets of the page hide on every screen."""
-    todo = [node]
+def declared(body: str) -> dict[str, bool]:
+    """Whether a list of declarations shows the element, by the last display and the last visibility in it."""
+    out: dict[str, bool] = {}
+    for part in body.split(";"):
+        name, _, value = part.partition(":")
+        name, value = name.strip().lower(), value.replace("!important", "").strip().lower()
+        if name == "display":
+            out[name] = value != "none"
+        elif name == "visibility" and value in ("visible", "hidden", "collapse"):
+            out[name] = value == "visible"
+    return out
+
+
+def sheet(root: Node) -> dict[str, dict[str, tuple[int, bool]]]:
+    """By simple selector (tag, .class, #id): what the page's style sheets declare for it on every screen, the last
+    word with its place."""
+    todo, rules, found = [root], 0, {}
     while todo:
         x = todo.pop()
-        if x.tag == "style":
-            if not _on_screens(x.attrs.get("media", "")):
-                continue
+        if x.tag != "style":
+            todo += reversed([c for c in x.children if isinstance(c, Node)])
+        elif _on_screens(x.attrs.get("media", "")):
             for names, body in style_rules("".join(c for c in x.children if isinstance(c, str))):
-                if HIDING.search(body):
-                    out |= {s for s in (s.strip() for s in names.split(",")) if SIMPLE.match(s)}
-        else:
-            todo += [c for c in x.children if isinstance(c, Node)]
+                rules += 1
+                for name in names.split(","):
+                    if SIMPLE.match(name := name.strip()):
+                        found.setdefault(name, {}).update({k: (rules, v) for k, v in declared(body).items()})
+    return found
+
+
+def hidden_selectors(node: Node, out: set[str]) -> set[str]:
+    """Simple selectors whose last rule hides on every screen."""
+    out |= {name for name, said in sheet(node).items() if not all(v for _, v in said.values())}
     return out
 
 
-def visible(node: Node, hides: set[str]) -> bool:
-    a = node.attrs
-    if node.tag in UNSEEN or "hidden" in a or (node.tag == "input" and a.get("type", "").lower() == "hidden") or (node.tag == "dialog" and "open" not in a):
-        return False
-    if "style" in a and HIDING.search(a["style"]):
-        return False
-    return not hides or not (node.tag in hides or f"#{a.get('id')}" in hides or any(f".{c}" in hides for c in a.get("class", "").split()))
+def styled(node: Node, rules: dict[str, dict[str, tuple[int, bool]]]) -> dict[str, bool]:
+    """What styles say of an element: those of its own attribute, else of its id, its classes (the last rule) or its tag."""
+    out: dict[str, bool] = {}
+    if rules:
+        a = node.attrs
+        classes = [v for c in a.get("class", "").split() if (v := rules.get(f".{c}"))]
+        for level in ([rules.get(node.tag, {})], classes, [rules.get(f"#{a.get('id')}", {})]):
+            for k in ("display", "visibility"):
+                if said := [v[k] for v in level if k in v]:
+                    out[k] = max(said)[1]
+    if "style" in node.attrs:
+        out |= declared(node.attrs["style"])
+    return out
+
+
+def prune(root: Node) -> None:
+    """Take out what is not shown. An element without visibility loses its text but keeps elements that are made visible."""
+    rules = sheet(root)
+    order: list[tuple[Node, Node | None, bool]] = []
+    todo: list[tuple[Node, Node | None, bool]] = [(root, None, True)]
+    while todo:
+        node, parent, shown = todo.pop()
+        order.append((node, parent, shown))
+        kept = []
+        for c in node.children:
+            if isinstance(c, str):
+                if shown:
+                    kept.append(c)
+                continue
+            a, said = c.attrs, styled(c, rules) if rules or "style" in c.attrs else {}
+            if c.tag in UNSEEN or "hidden" in a or (c.tag == "input" and a.get("type", "").lower() == "hidden") or (c.tag == "dialog" and "open" not in a) or not said.get("display", True):
+                continue
+            kept.append(c)
+            todo.append((c, node, said.get("visibility", shown)))
+        node.children = kept
+    for node, parent, shown in reversed(order):
+        if parent is not None and not shown:
+            node.attrs["unshown"] = ""
+            node.children = [c for c in node.children if isinstance(c, str) or "unshown" not in c.attrs or c.children]
+
+
+def visible(node: Node) -> bool:
+    return "unshown" not in node.attrs or bool(node.children)
 
 
 class Layout:
@@ -234,20 +344,20 @@ class Layout:
         self.gap = True
 
 
-def _lines(node: Node, hides: set[str]) -> list[str]:
+def _lines(node: Node) -> list[str]:
     out = Layout()
-    _flow(node, out, hides)
+    _flow(node, out)
     out.end_line()
     return out.lines
 
 
-def _flow(node: Node, out: Layout, hides: set[str]) -> None:
+def _flow(node: Node, out: Layout) -> None:
     for child in node.children:
         if isinstance(child, str):
             out.text(child)
             continue
         tag = child.tag
-        if not visible(child, hides):
+        if not visible(child):
             continue
         if tag == "br":
             out.end_line(True)
@@ -259,46 +369,46 @@ def _flow(node: Node, out: Layout, hides: set[str]) -> None:
                 out.text(child.attrs.get("value", ""))
         elif tag == "text":  # a label of a drawing, placed by itself
             out.text(" ")
-            _flow(child, out, hides)
+            _flow(child, out)
             out.text(" ")
         elif tag not in BLOCKS:
-            _flow(child, out, hides)
+            _flow(child, out)
         else:
             edge = out.space if tag in SPACED else out.end_line
             edge()
             if tag in ("ul", "ol", "menu", "dir"):
-                out.put(_list(child, hides))
+                out.put(_list(child))
             elif tag == "table":
-                out.put(_table(child, hides))
+                out.put(_table(child))
             elif tag == "pre":
-                out.put(_raw(child, hides).strip("\n").split("\n"))
+                out.put(_raw(child).strip("\n").split("\n"))
             elif tag in ("blockquote", "dd"):
-                out.put([f"  {x}" if x else x for x in _lines(child, hides)])
+                out.put([f"  {x}" if x else x for x in _lines(child)])
             elif tag == "details" and "open" not in child.attrs:
                 for x in child.children:
                     if isinstance(x, Node) and x.tag == "summary":
-                        out.put(_lines(x, hides))
+                        out.put(_lines(x))
             else:
-                _flow(child, out, hides)
+                _flow(child, out)
             edge()
 
 
-def _raw(node: Node, hides: set[str]) -> str:
-    return "".join(c if isinstance(c, str) else "\n" if c.tag == "br" else _raw(c, hides) if visible(c, hides) else "" for c in node.children)
+def _raw(node: Node) -> str:
+    return "".join(c if isinstance(c, str) else "\n" if c.tag == "br" else _raw(c) if visible(c) else "" for c in node.children)
 
 
-def _list(node: Node, hides: set[str]) -> list[str]:
+def _list(node: Node) -> list[str]:
     lines, start = [], node.attrs.get("start", "")
     number = int(start) if start.lstrip("-").isdigit() and len(start) < 10 else 1
     loose = Node("li", {})
     for child in [*node.children, None]:
         if isinstance(child, Node) and child.tag == "li" or child is None:
-            if own := _lines(loose, hides):
+            if own := _lines(loose):
                 lines += [f"  {x}" if x else x for x in own]
             loose = Node("li", {})
-            if child is not None and visible(child, hides):
+            if child is not None and visible(child):
                 mark = f"{number}. " if node.tag == "ol" else "- "
-                own = [x for x in _lines(child, hides) if x] or [""]
+                own = [x for x in _lines(child) if x] or [""]
                 lines += [mark + own[0], *(" " * len(mark) + x for x in own[1:])]
                 number += 1
         else:
@@ -306,34 +416,40 @@ def _list(node: Node, hides: set[str]) -> list[str]:
     return lines
 
 
-def _table(node: Node, hides: set[str]) -> list[str]:
+def _table(node: Node) -> list[str]:
     """Caption, then a line per row (or more, if a cell has several), cells padded to their column's width."""
     lines: list[str] = []
     rows: list[list[list[str]]] = []
+    taken: dict[int, int] = {}  # columns that cells from above still cover, and for how many rows
+    count = lambda v, most: min(int(v), most) if v.isdigit() and len(v) < 9 else 1
     todo = list(reversed(node.children))
     while todo:
         x = todo.pop()
         if isinstance(x, str):
             if x.strip():
                 lines.append(BLANKS.sub(" ", x).strip())
-        elif not visible(x, hides):
+        elif not visible(x):
             continue
         elif x.tag in ("tbody", "thead", "tfoot"):
             todo += reversed(x.children)
         elif x.tag == "tr":
             row: list[list[str]] = []
+            begun: dict[int, int] = {}
             for cell in x.children:
                 if isinstance(cell, str):
                     if cell.strip():
                         lines.append(BLANKS.sub(" ", cell).strip())
-                elif visible(cell, hides):
-                    row.append([y for y in _lines(cell, hides) if y])
-                    span = cell.attrs.get("colspan", "")
-                    row += [[]] * (min(int(span), 100) - 1 if span.isdigit() and len(span) < 9 and int(span) > 1 else 0)
+                elif visible(cell):
+                    while taken.get(len(row), 0) > 0:
+                        row.append([])
+                    wide, high = count(cell.attrs.get("colspan", ""), 100), count(cell.attrs.get("rowspan", ""), 65534)
+                    begun |= {len(row) + i: high - 1 for i in range(max(1, wide))}
+                    row += [[y for y in _lines(cell) if y], *([[]] * (wide - 1))]
+            taken = {k: v for k, v in ({k: v - 1 for k, v in taken.items()} | begun).items() if v > 0}
             if any(row):
                 rows.append(row)
         else:
-            lines += _lines(x, hides)
+            lines += _lines(x)
     widths: list[int] = []
     for row in rows:
         for i, cell in enumerate(row):
@@ -351,7 +467,8 @@ def render(source: str | None) -> str:
     if not source:
         return ""
     root = parse(source)
-    lines = _lines(root, hidden_selectors(root, set()) if "<style" in source or "<STYLE" in source else set())
+    prune(root)
+    lines = _lines(root)
     return "\n".join(lines).replace("\xa0", " ").strip("\n")
 
 
@@ -359,12 +476,12 @@ def extract_text(pages: DataFrame) -> DataFrame:
     """Visible text of ``pages`` (page_id, html, ...) laid out as a reader sees it.
 
     A tree builder supplies implied tags; scripts, styles, heads and elements that attributes or simple style rules
-    hide on every screen are left out (rules for print, or for screens of some sizes only, hide nothing); text in
+    hide on every screen, by the cascade of those, are left out (rules for print, or for screens of some sizes only, hide nothing); text in
     drawings and formulas is read; blocks stand on lines of their own, paragraphs apart by blank lines, list items behind marks,
     and table cells in aligned columns. Pages are independent rows: one pass, no shuffle.
 
     Returns one row per input row: page_id, text, n_chars, n_lines. Null and empty html give an empty text; tags that
-    never end, very long pages and deep nesting (over 256 levels become siblings) are read whole; repeated rows are
+    never end are text, very long pages and deep nesting (over 512 levels become siblings) are read whole; repeated rows are
     rendered each; an empty table gives an empty result; other columns are ignored.
     """
 

@@ -18,6 +18,10 @@ MAGIC = b"\x1f\x8b\x08"
 #: A gzip member without content. Spark's text writer ends every row with a separator byte; a row of a compressed
 #: archive is a record's member and this member without its last byte, which the separator supplies.
 EMPTY_MEMBER = gzip.compress(b"", mtime=0)
+#: No archive that is written is larger (readers hold one in memory).
+MOST_BYTES = 256 << 20
+#: No gzip member that is read may expand to more.
+MOST_EXPANDED = 256 << 20
 SCHEMA = (
     "path string, offset long, length long, kind string, reason string, warc_type string, page_id long, target_uri string, "
     "refers_to long, payload_bytes long, payload_digest string, payload binary"
@@ -25,7 +29,8 @@ SCHEMA = (
 
 
 def write_archives(pages: DataFrame, path: str, compress: bool = True, min_payload: int = 100, archive_bytes: int = 16 << 20) -> None:
-    """Write one record per row of ``pages`` (page_id, url, html) into archives of about ``archive_bytes`` under ``path``.
+    """Write one record per row of ``pages`` (page_id, url, html) into archives of about ``archive_bytes`` under ``path``, and of at
+    most MOST_BYTES, were all records as long as the longest (or of one record).
 
     The payload is the html in UTF-8 (null: empty) behind an HTTP head. Of records with equal payloads of at least
     ``min_payload`` bytes that with the smallest page_id is a response and the others revisit it; all others are
@@ -37,7 +42,7 @@ def write_archives(pages: DataFrame, path: str, compress: bool = True, min_paylo
     rows = rows.withColumn("digest", F.sha2("body", 256)).withColumn("size", F.octet_length("body").cast("long"))
     per = rows.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"), F.max("size").alias("size"), F.sum(F.octet_length("url").cast("long")).alias("urls"))
     per = materialize(per)
-    total, n = per.agg(F.sum(F.col("n") * F.col("size") + F.col("urls")), F.sum("n")).first()
+    total, n, most = per.agg(F.sum(F.col("n") * F.col("size") + F.col("urls")), F.sum("n"), F.max(F.col("size") + F.col("urls"))).first()
     repeats = small_or_shuffled(materialize(per.where((F.col("n") > 1) & (F.col("size") >= min_payload) & F.col("first_id").isNotNull()).select("digest", "first_id")))
     rows = rows.join(repeats, "digest", "left")
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
@@ -59,7 +64,7 @@ def write_archives(pages: DataFrame, path: str, compress: bool = True, min_paylo
                 yield pd.DataFrame({"value": [gzip.compress(bytes(v) + b"\r\n\r\n", 1, mtime=0) + EMPTY_MEMBER[:-1] for v in pdf["value"]]})
 
         records, separator = records.mapInPandas(members, "value binary"), EMPTY_MEMBER[-1:].decode("latin-1")
-    per_file = max(1, int(archive_bytes // max(1, (total or 0) / max(n or 1, 1))))
+    per_file = max(1, min(int(archive_bytes // max(1, (total or 0) / max(n or 1, 1))), MOST_BYTES // max(1, most or 1)))
     records.select(F.col("value").cast("string")).write.option("lineSep", separator).option("maxRecordsPerFile", per_file).text(path)
 
 
@@ -112,75 +117,113 @@ def _parse(data: bytes, at: int) -> tuple[dict, int]:
     return record, end + 4
 
 
-def _member(data: memoryview, at: int, most: int) -> tuple[bytes, int]:
-    """Content and end of the gzip member that starts at ``at``."""
-    reader, parts, size = zlib.decompressobj(31), [], 0
-    fed = at
+def _member(data: memoryview, at: int, most: int) -> tuple[bytes, int | None, str]:
+    """Content of the gzip member that starts at ``at``, its end, and why it is damaged: then the content is what could be
+    read, and there is no end."""
+    reader, parts, size, fed = zlib.decompressobj(31), [], 0, at
     while not reader.eof:
-        chunk = data[fed : fed + (1 << 16)]
+        chunk, failed = data[fed : fed + (1 << 16)], ""
         if not len(chunk):
-            raise BadRecord("cut member")
-        try:
-            parts.append(reader.decompress(chunk))
-        except zlib.error as e:
-            raise BadRecord("bad member") from e
-        size += len(parts[-1])
-        if size > most:
-            raise BadRecord("member too large")
+            failed = "cut member"
+        else:
+            try:
+                parts.append(reader.decompress(chunk, most - size + 1))
+                size += len(parts[-1])
+                failed = "member too large" if size > most else ""
+            except zlib.error:
+                failed = "bad member"
+        if failed:
+            return b"".join(parts), None, failed
         fed += len(chunk)
-    return b"".join(parts), fed - len(reader.unused_data)
+    return b"".join(parts), fed - len(reader.unused_data), ""
+
+
+def _plain(data: bytes, at: int) -> Iterator[dict]:
+    """Records and gaps of uncompressed data from ``at`` on."""
+    while at < len(data):
+        try:
+            record, end = _parse(data, at)
+            yield {"kind": "record", "offset": at, "length": end - at} | record
+        except BadRecord as e:
+            end = data.find(b"WARC/1.", at + 1)
+            while end >= 0:
+                try:
+                    _parse(data, end)
+                    break
+                except BadRecord:
+                    end = data.find(b"WARC/1.", end + 1)
+            end = len(data) if end < 0 else end
+            yield {"kind": "gap", "reason": str(e), "offset": at, "length": end - at}
+        at = end
 
 
-def scan(data: bytes, most: int = 1 << 30) -> Iterator[dict]:
+def _inside(content: bytes, damaged: str) -> list[dict]:
+    """What a member holds. Of a damaged one only records that another one follows count: its end proves nothing."""
+    rows = list(_plain(content, 0))
+    if damaged:
+        last = max((r["offset"] for r in rows if r["kind"] == "record"), default=0)
+        rows = [r for r in rows if r["offset"] < last or r["kind"] == "record" and content.startswith(b"WARC/1.", r["offset"] + r["length"])]
+    return rows
+
+
+def scan(data: bytes, most: int = MOST_EXPANDED) -> Iterator[dict]:
     """Records and gaps of an archive in order. A record whose checks fail, and whatever else lies between records, is
-    a gap up to the next place where a whole valid record, or gzip member with one, starts."""
+    a gap up to the next place where a whole valid record, or gzip member with one, starts.
+
+    A gzip member may hold any number of records. They all have the member's offset, and the first its length, the others
+    none; gaps in its content are told in their reason, by the content's bytes. Of a damaged or cut member the records
+    before the damage are read, and the member is a gap. ``most``: bytes that a member may expand to; a larger one counts as damaged there.
+    """
     view = memoryview(data)
 
-    def valid(at: int) -> tuple[dict | None, int]:
-        if data.startswith(MAGIC, at):
-            content, end = _member(view, at, most)
-            if not content:
-                return None, end
-            record, stop = _parse(content, 0)
-            if stop != len(content):
-                raise BadRecord("more than a record in a member")
-            return record, end
-        return _parse(data, at)
+    def valid(at: int) -> tuple[list[dict], int | None, str]:
+        """Rows, end, and what is wrong with what starts at ``at``."""
+        if not data.startswith(MAGIC, at):
+            try:
+                record, end = _parse(data, at)
+                return [{"kind": "record"} | record], end, ""
+            except BadRecord as e:
+                return [], None, str(e)
+        content, end, damaged = _member(view, at, most)
+        rows = _inside(content, damaged)
+        if len(rows) == 1 and rows[0]["kind"] == "gap":
+            return [], None, rows[0]["reason"]
+        for r in rows:
+            if r["kind"] == "gap":
+                r["reason"] += f" at bytes {r['offset']} to {r['offset'] + r['length']} of the member"
+        return rows, end, damaged
 
     at = 0
     while at < len(data):
-        try:
-            record, end = valid(at)
-        except BadRecord as e:
-            reason, probe = str(e), at
+        rows, end, reason = valid(at)
+        for i, row in enumerate(rows):
+            yield row | {"offset": at, "length": end - at if end and i == 0 else 0}
+        if end is None:
+            end = at
             while True:
-                found = [p for p in (data.find(MAGIC, probe + 1), data.find(b"WARC/1.", probe + 1)) if p >= 0]
-                probe = min(found, default=len(data))
-                try:
-                    if probe < len(data):
-                        valid(probe)
+                found = [p for p in (data.find(MAGIC, end + 1), data.find(b"WARC/1.", end + 1)) if p >= 0]
+                end = min(found, default=len(data))
+                if end == len(data):
                     break
-                except BadRecord:
-                    continue
-            yield {"kind": "gap", "reason": reason, "offset": at, "length": probe - at}
-            at = probe
-            continue
-        if record:
-            yield {"kind": "record", "offset": at, "length": end - at} | record
+                inner, stop, _ = valid(end)
+                if stop is not None or inner:
+                    break
+            yield {"kind": "gap", "reason": reason, "offset": at, "length": end - at}
         at = end
 
 
-def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+def read_archives(spark: SparkSession, path: str, payloads: bool = True, most: int = MOST_EXPANDED) -> DataFrame:
     """Records (kind 'record') and quarantined byte ranges (kind 'gap', with the failed check as reason) of the archives
-    under ``path``, plain or compressed record by record, mixed or damaged. An archive is read by one task, so archives
-    should be of bounded size, as the writer's are. An empty file gives no row; payload is null if not asked for."""
+    under ``path``, plain or compressed record by record or in larger members, mixed or damaged (``scan``). An archive is held by one task
+    (Spark's reader of binary files hands them over whole), so archives
+    should be of bounded size, as the writer's are, and at most 2 GB. An empty file gives no row; payload is null if not asked for."""
     names = [f.split()[0] for f in SCHEMA.split(", ")]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for file, content in zip(pdf["path"], pdf["content"], strict=True):
                 rows, held = [], 0
-                for row in scan(bytes(content)):
+                for row in scan(bytes(content), most):
                     held += row.get("payload_bytes", 0)
                     if not payloads:
                         row.pop("payload", None)
