@@ -77,16 +77,21 @@ def sentence_sequence_diff(prev: DataFrame, cur: DataFrame, limit: int = 20) ->
 
 
 def change_timeline(snapshots: DataFrame) -> DataFrame:
-    """U6. (domain, created_at, prev_at, added, removed) of consecutive versions. Each sentence row goes to its own version
-    as +1 and to the next one as -1; versions, not texts, are sorted."""
+    """U6. (domain, created_at, prev_at, added, removed) of consecutive versions. Each sentence's hash goes to its own version
+    as +1 and to the next one as -1; versions, not texts, are sorted, and what meets by version is narrow."""
     w = W.partitionBy("domain").orderBy("created_at")
-    order = snapshots.select("domain", "created_at", F.lag("created_at").over(w).alias("prev_at"), F.lead("created_at").over(w).alias("next_at"))
-    texts = snapshots.select("domain", "created_at", F.explode(sentences(F.col("text"))).alias("sentence"))
-    rows = texts.join(order, ["domain", "created_at"])
-    signs = rows.select("domain", "created_at", "sentence", F.lit(1).alias("d")).unionByName(rows.where("next_at is not null").select("domain", F.col("next_at").alias("created_at"), "sentence", F.lit(-1).alias("d")))
-    net = signs.groupBy("domain", "created_at", "sentence").agg(F.sum("d").alias("d")).groupBy("domain", "created_at")
-    counts = net.agg(F.sum(F.greatest("d", F.lit(0))).alias("added"), F.sum(F.greatest(-F.col("d"), F.lit(0))).alias("removed"))
-    return order.where("prev_at is not null").join(counts, ["domain", "created_at"], "left").select("domain", "created_at", "prev_at", F.coalesce("added", F.lit(0)).alias("added"), F.coalesce("removed", F.lit(0)).alias("removed"))
+    order = snapshots.select("domain", "created_at").select("domain", "created_at", F.lag("created_at").over(w).alias("prev_at"), F.lead("created_at").over(w).alias("next_at"))
+    texts = snapshots.select("domain", "created_at", F.transform(sentences(F.col("text")), lambda s: F.xxhash64(s)).alias("hashes"))
+    rows = order.join(texts, ["domain", "created_at"])
+    none = F.lit(None)
+    signs = [
+        rows.select("domain", "created_at", "prev_at", F.explode_outer("hashes").alias("h"), F.lit(1).alias("d")),
+        rows.where("next_at is not null").select("domain", F.col("next_at").alias("created_at"), none.cast(order.schema["prev_at"].dataType).alias("prev_at"), F.explode("hashes").alias("h"), F.lit(-1).alias("d")),
+    ]
+    both = signs[0].unionByName(signs[1]).repartition("domain", "created_at")
+    net = both.groupBy("domain", "created_at", "h").agg(F.max("prev_at").alias("prev_at"), F.sum(F.when(F.col("h").isNotNull(), F.col("d")).otherwise(0)).alias("d"))
+    counts = net.groupBy("domain", "created_at").agg(F.max("prev_at").alias("prev_at"), F.sum(F.greatest("d", F.lit(0))).alias("added"), F.sum(F.greatest(-F.col("d"), F.lit(0))).alias("removed"))
+    return counts.where("prev_at is not null").select("domain", "created_at", "prev_at", "added", "removed")
 
 
 def page_key(url: Column) -> Column:

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..functions.text import BLANK, collapse, hits
 
+#: A word with a letter: a run of non-blanks that starts behind a blank or the text's start.
+WORD = "(?<![^" + BLANK[1:-1] + "])[^" + BLANK[1:-1] + r"\p{L}]*+\p{L}[^" + BLANK[1:-1] + "]*+"
 QUOTA = "(?i)quota limits|exceeding recaptcha"
 
 
@@ -131,13 +133,15 @@ def drop_source_like(docs: DataFrame) -> DataFrame:
 def prose_quality(docs: DataFrame) -> DataFrame:
     """P10. Adds prose_score 0..1 of the first 6000 characters: letters, symbols, sentence ends and lengths, digits and
     variety of words."""
-    s = F.left(F.coalesce("text", F.lit("")), F.lit(6000))
-    total = F.length(s)
-    letters, digits = hits(s, r"[\p{L}\p{M}]"), hits(s, r"\p{N}")
-    symbols = hits(s, r"[^\p{L}\p{M}\p{N}\s\x{00a0}\x{feff}\x{2028}\x{2029}\x{3000}.,;:!?'\x22()\[\]{}\-–—/\\]")
-    ends = hits(s, r"[.!?…]") - hits(s, r"[0-9][.!?…]") + hits(s, "[。！？।؟۔]")
-    words = F.filter(F.split(s, BLANK + "+"), lambda t: t.rlike(r"\p{L}"))
-    variety = F.when(F.size(words) >= 40, F.size(F.array_distinct(F.transform(words, F.lower))) / F.size(words)).otherwise(1.0)
+    s, lower = F.col("_s"), F.lower("_s")
+    counted = docs.withColumn("_s", F.left(F.coalesce("text", F.lit("")), F.lit(6000))).withColumns({
+        "_letters": hits(s, r"[\p{L}\p{M}]"), "_digits": hits(s, r"\p{N}"),
+        "_symbols": hits(s, r"[^\p{L}\p{M}\p{N}\s\x{00a0}\x{feff}\x{2028}\x{2029}\x{3000}.,;:!?'\x22()\[\]{}\-–—/\\]"),
+        "_ends": hits(s, r"[.!?…]") - hits(s, r"[0-9][.!?…]") + hits(s, "[。！？।؟۔]"),
+        "_words": F.regexp_extract_all(lower, F.lit(WORD), F.lit(0)), "_total": F.length(s),
+    })
+    total, letters, digits, symbols, ends, words = (F.col(f"_{c}") for c in ("total", "letters", "digits", "symbols", "ends", "words"))
+    variety = F.when(F.size(words) >= 40, F.size(F.array_distinct(words)) / F.size(words)).otherwise(1.0)
     mean = (letters + digits) / F.greatest(ends, F.lit(1))
     step = lambda c, *levels: F.coalesce(*(F.when(c(x), y) for x, y in levels), F.lit(0.0))
     score = (
@@ -149,7 +153,8 @@ def prose_quality(docs: DataFrame) -> DataFrame:
         - F.when(variety < 0.35, 0.15).otherwise(0.0)
         + F.when(letters > 400, 0.05).otherwise(0.0)
     )
-    return docs.withColumn("prose_score", F.when(total < 50, 0.0).otherwise(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 4)))
+    scored = counted.withColumn("prose_score", F.when(total < 50, 0.0).otherwise(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 4)))
+    return scored.drop("_s", "_letters", "_digits", "_symbols", "_ends", "_words", "_total")
 
 
 def prose_gate(docs: DataFrame, lo: float = 0.4, hi: float = 0.55) -> DataFrame:
@@ -161,21 +166,25 @@ def prose_gate(docs: DataFrame, lo: float = 0.4, hi: float = 0.55) -> DataFrame:
 
 def vocabulary_variety(docs: DataFrame, least: int = 40) -> DataFrame:
     """A10. (doc_id, tokens, variety): distinct lower-case tokens over tokens; 1 below ``least`` tokens."""
-    words = F.filter(F.split(F.coalesce("text", F.lit("")), BLANK + "+"), lambda t: t.rlike(r"\p{L}"))
+    words = F.col("_words")
     n = F.size(words)
-    return docs.select("doc_id", n.cast("long").alias("tokens"), F.when(n >= least, F.round(F.size(F.array_distinct(F.transform(words, F.lower))) / n, 6)).otherwise(1.0).alias("variety"))
+    found = docs.select("doc_id", F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(WORD), F.lit(0)).alias("_words"))
+    return found.select("doc_id", n.cast("long").alias("tokens"), F.when(n >= least, F.round(F.size(F.array_distinct(words)) / n, 6)).otherwise(1.0).alias("variety"))
 
 
 def detect_language(docs: DataFrame, stopwords: dict[str, str] = rules.STOPWORDS) -> DataFrame:
     """P21. (doc_id, detected): script ranges decide first; Latin texts take the language with the most stop words (ties
     and none: the first of en, then alphabetical)."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    words = F.split(F.lower(text), r"[^\p{L}]+")
-    counts = [F.struct(F.size(F.filter(words, lambda w: w.isin(*stopwords[lang].split()))).alias("n"), F.lit(-i).alias("order"), F.lit(lang).alias("lang")) for i, lang in enumerate(["en", *sorted(set(stopwords) - {"en"})])]  # noqa: B023
-    ladder = F.when(text.rlike(rules.SCRIPTS[0][1]), rules.SCRIPTS[0][0])
-    for lang, pattern in rules.SCRIPTS[1:]:
+    text, plain = F.col("_text"), F.col("_plain")
+    langs = ["en", *sorted(set(stopwords) - {"en"})]
+    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("_text")).withColumns({
+        "_script": text.rlike("|".join(pattern for _, pattern in rules.SCRIPTS)), "_plain": F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}]+", " "), F.lit(" ")),
+    })
+    counts = [F.struct(hits(plain, f" (?:{'|'.join(stopwords[lang].split())})(?= )").alias("n"), F.lit(-i).alias("order"), F.lit(lang).alias("lang")) for i, lang in enumerate(langs)]
+    ladder = F.when(~F.col("_script"), F.array_max(F.array(*counts))["lang"])  # one search for any script spares most texts the ladder
+    for lang, pattern in rules.SCRIPTS:
         ladder = ladder.when(text.rlike(pattern) & (text.rlike(r"[\x{0400}-\x{04ff}]") if lang in ("uk", "ru") else F.lit(True)), lang)
-    return docs.select("doc_id", ladder.otherwise(F.array_max(F.array(*counts))["lang"]).alias("detected"))
+    return rows.select("doc_id", ladder.otherwise(F.array_max(F.array(*counts))["lang"]).alias("detected"))
 
 
 def dedupe_text(docs: DataFrame) -> DataFrame:

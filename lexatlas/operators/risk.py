@@ -46,26 +46,26 @@ def marker_presence(docs: DataFrame, high: list[str] = rules.HIGH_MARKERS, netwo
     return docs.select("doc_id", present(F.col("text"), high).alias("high_hits"), present(F.col("text"), network).alias("network_hits"))
 
 
-def _place(text: Column, patterns: list[str]) -> tuple[Column, Column]:
-    """Position and length of the match of the first pattern in the list that matches (0 if none does)."""
-    found = [F.regexp_extract(text, "(?i)(" + p + ")", 1) for p in patterns]
-    match = F.coalesce(*(F.when(f != "", f) for f in found), F.lit(""))
-    return F.when(match == "", 0).otherwise(F.position(match, text)), F.length(match)
+def rule_matches(docs: DataFrame, rule_list: list = rules.FINDING_RULES, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, carried columns, text, matches): for each rule what its first pattern, in list order, that matches
+    matches in the text; null if none does. One projection tries every pattern once.
+    (Explode it with an outer generator: for others Catalyst would infer a filter that tries all patterns again.)"""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    tried = [[F.regexp_extract(text, "(?i)(" + p + ")", 1).alias(f"_m{i}_{j}") for j, p in enumerate(rule[3])] for i, rule in enumerate(rule_list)]
+    found = docs.select("doc_id", *carry, text.alias("text"), *(c for row in tried for c in row))
+    first = [F.coalesce(*(F.when(F.col(f"_m{i}_{j}") != "", F.col(f"_m{i}_{j}")) for j in range(len(row)))) for i, row in enumerate(tried)]
+    return found.select("doc_id", *carry, "text", F.array(*first).alias("matches"))
 
 
 def first_pattern_evidence(docs: DataFrame, rule_list: list = rules.FINDING_RULES, before: int = 90, after: int = 180) -> DataFrame:
     """W16 and R1. (doc_id, rule_id, category, attention_level, title, evidence, explanation) of each rule that a text
     meets; evidence is what stands around the match of the rule's first pattern, in list order, that matches."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    found = []
-    for i, (category, level, title, patterns, why) in enumerate(rule_list):
-        at, length = _place(text, patterns)
-        begin = F.greatest(F.lit(1), at - before)
-        evidence = F.trim(F.substr(text, begin, at + length + after - begin))
-        row = F.struct(F.lit(i).alias("rule_id"), F.lit(category).alias("category"), F.lit(level).alias("attention_level"), F.lit(title).alias("title"), evidence.alias("evidence"), F.lit(why).alias("explanation"))
-        found.append(F.when(at > 0, row))
-    rows = docs.select("doc_id", F.explode(F.filter(F.array(*found), lambda r: r.isNotNull())).alias("r"))
-    return rows.select("doc_id", "r.*")
+    rows = rule_matches(docs, rule_list).select("doc_id", "text", F.posexplode_outer("matches").alias("rule_id", "match")).where("match is not null")
+    of = lambda i: F.element_at(F.array(*(F.lit(r[i]) for r in rule_list)), F.col("rule_id") + 1)
+    at = F.position(F.col("match"), F.col("text"))
+    begin = F.greatest(F.lit(1), at - before)
+    evidence = F.trim(F.substr("text", begin, at + F.length("match") + after - begin))
+    return rows.select("doc_id", "rule_id", of(0).alias("category"), of(1).alias("attention_level"), of(2).alias("title"), evidence.alias("evidence"), of(4).alias("explanation"))
 
 
 rule_findings = first_pattern_evidence
@@ -93,14 +93,32 @@ def score_label(score: Column) -> Column:
 def safety_scores(docs: DataFrame, findings: DataFrame, trackers: DataFrame, cookies: DataFrame | None = None) -> DataFrame:
     """R3. (doc_id, high_hits, network_hits, n_trackers, score, label): 100 less the penalties of markers, findings,
     trackers and cookie choice; at most 65 with a high marker, a HIGH finding or four signs, else at least 85.
-    trackers: (doc_id, n_trackers); cookies: (doc_id, all_risk)."""
-    df = marker_presence(docs).join(finding_penalty(findings), "doc_id", "left").join(trackers.select("doc_id", "n_trackers"), "doc_id", "left")
+    trackers: (doc_id, n_trackers); cookies: (doc_id, all_risk). For findings from elsewhere; of rules see
+    document_scores."""
+    return _scored(marker_presence(docs).join(finding_penalty(findings), "doc_id", "left"), trackers, cookies)
+
+
+def document_scores(docs: DataFrame, trackers: DataFrame, cookies: DataFrame | None = None, rule_list: list = rules.FINDING_RULES, carry: tuple[str, ...] = ()) -> DataFrame:
+    """R3 with the findings of rules, in one pass over the texts: markers, matches and their penalties are columns of one
+    projection, so only narrow rows meet the trackers. Adds the ``carry`` columns of docs."""
+    met = lambda i: F.col("matches")[i].isNotNull()
+    penalty = sum((F.when(met(i), 18 if r[1] == "HIGH" else 9 if r[1] == "MEDIUM" else 3).otherwise(0) for i, r in enumerate(rule_list)), F.lit(0))
+    has_high = [met(i) for i, r in enumerate(rule_list) if r[1] == "HIGH"]
+    rows = rule_matches(docs, rule_list, carry).select(
+        "doc_id", *carry, present(F.col("text"), rules.HIGH_MARKERS).alias("high_hits"), present(F.col("text"), rules.NETWORK_MARKERS).alias("network_hits"),
+        penalty.alias("penalty"), (F.greatest(*has_high, F.lit(False))).alias("has_high"),
+    )
+    return _scored(rows, trackers, cookies, carry)
+
+
+def _scored(df: DataFrame, trackers: DataFrame, cookies: DataFrame | None, carry: tuple[str, ...] = ()) -> DataFrame:
+    df = df.join(trackers.select("doc_id", "n_trackers"), "doc_id", "left")
     df = df.join(cookies.select("doc_id", "all_risk"), "doc_id", "left") if cookies is not None else df.withColumn("all_risk", F.lit(None).cast("string"))
     n = F.coalesce("n_trackers", F.lit(0))
     raw = 100 - 18 * F.col("high_hits") - 5 * F.col("network_hits") - F.coalesce("penalty", F.lit(0)) - F.least(F.lit(20), 4 * n) - F.when(F.col("all_risk") == "HIGH", 10).otherwise(0)
     risky = (F.col("high_hits") > 0) | F.coalesce("has_high", F.lit(False)) | (F.col("high_hits") + F.col("network_hits") + n >= 4)
     score = F.greatest(F.lit(0), F.least(F.lit(100), F.when(risky, F.least(raw, F.lit(65))).otherwise(F.greatest(raw, F.lit(85))))).cast("int")
-    return df.select("doc_id", F.col("high_hits").cast("int"), F.col("network_hits").cast("int"), n.cast("int").alias("n_trackers"), score.alias("score"), score_label(score).alias("label"))
+    return df.select("doc_id", *carry, F.col("high_hits").cast("int"), F.col("network_hits").cast("int"), n.cast("int").alias("n_trackers"), score.alias("score"), score_label(score).alias("label"))
 
 
 def category_counts(findings: DataFrame, only: str | None = None) -> DataFrame:

@@ -14,7 +14,8 @@ from .functions.text import BLANK
 from .operators import consent, history, model, pages, risk, sampling
 from .operators import urls as links
 from .plans import pipelines
-from .samples import cte, derived
+from .samples import WITH_TEXTS, cte, derived
+from .sources.crawl import spread
 from .streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,7 +33,8 @@ def query(name: str, sql: str | None = None):
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(df) if table in WITH_TEXTS else df
 
 
 def q(text: str) -> str:
@@ -565,17 +567,17 @@ SCORES_SQL = f"""{FINDINGS_SQL}, {PENALTY}, {MATCH_SQL}, seen AS (SELECT page_id
 def scores_of(spark, d):
     docs = derived(spark, d, "policy_docs")
     seen = risk.tracker_summary(trackers_of(spark, d)).select(F.col("page_id").alias("doc_id"), "n_trackers")
-    return risk.safety_scores(docs, risk.rule_findings(docs), seen)
+    return risk.document_scores(docs, seen, carry=("domain",))
 
 
 @query("r3_safety_scores", cte("policy_docs", "resources") + f", {SCORES_SQL} SELECT doc_id, high_hits, network_hits, n_trackers, score, label FROM labelled")
 def _(spark, d):
-    return scores_of(spark, d)
+    return scores_of(spark, d).drop("domain")
 
 
 @query("a9_site_risk_profile", cte("policy_docs", "resources") + f", {SCORES_SQL} SELECT domain, label, count(*) AS scans, min(score) AS min_score, round(avg(score), 4) AS mean_score FROM labelled GROUP BY ROLLUP (domain, label)")
 def _(spark, d):
-    return risk.site_risk_profile(scores_of(spark, d).join(derived(spark, d, "policy_docs").select("doc_id", "domain"), "doc_id"))
+    return risk.site_risk_profile(scores_of(spark, d))
 
 
 FACTS_SQL = f"""facts AS (SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)(do|does|will) not (sell or share|sell|share)') THEN false WHEN regexp_matches(text, '(?i)(share|disclose|sell)s? .{{0,60}}(third part|advertising partner|partners)') THEN true END AS declared_sharing,
@@ -918,8 +920,7 @@ def _(spark, d):
 @query("flagship_worst_sites", cte("policy_docs", "resources") + f""", {SCORES_SQL} SELECT domain, count(*) AS documents, min(score) AS min_score, round(avg(score), 4) AS mean_score FROM labelled GROUP BY 1 ORDER BY mean_score, domain LIMIT 10""")
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Documents of a crawl, scored by rules, markers and trackers; the ten worst sites."""
-    scored = scores_of(spark, d).join(derived(spark, d, "policy_docs").select("doc_id", "domain"), "doc_id")
-    per = scored.groupBy("domain").agg(F.count("*").alias("documents"), F.min("score").alias("min_score"), F.round(F.avg("score"), 4).alias("mean_score"))
+    per = scores_of(spark, d).groupBy("domain").agg(F.count("*").alias("documents"), F.min("score").alias("min_score"), F.round(F.avg("score"), 4).alias("mean_score"))
     return per.orderBy("mean_score", "domain").limit(10)
 
 
@@ -927,26 +928,19 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _shared(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/lexatlas-{spark.sparkContext.applicationId}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
-def _drain(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run to the end of the input; the rows written in append mode, or those of the last full result."""
+def _drain(stream: DataFrame) -> DataFrame:
+    """Run to the end of the input in append mode; the rows written."""
     from .sources.crawl import history_sink
 
-    spark, path = stream.sparkSession, _shared(stream.sparkSession)
-    query = history_sink(stream, f"{path}/out", f"{path}/state", mode)
-    query.awaitTermination()
-    out = spark.read.schema(stream.schema).parquet(f"{path}/out/batch=*")
-    if mode == "complete":
-        last = query.lastProgress["batchId"] if query.lastProgress else 0
-        while last >= 0:
-            try:
-                return spark.read.schema(stream.schema).parquet(f"{path}/out/batch={last}")
-            except Exception:  # a batch without rows of its own
-                last -= 1
-    return out
+    path = _shared(stream.sparkSession)
+    history_sink(stream, f"{path}/out", f"{path}/state").awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out/batch=*")
 
 
 def event_stream(spark: SparkSession, d: str) -> DataFrame:
@@ -959,26 +953,30 @@ def event_stream(spark: SparkSession, d: str) -> DataFrame:
 
 
 STREAM_SQL = "s AS (SELECT event_id AS scan_id, CAST(user_id AS VARCHAR) AS client_id, 'https://app.example.com/' || event_type AS url, md5(CAST(CAST(floor(value / 10) AS BIGINT) AS VARCHAR)) AS content_hash, ts, value, event_type FROM events)"
+#: Where the watermark stands at the end: ``late`` behind the newest row, in milliseconds. Later rows stay open.
+CLOSED = "(SELECT date_trunc('milliseconds', max(ts)) FROM s)"
+LATE = "0 seconds"
 IN_ORDER = "(PARTITION BY client_id ORDER BY ts, content_hash)"
 
 
 @query("t1_stream_sessions", f"""WITH {STREAM_SQL}, n AS (SELECT *, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 12 HOURS THEN 0 ELSE 1 END AS new FROM s WINDOW w AS (PARTITION BY client_id, url ORDER BY ts)),
-  g AS (SELECT *, sum(new) OVER (PARTITION BY client_id, url ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM n) SELECT client_id, url, CAST(epoch_us(min(ts)) AS BIGINT) AS first_us, CAST(epoch_us(max(ts)) AS BIGINT) AS last_us, count(*) AS scans FROM g GROUP BY client_id, url, session""")
+  g AS (SELECT *, sum(new) OVER (PARTITION BY client_id, url ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM n) SELECT client_id, url, CAST(epoch_us(min(ts)) AS BIGINT) AS first_us, CAST(epoch_us(max(ts)) AS BIGINT) AS last_us, count(*) AS scans FROM g GROUP BY client_id, url, session
+  HAVING max(ts) + INTERVAL 12 HOURS <= {CLOSED} - INTERVAL 1 HOUR""")
 def _(spark, d):
-    out = _drain(jobs.stream_collapse_rescans(event_stream(spark, d), "12 hours"), "complete")
+    out = _drain(jobs.stream_collapse_rescans(event_stream(spark, d), "12 hours"))
     return out.select("client_id", "url", F.unix_micros("first_ts").alias("first_us"), F.unix_micros("last_ts").alias("last_us"), "scans")
 
 
 @query("t2_stream_history")
 def _(spark, d):
-    return _drain(jobs.stream_history(event_stream(spark, d), 12 * 3600))
+    return _drain(jobs.stream_history(event_stream(spark, d), 12 * 3600, LATE))
 
 
-@query("t3_stream_version_changes", f"""WITH {STREAM_SQL}, p AS (SELECT client_id, lag(content_hash) OVER w AS prev_hash, content_hash FROM s WINDOW w AS {IN_ORDER})
-  SELECT client_id AS domain, prev_hash, content_hash FROM p WHERE prev_hash IS NOT NULL AND prev_hash <> content_hash""")
+@query("t3_stream_version_changes", f"""WITH {STREAM_SQL}, p AS (SELECT client_id, ts, lag(content_hash) OVER w AS prev_hash, content_hash FROM s WINDOW w AS {IN_ORDER})
+  SELECT client_id AS domain, prev_hash, content_hash, CAST(epoch_us(ts) AS BIGINT) AS us FROM p WHERE prev_hash IS NOT NULL AND prev_hash <> content_hash AND ts <= {CLOSED}""")
 def _(spark, d):
     docs = event_stream(spark, d).select(F.col("client_id").alias("domain"), "content_hash", "ts")
-    return _drain(jobs.stream_version_changes(docs)).drop("ts")
+    return _drain(jobs.stream_version_changes(docs, LATE)).select("domain", "prev_hash", "content_hash", F.unix_micros("ts").alias("us"))
 
 
 @query("t4_stream_dedupe", f"WITH {STREAM_SQL} SELECT DISTINCT client_id || url AS canonical_url FROM s")
@@ -988,25 +986,29 @@ def _(spark, d):
 
 
 @query("t5_stream_longest_text", f"""WITH {STREAM_SQL}, l AS (SELECT client_id, ts, repeat('x', CAST(greatest(0, floor(value)) AS INTEGER)) AS text FROM s), m AS (SELECT *, max(length(text)) OVER (PARTITION BY client_id ORDER BY ts, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM l)
-  SELECT client_id AS page, CAST(length(text) AS INTEGER) AS n FROM m WHERE length(text) > coalesce(before, 0)""")
+  SELECT client_id AS page, CAST(length(text) AS INTEGER) AS n FROM m WHERE length(text) > coalesce(before, 0) AND ts <= {CLOSED}""")
 def _(spark, d):
     frames = event_stream(spark, d).select(F.col("client_id").alias("page"), "ts", F.expr("repeat('x', cast(greatest(0, floor(value)) as int))").alias("text"))
-    return _drain(jobs.stream_longest_text(frames)).select("page", F.length("text").alias("n"))
+    return _drain(jobs.stream_longest_text(frames, LATE, 60 * jobs.DAY_MS)).select("page", F.length("text").alias("n"))
 
 
-@query("t6_stream_signature_changes")
+@query("t6_stream_signature_changes", f"""WITH {STREAM_SQL}, g AS (SELECT client_id, ts, sha256(concat_ws(chr(1), url, content_hash, event_type, url)) AS signature FROM s), p AS (SELECT *, lag(signature) OVER (PARTITION BY client_id ORDER BY ts, signature) AS prev FROM g)
+  SELECT client_id AS page, CAST(epoch_us(ts) AS BIGINT) AS us, signature FROM p WHERE prev IS DISTINCT FROM signature AND ts <= {CLOSED}""")
 def _(spark, d):
     rows = event_stream(spark, d).select(F.col("client_id").alias("page"), "ts", "url", F.col("content_hash").alias("text"), F.array("event_type").alias("trackers"), F.array("url").alias("labels"))
-    return _drain(jobs.stream_signature_changes(rows))
+    return _drain(jobs.stream_signature_changes(rows, LATE, 60 * jobs.DAY_MS)).select("page", F.unix_micros("ts").alias("us"), "signature")
 
 
-@query("t7_stream_converged")
+@query("t7_stream_converged", f"""WITH {STREAM_SQL}, l AS (SELECT client_id || '|' || event_type AS page, ts, 300 + 10 * CAST(((CAST(floor(value) AS BIGINT) % 3) + 3) % 3 AS INTEGER) AS n FROM s),
+  m AS (SELECT *, max(n) OVER w AS longest, row_number() OVER w AS at FROM l WINDOW w AS (PARTITION BY page ORDER BY ts, n ROWS UNBOUNDED PRECEDING)),
+  r AS (SELECT *, at - first_value(at) OVER (PARTITION BY page, longest ORDER BY at) AS same FROM m)
+  SELECT page, arg_min(longest, at) AS length, CAST(epoch_us(min(ts)) AS BIGINT) AS us FROM r WHERE (longest >= 3000 OR longest >= 300 AND same >= 2) AND ts <= {CLOSED} GROUP BY page""")
 def _(spark, d):
     rows = event_stream(spark, d).select(F.concat_ws("|", "client_id", "event_type").alias("page"), "ts", F.expr("repeat('x', 300 + 10 * cast(pmod(floor(value), 3) as int))").alias("text"))
-    return _drain(jobs.stream_converged(rows))
+    return _drain(jobs.stream_converged(rows, late=LATE, ttl_ms=60 * jobs.DAY_MS)).select("page", "length", F.unix_micros("ts").alias("us"))
 
 
-@query("t8_stream_alert_rate", f"WITH {STREAM_SQL} SELECT event_type AS site, CAST(epoch_us(date_trunc('hour', ts)) AS BIGINT) AS start_us, count(*) AS scans, count(*) FILTER (value > 50) AS alerts FROM s GROUP BY 1, 2")
+@query("t8_stream_alert_rate", f"WITH {STREAM_SQL} SELECT event_type AS site, CAST(epoch_us(date_trunc('hour', ts)) AS BIGINT) AS start_us, count(*) AS scans, count(*) FILTER (value > 50) AS alerts FROM s GROUP BY 1, 2, date_trunc('hour', ts) HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= {CLOSED} - INTERVAL 10 MINUTE")
 def _(spark, d):
     rows = event_stream(spark, d).select(F.col("event_type").alias("site"), "ts", (F.col("value") > 50).alias("needs_attention"))
-    return _drain(jobs.stream_alert_rate(rows), "complete").select("site", F.unix_micros("start").alias("start_us"), "scans", "alerts")
+    return _drain(jobs.stream_alert_rate(rows)).select("site", F.unix_micros("start").alias("start_us"), "scans", "alerts")

@@ -8,6 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .sources.crawl import spread
+
+#: Given tables of long texts.
+WITH_TEXTS = ("documents", "pages")
 CLAUSES = [
     "We share personal data with advertising partners and third parties.",
     "Your subscription will automatically renew each month.",
@@ -88,8 +92,10 @@ DERIVED: dict[str, tuple[tuple[str, ...], str]] = {
         FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id"""),
     "blocks": (("documents",), """
         SELECT CAST(floor(doc_id / 5) AS BIGINT) AS doc_id, CAST(doc_id % 5 AS INT) AS block_no, text FROM {documents}"""),
-    "quotes": (("benchmark", "documents"), """
-        SELECT d.doc_id, b.item_id AS rule_id, b.text AS evidence FROM {documents} d JOIN {benchmark} b ON d.doc_id % 40 = b.item_id % 40"""),
+    "quotes": (("documents",), """
+        SELECT doc_id, CAST(2 AS BIGINT) AS rule_id, split_part(text, '. ', 2) AS evidence FROM {documents}
+        UNION ALL SELECT d.doc_id, CAST(3 AS BIGINT) AS rule_id, p.evidence FROM {documents} d
+        JOIN (SELECT doc_id + 1 AS doc_id, split_part(text, '. ', 2) AS evidence FROM {documents}) p ON p.doc_id = d.doc_id"""),
     "own_quotes": (("documents",), """
         SELECT doc_id, CAST(0 AS BIGINT) AS rule_id, split_part(text, '. ', 1) AS evidence FROM {documents}
         UNION ALL SELECT d.doc_id, CAST(1 AS BIGINT) AS rule_id, n.evidence FROM {documents} d
@@ -112,7 +118,8 @@ DERIVED: dict[str, tuple[tuple[str, ...], str]] = {
 
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     given, sql = DERIVED[name]
-    return spark.sql(sql, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in given})
+    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in given}
+    return spark.sql(sql, **{t: spread(df) if t in WITH_TEXTS else df for t, df in tables.items()})
 
 
 def cte(*names: str) -> str:

@@ -29,6 +29,13 @@ def read_crawl(spark: SparkSession, path: str, fmt: str = "parquet", schema: str
     raise ValueError(f"unknown format {fmt}")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The table dealt over all cores where its files give fewer tasks than there are (a small table in one row group, read
+    before heavy text work); any larger table as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def append_analyses(df: DataFrame, path: str) -> None:
     """S4. Append analyses, by day; the label follows from the score where it is missing, the id from the row's key."""
     rows = df.withColumn("safety_prediction", F.coalesce("safety_prediction", score_label(F.coalesce("safety_score", F.lit(0)))))

@@ -18,63 +18,77 @@ def stream_collapse_rescans(scans: DataFrame, gap: str = "10 minutes", late: str
     return rows.agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("scans")).drop("session_window")
 
 
-def _keyed(stream: DataFrame, keys: list[str], step, out: str, state: str, ttl_ms: int) -> DataFrame:
-    """Fold of each key's rows, batch by batch: step(key, rows in order, state tuple or None) -> (output rows, new state). A
-    state goes once the watermark has passed its key's last row by the time to live."""
+def _keyed(stream: DataFrame, keys: list[str], value: str, fold, out: str, state: str, late: str, ttl_ms: int) -> DataFrame:
+    """Fold of each key's rows in event order, whatever batches they come in.
+
+    Rows wait in the state until the watermark has passed them, ``late`` behind the newest row of the stream; then no
+    earlier row can follow (the stream drops such), and they are folded by time, equal times by null first and value: fold(key, state
+    tuple or None, ts in microseconds, value) -> (output rows, new state). So the last rows of a stream stay open until newer ones come. A
+    state goes once the watermark has passed its key's last row by the time to live. Rows without a time are dropped.
+    The state holds a key's rows of the time that ``late`` spans.
+    """
     names = [f.split()[0] for f in out.split(", ")]
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        if held.hasTimedOut:
+        *folded, times, values, last = held.get if held.exists else (None, [], [], 0)
+        folded, times, values = (tuple(folded) if held.exists and last else None), list(times), list(values)
+        for pdf in batches:
+            times += pdf["us"].tolist()
+            values += [None if v is None else str(v) for v in pdf["value"]]
+        passed, rows = held.getCurrentWatermarkMs() * 1000, []
+        order = sorted(range(len(times)), key=lambda i: (times[i], values[i] is not None, values[i] or ""))
+        ready = [i for i in order if times[i] <= passed]
+        for i in ready:
+            more, folded = fold(key, folded, times[i], values[i])
+            rows += more
+            last = times[i]
+        rest = order[len(ready) :]
+        if not rest and last + ttl_ms * 1000 <= passed:
             held.remove()
-            return
-        pdf = pd.concat(list(batches))
-        rows, new = step(key, pdf, held.get if held.exists else None)
-        held.update(new)
-        held.setTimeoutTimestamp(max(int(pdf["ts"].max().timestamp() * 1000), held.getCurrentWatermarkMs()) + ttl_ms)
+        else:
+            empty = (None,) * state.count(", ") + (None,)
+            held.update((*(folded or empty), [times[i] for i in rest], [values[i] for i in rest], last))
+            due = -(-times[rest[0]] // 1000) - 1 if rest else last // 1000 + ttl_ms
+            held.setTimeoutTimestamp(max(due, passed // 1000 + 1))
         if rows:
             yield pd.DataFrame(rows, columns=names)
 
-    late = f"{max(1, ttl_ms // 1000)} seconds"  # rows may be as late as a state may be old
-    return stream.withWatermark("ts", late).groupBy(*keys).applyInPandasWithState(run, out, state, "append", GroupStateTimeout.EventTimeTimeout)
+    schema = out.replace("ts timestamp", "ts long")
+    rows = stream.where("ts is not null").select(*keys, "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col(value).alias("value"))
+    done = rows.withWatermark("ts", late).groupBy(*keys).applyInPandasWithState(run, schema, f"{state}, times array<long>, pending array<string>, last long", "append", GroupStateTimeout.EventTimeTimeout)
+    return done.withColumn("ts", F.timestamp_micros("ts"))
 
 
-def stream_history(scans: DataFrame, gap_seconds: int = 600, ttl_ms: int = 30 * DAY_MS) -> DataFrame:
+def stream_history(scans: DataFrame, gap_seconds: int = 600, late: str = "1 hour", ttl_ms: int = 30 * DAY_MS) -> DataFrame:
     """T2. (client_id, url, content_hash, ts, action) of each scan: overwrite, bump or insert, by the page's rows so far,
     one per distinct hash."""
 
-    def step(key, pdf, state):
+    def fold(key, state, us, h):
         hashes, times = (list(x) for x in state) if state else ([], [])
-        rows = []
-        for h, ts in sorted(zip(pdf["content_hash"], pdf["ts"], strict=True), key=lambda r: (r[1], r[0])):
-            t = ts.timestamp()
-            at = max(range(len(times)), key=times.__getitem__, default=None)
-            if at is not None and t - times[at] <= gap_seconds and h != hashes[at]:
-                hashes[at], times[at], action = h, t, "overwrite"
-            elif h in hashes:
-                times, action = [t] * len(times), "bump"
-            else:
-                hashes.append(h)
-                times.append(t)
-                action = "insert"
-            rows.append((*key, h, ts, action))
-        return rows, (hashes, times)
-
-    return _keyed(scans, ["client_id", "url"], step, "client_id string, url string, content_hash string, ts timestamp, action string", "hashes array<string>, times array<double>", ttl_ms)
-
-
-def stream_version_changes(docs: DataFrame, ttl_ms: int = 365 * DAY_MS) -> DataFrame:
-    """T3. (domain, prev_hash, content_hash, ts) when a domain's hash differs from the last one."""
-
-    def step(key, pdf, state):
-        last, rows = (state or (None,))[0], []
-        for ts, h in sorted(zip(pdf["ts"], pdf["content_hash"], strict=True)):
-            if h != last:
-                if last is not None:
-                    rows.append((key[0], last, h, ts))
-                last = h
-        return rows, (last,)
-
-    return _keyed(docs, ["domain"], step, "domain string, prev_hash string, content_hash string, ts timestamp", "last string", ttl_ms)
+        at = max(range(len(times)), key=times.__getitem__, default=None)
+        if at is not None and us - times[at] <= gap_seconds * 1_000_000 and h != hashes[at]:
+            hashes[at], times[at], action = h, us, "overwrite"
+        elif h in hashes:
+            times, action = [us] * len(times), "bump"
+        else:
+            hashes.append(h)
+            times.append(us)
+            action = "insert"
+        return [(*key, h, us, action)], (hashes, times)
+
+    return _keyed(scans, ["client_id", "url"], "content_hash", fold, "client_id string, url string, content_hash string, ts timestamp, action string", "hashes array<string>, seen array<long>", late, ttl_ms)
+
+
+def stream_version_changes(docs: DataFrame, late: str = "1 hour", ttl_ms: int = 365 * DAY_MS) -> DataFrame:
+    """T3. (domain, prev_hash, content_hash, ts) when a domain's hash differs from the last one before it; null hashes are passed over."""
+
+    def fold(key, state, us, h):
+        prev = state[0] if state else None
+        if h is None:
+            return [], state or (None,)
+        return [(key[0], prev, h, us)] if prev not in (None, h) else [], (h,)
+
+    return _keyed(docs, ["domain"], "content_hash", fold, "domain string, prev_hash string, content_hash string, ts timestamp", "hash string", late, ttl_ms)
 
 
 def stream_dedupe(pages: DataFrame, ttl: str = "24 hours", key: str = "canonical_url") -> DataFrame:
@@ -82,51 +96,39 @@ def stream_dedupe(pages: DataFrame, ttl: str = "24 hours", key: str = "canonical
     return pages.withWatermark("ts", ttl).dropDuplicatesWithinWatermark([key])
 
 
-def stream_longest_text(frames: DataFrame, ttl_ms: int = DAY_MS) -> DataFrame:
-    """T5. (page, ts, text) whenever a page's longest consent text grows."""
+def stream_longest_text(frames: DataFrame, late: str = "1 hour", ttl_ms: int = DAY_MS) -> DataFrame:
+    """T5. (page, ts, text) whenever a page's longest consent text grows; null is an empty text."""
 
-    def step(key, pdf, state):
-        most, rows = (state or (0,))[0], []
-        for ts, text in sorted(zip(pdf["ts"], pdf["text"], strict=True)):
-            if len(text or "") > most:
-                most = len(text)
-                rows.append((key[0], ts, text))
-        return rows, (most,)
+    def fold(key, state, us, text):
+        most = state[0] if state else 0
+        return ([(key[0], us, text)], (len(text),)) if len(text or "") > most else ([], (most,))
 
-    return _keyed(frames, ["page"], step, "page string, ts timestamp, text string", "most int", ttl_ms)
+    return _keyed(frames, ["page"], "text", fold, "page string, ts timestamp, text string", "most int", late, ttl_ms)
 
 
-def stream_signature_changes(payloads: DataFrame, ttl_ms: int = DAY_MS) -> DataFrame:
-    """T6. (page, ts, signature) of payloads (page, ts, url, text, trackers, labels) whose signature is not the last one."""
+def stream_signature_changes(payloads: DataFrame, late: str = "1 hour", ttl_ms: int = DAY_MS) -> DataFrame:
+    """T6. (page, ts, signature) of payloads (page, ts, url, text, trackers, labels) whose signature is not the last one;
+    the first one counts as a change."""
     signature = F.sha2(F.concat_ws("\u0001", "url", "text", F.array_join(F.array_sort("trackers"), ","), F.array_join("labels", ",")), 256)
 
-    def step(key, pdf, state):
-        last, rows = (state or (None,))[0], []
-        for ts, s in sorted(zip(pdf["ts"], pdf["signature"], strict=True)):
-            if s != last:
-                last = s
-                rows.append((key[0], ts, s))
-        return rows, (last,)
+    def fold(key, state, us, s):
+        return [(key[0], us, s)] if state is None or state[0] != s else [], (s,)
 
-    return _keyed(payloads.select("page", "ts", signature.alias("signature")), ["page"], step, "page string, ts timestamp, signature string", "last string", ttl_ms)
+    return _keyed(payloads.select("page", "ts", signature.alias("signature")), ["page"], "signature", fold, "page string, ts timestamp, signature string", "signature string", late, ttl_ms)
 
 
-def stream_converged(samples: DataFrame, enough: int = 3000, least: int = 300, repeats: int = 2, ttl_ms: int = DAY_MS) -> DataFrame:
-    """T7. (page, ts, length) once a page's text has ``enough`` characters, or has stayed as it is for ``repeats`` samples
+def stream_converged(samples: DataFrame, enough: int = 3000, least: int = 300, repeats: int = 2, late: str = "1 hour", ttl_ms: int = DAY_MS) -> DataFrame:
+    """T7. (page, ts, length) once a page's longest text so far has ``enough`` characters, or has not grown for ``repeats`` samples
     at ``least`` characters."""
 
-    def step(key, pdf, state):
-        length, same, done = state or (-1, 0, False)
-        rows = []
-        for ts, text in sorted(zip(pdf["ts"], pdf["text"], strict=True)):
-            n = len(text or "")
-            same, length = (same + 1 if n == length else 0), n
-            if not done and (n >= enough or (n >= least and same >= repeats)):
-                done = True
-                rows.append((key[0], ts, n))
-        return rows, (length, same, done)
-
-    return _keyed(samples, ["page"], step, "page string, ts timestamp, length int", "length int, same int, done boolean", ttl_ms)
+    def fold(key, state, us, text):
+        longest, same, done = state or (0, 0, False)
+        n = len(text or "")
+        longest, same = (n, 0) if n > longest else (longest, same + 1)
+        now = not done and (longest >= enough or (longest >= least and same >= repeats))
+        return [(key[0], us, longest)] if now else [], (longest, same, done or now)
+
+    return _keyed(samples, ["page"], "text", fold, "page string, ts timestamp, length int", "longest int, same int, done boolean", late, ttl_ms)
 
 
 def stream_alert_rate(analyses: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
