@@ -1000,9 +1000,9 @@ def _(spark, d):
 
 
 @query("t7_stream_converged", f"""WITH {STREAM_SQL}, l AS (SELECT client_id || '|' || event_type AS page, ts, 300 + 10 * CAST(((CAST(floor(value) AS BIGINT) % 3) + 3) % 3 AS INTEGER) AS n FROM s),
-  m AS (SELECT *, max(n) OVER w AS longest, row_number() OVER w AS at FROM l WINDOW w AS (PARTITION BY page ORDER BY ts, n ROWS UNBOUNDED PRECEDING)),
-  r AS (SELECT *, at - first_value(at) OVER (PARTITION BY page, longest ORDER BY at) AS same FROM m)
-  SELECT page, arg_min(longest, at) AS length, CAST(epoch_us(min(ts)) AS BIGINT) AS us FROM r WHERE (longest >= 3000 OR longest >= 300 AND same >= 2) AND ts <= {CLOSED} GROUP BY page""")
+  m AS (SELECT *, max(n) OVER w AS longest, row_number() OVER w AS k FROM l WINDOW w AS (PARTITION BY page ORDER BY ts, n ROWS UNBOUNDED PRECEDING)),
+  r AS (SELECT *, k - first_value(k) OVER (PARTITION BY page, longest ORDER BY k) AS same FROM m)
+  SELECT page, arg_min(longest, k) AS length, CAST(epoch_us(min(ts)) AS BIGINT) AS us FROM r WHERE (longest >= 3000 OR longest >= 300 AND same >= 2) AND ts <= {CLOSED} GROUP BY page""")
 def _(spark, d):
     rows = event_stream(spark, d).select(F.concat_ws("|", "client_id", "event_type").alias("page"), "ts", F.expr("repeat('x', 300 + 10 * cast(pmod(floor(value), 3) as int))").alias("text"))
     return _drain(jobs.stream_converged(rows, late=LATE, ttl_ms=60 * jobs.DAY_MS)).select("page", "length", F.unix_micros("ts").alias("us"))
