@@ -58,7 +58,7 @@ def calibrate(x: np.ndarray, good: np.ndarray, good_weight: float) -> tuple[floa
     return float(line[0]), float(line[1])
 
 
-def quality_scorer(docs: DataFrame, labels: DataFrame, bits: int = 16, smooth: float = 1.0, max_rows: int = 20_000, good_weight: float = 4.0):
+def quality_scorer(docs: DataFrame, labels: DataFrame, bits: int = 16, smooth: float = 1.0, max_rows: int = 20_000, good_weight: float = 10.0):
     """A Pandas UDF from text to log weight, or None without labelled rows of both kinds.
 
     The target model is fitted on at most ``max_rows`` labelled good rows, every second one of them in hash order; the
