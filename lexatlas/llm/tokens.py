@@ -41,6 +41,7 @@ class UnigramCounter:
             if piece:
                 self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
+        self.longest = max((len(p) for p, _ in pieces), default=1)
         known = {p for p, _ in pieces}
         self.bytes = all(f"<0x{b:02X}>" in known for b in range(256))
         self.unknown = min(s for _, s in pieces) - UNKNOWN_PENALTY
@@ -58,25 +59,32 @@ class UnigramCounter:
         return found
 
     def search(self, word: str) -> tuple[int, float]:
-        n = len(word)
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-        for last, match in self.automaton.iter(word):
-            ends[last + 1].append(match)
-        best, count, run = [0.0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
-        for e in range(1, n + 1):
+        """Best segmentation of a word of any length. Places further back than the longest piece are forgotten."""
+        width = self.longest + 1
+        best, count, run = [0.0] * width, [0] * width, [False] * width
+        matches = self.automaton.iter(word)
+        last, match = next(matches, (-1, None))
+        before = 0
+        for e, char in enumerate(word, 1):
+            ends = []
+            while last + 1 == e:
+                ends.append(match)
+                last, match = next(matches, (-1, None))
             top, own, unknown, single = None, 0, False, False
-            for length, score in sorted(ends[e], reverse=True) if len(ends[e]) > 1 else ends[e]:
-                value = best[e - length] + score
+            for length, score in sorted(ends, reverse=True) if len(ends) > 1 else ends:
+                start = (e - length) % width
+                value = best[start] + score
                 if top is None or value > top:
-                    top, own = value, count[e - length] + 1
+                    top, own = value, count[start] + 1
                 single = single or length == 1
             if not single:
-                value = self.unknown + best[e - 1]
+                value = self.unknown + best[before]
                 if top is None or value > top:
                     top, unknown = value, True
-                    own = count[e - 1] + (len(word[e - 1].encode("utf-8", "replace")) if self.bytes else int(not run[e - 1]))
-            best[e], count[e], run[e] = top, own, unknown
-        return count[n], best[n]
+                    own = count[before] + (len(char.encode("utf-8", "replace")) if self.bytes else int(not run[before]))
+            before = e % width
+            best[before], count[before], run[before] = top, own, unknown
+        return count[before], best[before]
 
     def text(self, text: str | None) -> tuple[int, int, float]:
         """Words, pieces and score of a text: a word is the space mark and what follows up to the next space."""
@@ -102,7 +110,8 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
     Returns one row per input row: doc_id, n_words, n_tokens, score (log score of the best segmentation). Null and
     empty texts have none; other white space than blanks is part of words; a very long word is searched in time in
-    proportion to its length; repeated rows are counted each; an empty table gives an empty result; other columns are
+    proportion to its length and, beside a copy of the word, in memory
+    of the longest piece; repeated rows are counted each; an empty table gives an empty result; other columns are
     ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(load_pieces(vocabulary))

@@ -125,3 +125,17 @@ def test_large_conversation_ids(spark):
     rows = [(big, 1, "user", "a"), (big + 1, 1, "user", "b"), (None, None, "user", "c"), (big, 2**60 + 1, "assistant", "d")]
     got = chat.repair_roles(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
     assert sorted((r["conv_id"] or 0, r["turn"] or 0) for r in got) == sorted((c or 0, t or 0) for c, t, _, _ in rows)
+
+
+def test_a_long_word_is_counted_in_small_memory():
+    import tracemalloc
+
+    from lexatlas.llm import tokens
+
+    counter = tokens.UnigramCounter([("<unk>", -9.0), ("a", -1.0), ("aa", -1.5), ("b", -2.0)])
+    word = "aab" * 200_000
+    tracemalloc.start()
+    assert counter.search(word) == (400_000, -3.5 * 200_000)
+    assert tracemalloc.get_traced_memory()[1] < 6 * len(word)  # the automaton's copy of the word takes four bytes a character
+    tracemalloc.stop()
+    assert counter.search("") == (0, 0.0) and counter.search("zz") == (1, 2 * counter.unknown)
