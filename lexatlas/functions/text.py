@@ -16,6 +16,13 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, BLANK + "+", " "))
 
 
+def decode_entities(text: Column) -> Column:
+    """The common character references of HTML as characters; the ampersand last, so nothing is decoded twice."""
+    for mark, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(mark), F.lit(char))
+    return text
+
+
 def hits(text: Column, pattern: str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0))
 

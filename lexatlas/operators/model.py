@@ -10,16 +10,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
+from ..functions.shared import written
+from .risk import score_label
 
 Provider = Callable[[pd.DataFrame], pd.DataFrame]
 
 
-def conversation_messages(turns: DataFrame) -> DataFrame:
+def conversation_messages(turns: DataFrame, system: str | None = None, context: DataFrame | None = None, questions: DataFrame | None = None) -> DataFrame:
     """L1. (conv_id, messages): turns in order as (role, content); roles other than user are assistant unless system; empty
-    turns dropped."""
+    turns dropped. ``system`` comes first, then the text of ``context`` (conv_id, text) as a second system message; the text
+    of ``questions`` (conv_id, text) comes last. Conversations of any of the three tables get a row."""
     role = F.when(F.lower("role").isin("user", "system"), F.lower("role")).otherwise("assistant")
     rows = turns.where(F.trim(F.coalesce("text", F.lit(""))) != "").select("conv_id", "turn", role.alias("role"), F.trim("text").alias("content"))
-    packed = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "content"))), lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
+    extra = lambda df, n, role, text: df.where(F.trim(F.coalesce("text", F.lit(""))) != "").select("conv_id", F.lit(n).alias("part"), F.lit(0).alias("turn"), F.lit(role).alias("role"), text.alias("content"))
+    rows = rows.select("conv_id", F.lit(2).alias("part"), "turn", "role", "content")
+    if context is not None:
+        rows = rows.unionByName(extra(context, 1, "system", F.concat(F.lit("DOCUMENT CONTEXT:\n"), "text")))
+    if questions is not None:
+        rows = rows.unionByName(extra(questions, 3, "user", F.col("text")))
+    if system:
+        rows = rows.unionByName(extra(rows.select("conv_id", F.lit(system).alias("text")).distinct(), 0, "system", F.col("text")))
+    packed = F.transform(F.array_sort(F.collect_list(F.struct("part", "turn", "role", "content"))), lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
     return rows.groupBy("conv_id").agg(packed.alias("messages"))
 
 
@@ -42,8 +53,7 @@ def enrich(docs: DataFrame, providers: Mapping[str, Provider], default: str | No
 
         asked = left.repartition(calls, "id") if calls else left
         got = asked.mapInPandas(run, "id long, output string").withColumn("source", F.lit(name))
-        # answers must not be asked for twice: kept in the shared folder where one is set
-        got = got.checkpoint() if docs.sparkSession.sparkContext.getCheckpointDir() else got.persist()
+        got = written(got)  # answers are not asked for twice, whatever executor is lost
         done = got if done is None else done.unionByName(got)
         left = left.join(got.select("id"), "id", "left_anti")
     rest = left.select("id", F.lit(default).alias("output"), F.lit("rules").alias("source"))
@@ -57,13 +67,23 @@ def classify_documents(docs: DataFrame, providers: Mapping[str, Provider], undec
     return out.select("id", F.coalesce(F.when(F.lower("output").isin("true", "false"), F.lower("output") == "true"), F.lit(undecided)).alias("legal"), "source")
 
 
-RESPONSE = "domain string, safety_score int, summary string, findings array<struct<category string, attention_level string, title string, section string, evidence string, explanation string>>, _bad string"
+# Names and types of an answer's fields.
+RESPONSE = (
+    "url string, domain string, safety_score int, safety_prediction string, summary string, "
+    "findings array<struct<category string, attention_level string, title string, section string, evidence string, explanation string>>, "
+    "analysis_available boolean, analysis_error string, analysis_source string, declared_third_party_sharing boolean, detected_trackers array<string>, "
+    "hypocrisy_alert struct<detected boolean, title string, message string, trackers array<string>>, privacy_email string, can_opt_out boolean, "
+    "semantic_diff struct<has_changed boolean, previous_date string, changes array<struct<type string, text string>>>, "
+    "cookie_breakdown struct<essential struct<label string, data_collected array<string>, risk_level string>, all_optional struct<label string, data_collected array<string>, risk_level string>>"
+)
+#: Values of fields that an answer may leave out.
+DEFAULTS = {"analysis_available": True, "analysis_source": "ai", "can_opt_out": False}
 
 
 def parse_responses(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """L4. Typed results of (id, output), and (id, reason) of the rejected: not JSON, missing fields, a score beyond 0..100,
+    """L4. Typed results of (id, output) with all fields of ``RESPONSE``, and (id, reason) of the rejected: not JSON, missing fields, a score beyond 0..100,
     or a category or level that does not exist."""
-    df = raw.withColumn("r", F.from_json("output", RESPONSE, {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"}))
+    df = raw.withColumn("r", F.from_json("output", RESPONSE + ", _bad string", {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"}))
     bad_finding = F.exists("r.findings", lambda f: ~F.coalesce(f["category"].isin(*rules.CATEGORIES), F.lit(False)) | ~F.coalesce(f["attention_level"].isin(*rules.LEVELS), F.lit(False)) | f["title"].isNull() | f["evidence"].isNull())
     reason = (
         F.when(F.col("r").isNull() | F.col("r._bad").isNotNull(), "not_json")
@@ -72,7 +92,9 @@ def parse_responses(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
         .when(bad_finding, "bad_finding")
     )
     df = df.withColumn("reason", reason)
-    good = df.where("reason is null").select("id", "r.domain", "r.safety_score", "r.summary", "r.findings")
+    good = df.where("reason is null").select("id", "r.*").drop("_bad").withColumns({c: F.coalesce(c, F.lit(v)) for c, v in DEFAULTS.items()})
+    good = good.withColumn("safety_prediction", F.coalesce("safety_prediction", score_label(F.col("safety_score"))))
+    good = good.withColumn("detected_trackers", F.coalesce("detected_trackers", F.array().cast("array<string>")))
     return good, df.where("reason is not null").select("id", "reason")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import rules
-from ..functions.text import BLANK, collapse, hits
+from ..functions.text import BLANK, collapse, decode_entities, hits
 
 #: A word with a letter: a run of non-blanks that starts behind a blank or the text's start.
 WORD = "(?<![^" + BLANK[1:-1] + "])[^" + BLANK[1:-1] + r"\p{L}]*+\p{L}[^" + BLANK[1:-1] + "]*+"
@@ -22,9 +22,7 @@ def strip_tags(html: Column, drop: tuple[str, ...] = ("script", "style", "nav",
     for tag in drop:
         out = F.regexp_replace(out, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", " ")
     out = F.regexp_replace(out, "(?s)<[^>]*>", " ")
-    for mark, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        out = F.replace(out, F.lit(mark), F.lit(char))
-    return collapse(out)
+    return collapse(decode_entities(out))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -105,12 +103,13 @@ def rendered_text_choice(pages: DataFrame, rendered: DataFrame) -> DataFrame:
 
 def payload_prose(pages: DataFrame, least: int = 200) -> DataFrame:
     """P7. (page_id, text): strings of at least ``least`` characters with a blank that scripts carry as JSON or quoted
-    literals, joined in order, without markup; source-like or short results are dropped."""
+    literals, joined in order, without markup and the payload's own keys and marks; source-like or short results are
+    dropped."""
     scripts = F.regexp_extract_all("html", F.lit(r"(?is)<script\b[^>]*>(.*?)</script\s*>"), F.lit(1))
     literal = F.regexp_extract_all(F.array_join(scripts, "\n"), F.lit(r'("(?:[^"\\]++|\\.)*+")'), F.lit(1))
     literal = F.filter(literal, lambda s: F.length(s) >= least)
     plain = F.transform(literal, lambda s: F.get_json_object(F.concat(F.lit('{"a":'), s, F.lit("}")), "$.a"))
-    prose = F.filter(F.transform(plain, lambda s: collapse(F.regexp_replace(s, "<[^>]*>", " "))), lambda s: s.isNotNull() & (F.length(s) >= least) & s.contains(" "))
+    prose = F.filter(F.transform(plain, lambda s: collapse(F.regexp_replace(strip_noise(s, rules.PAYLOAD_MARKS), "<[^>]*>", " "))), lambda s: s.isNotNull() & (F.length(s) >= least) & s.contains(" "))
     return pages.select("page_id", F.array_join(prose, " ").alias("text")).where((F.length("text") >= least) & ~source_like(F.col("text")))
 
 

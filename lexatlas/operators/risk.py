@@ -160,15 +160,15 @@ def alert_flags(findings: DataFrame, alerts: DataFrame) -> DataFrame:
     )
 
 
-def legal_document_gate(docs: DataFrame, phrases: list[str] = rules.LEGAL_PHRASES, controls: DataFrame | None = None) -> DataFrame:
-    """P13. Documents (doc_id, url, text) that are legal by address, by three phrases of the list in address or text, or
-    by consent controls (doc_id) on the page."""
+def legal_document_gate(docs: DataFrame, phrases: list[str] = rules.LEGAL_PHRASES, controls: DataFrame | None = None, surface: str | None = None) -> DataFrame:
+    """P13. Documents (doc_id, url, text) that are legal by address, by three phrases of the list in address or text,
+    by consent controls (doc_id) on the page, or by their flag in the column ``surface`` (null: no)."""
     df = docs
     shown = F.lit(False)
     if controls is not None:
         df = df.join(controls.select("doc_id").distinct().withColumn("_c", F.lit(True)), "doc_id", "left")
         shown = F.coalesce("_c", F.lit(False))
-    legal = F.col("url").rlike(rules.LEGAL_URL) | (present(F.concat_ws(" ", "url", "text"), phrases) >= 3) | shown
+    legal = F.col("url").rlike(rules.LEGAL_URL) | (present(F.concat_ws(" ", "url", "text"), phrases) >= 3) | shown | (F.coalesce(F.col(surface), F.lit(False)) if surface else F.lit(False))
     return df.where(legal).select(*docs.columns)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import urls
-from ..functions.text import collapse
+from ..functions.text import collapse, decode_entities
 
 
 def canonical_urls(df: DataFrame, param_rules: list[tuple[str, str]] = rules.TRACKING_PARAMS) -> DataFrame:
@@ -28,11 +28,12 @@ def cache_key_urls(df: DataFrame, param_rules: list[tuple[str, str]] = rules.CAC
 
 
 def extract_links(pages: DataFrame) -> DataFrame:
-    """P4. (page_id, page_url, pos, href, label): one row per anchor, href made absolute; javascript: and bare # dropped."""
-    anchor = r"(?is)<a\s[^>]*?href\s*=\s*[\"']([^\"']*)[\"'][^>]*>(.*?)</a>"
+    """P4. (page_id, page_url, pos, href, label): one row per anchor, its href, quoted or not, decoded and made absolute;
+    javascript: and bare # dropped."""
+    anchor = r"(?is)<a(?=\s)[^>]*?[\s\"'/]href\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)[^>]*>(.*?)</a>"
     found = F.arrays_zip(F.regexp_extract_all("html", F.lit(anchor), F.lit(1)).alias("href"), F.regexp_extract_all("html", F.lit(anchor), F.lit(2)).alias("label"))
     rows = pages.select("page_id", F.col("url").alias("page_url"), F.posexplode(found).alias("pos", "a"))
-    raw = F.trim(F.col("a.href"))
+    raw = F.trim(decode_entities(F.regexp_replace("a.href", "^[\"']|[\"']$", "")))
     here = urls.origin(F.col("page_url"))
     absolute = (
         F.when(raw.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), raw)
@@ -42,7 +43,7 @@ def extract_links(pages: DataFrame) -> DataFrame:
         .otherwise(F.concat(here, F.regexp_replace(urls.path(F.col("page_url")), "[^/]*$", ""), raw))
     )
     kept = (raw != "") & ~F.lower(raw).startswith("javascript:") & ~raw.startswith("#")
-    return rows.where(kept).select("page_id", "page_url", "pos", absolute.alias("href"), collapse(F.regexp_replace("a.label", "<[^>]*>", " ")).alias("label"))
+    return rows.where(kept).select("page_id", "page_url", "pos", absolute.alias("href"), collapse(decode_entities(F.regexp_replace("a.label", "<[^>]*>", " "))).alias("label"))
 
 
 def tail_segment(url: Column) -> Column:
@@ -128,16 +129,17 @@ def rank_legal_urls(sitemap: DataFrame, k: int = 5, tokens: list[str] = rules.SL
     return sitemap.withColumn("score", score.cast("int")).where("score > 0").withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
 
 
-def sitemap_urls(robots: DataFrame, sitemaps: DataFrame, lang: Column | None = None) -> DataFrame:
+def sitemap_urls(robots: DataFrame, sitemaps: DataFrame, lang: Column | None = None, prefer: str = "en") -> DataFrame:
     """S3. (site, pos, url) from robots (site, text) and sitemaps (sitemap_url, xml): the first two Sitemap lines, one
-    nested level of at most six maps (those of the page's language first), no assets."""
+    nested level of at most six maps (those for which ``lang``, a condition on loc, holds come first; by default those whose
+    path names the language ``prefer``), no assets."""
     lines = F.slice(F.regexp_extract_all("text", F.lit(r"(?im)^\s*sitemap:\s*(\S+)"), F.lit(1)), 1, 2)
     top = robots.select("site", F.posexplode(lines).alias("m", "sitemap_url"))
     locs = F.regexp_extract_all("xml", F.lit(r"(?is)<loc>\s*(.*?)\s*</loc>"), F.lit(1))
     maps = sitemaps.select("sitemap_url", F.posexplode(locs).alias("n", "loc"))
     level1 = top.join(maps, "sitemap_url").select("site", "m", "n", "loc")
     nested = level1.where(F.col("loc").rlike(r"(?i)\.xml(\?|$)"))
-    own = F.desc(F.col("loc").rlike("(?i)[/_-]" + "en" + "[/_.-]")) if lang is None else F.desc(lang)
+    own = F.desc(F.col("loc").rlike("(?i)[/_-]" + prefer + "[/_.-]")) if lang is None else F.desc(lang)
     few = nested.withColumn("r", F.row_number().over(W.partitionBy("site").orderBy(own, "m", "n"))).where("r <= 6")
     inner = maps.select(F.col("sitemap_url").alias("loc"), F.col("n").alias("b"), F.col("loc").alias("url"))
     level2 = few.join(inner, "loc").select("site", F.lit(1).alias("level"), F.col("r").alias("a"), "b", "url")

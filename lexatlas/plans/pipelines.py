@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import urls
@@ -27,25 +28,32 @@ def clean_corpus(crawl: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def find_legal_pages(crawl: DataFrame, sitemap: DataFrame | None = None, disabled: DataFrame | None = None, k: int = 12) -> DataFrame:
-    """Ranked legal links of each page (page_id, page_url, pos, href, label, score, rank)."""
+    """Ranked legal links of each page (page_id, page_url, pos, href, label, score). Addresses of the sitemap
+    (site, pos, url) go to the first page of their origin, behind its links."""
     wanted = links.exclude_disabled_domains(crawl, disabled) if disabled is not None else crawl
     found, _ = links.veto_urls(links.self_link_filter(links.extract_links(wanted)))
     ranked = links.resolve_translated_duplicates(links.rank_legal_links(found, k).drop("rank"))
     if sitemap is not None:
         more = links.supplement_candidates(ranked, links.rank_legal_urls(sitemap))
-        homes = crawl.select("page_id", F.col("url").alias("page_url"), urls.origin(F.col("url")).alias("origin"))
-        own = more.join(homes, "origin").select("page_id", "page_url", F.lit(100000).alias("pos"), F.col("url").alias("href"), F.lit("").alias("label"), "score")
+        homes = wanted.groupBy(urls.origin(F.col("url")).alias("origin")).agg(F.min_by(F.struct("page_id", F.col("url").alias("page_url")), "page_id").alias("home"))
+        pos = 100000 + F.row_number().over(W.partitionBy("origin").orderBy(F.desc("score"), "url"))
+        own = more.withColumn("pos", pos).join(homes, "origin").select("home.*", "pos", F.col("url").alias("href"), F.lit("").alias("label"), "score")
         ranked = ranked.unionByName(own)
     return ranked
 
 
-def risk_report(docs: DataFrame, trackers: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(findings, scores, alerts, worklist) of docs (doc_id, text) and trackers per document (doc_id, n_trackers)."""
+def risk_report(docs: DataFrame, trackers: DataFrame, controls: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(findings, scores, alerts, worklist) of docs (doc_id, text), trackers per document (doc_id, n_trackers) and consent
+    controls (page_id = doc_id, label, action), whose risky choices lower the score."""
     findings = risk.rule_findings(docs)
     facts = risk.disclosure_facts(docs)
+    cookies = None
+    if controls is not None:
+        choices = consent.cookie_choice_breakdown(controls, docs.select(F.col("doc_id").alias("page_id"), "text"))
+        cookies = choices.select(F.col("page_id").alias("doc_id"), "all_risk")
     alerts = risk.declared_vs_observed(facts, trackers)
     flags = risk.alert_flags(findings, alerts)
-    return findings, risk.safety_scores(docs, findings, trackers), flags, risk.opt_out_worklist(facts, findings)
+    return findings, risk.safety_scores(docs, findings, trackers, cookies), flags, risk.opt_out_worklist(facts, findings)
 
 
 def consent_audit(crawl: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import rules
 from .functions import urls as U
+from .functions.shared import shared_folder
 from .functions.text import BLANK
 from .operators import consent, history, model, pages, risk, sampling
 from .operators import urls as links
@@ -928,10 +929,7 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _shared(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _drain(stream: DataFrame) -> DataFrame:

@@ -36,11 +36,16 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def append_analyses(df: DataFrame, path: str) -> None:
-    """S4. Append analyses, by day; the label follows from the score where it is missing, the id from the row's key."""
+def append_analyses(df: DataFrame, path: str, batch: str | None = None) -> None:
+    """S4. Append analyses, by day; the label follows from the score where it is missing, the id from the row's key. With
+    a name of the ``batch`` a repeated write replaces what the first one left; all batches of a path have one, or none."""
     rows = df.withColumn("safety_prediction", F.coalesce("safety_prediction", score_label(F.coalesce("safety_score", F.lit(0)))))
     rows = rows.withColumn("analysis_id", F.coalesce("analysis_id", F.sha2(F.concat_ws("|", "client_id", "url", "content_hash", F.col("created_at").cast("string")), 256)))
-    rows.withColumn("scan_date", F.to_date("created_at")).write.mode("append").partitionBy("scan_date").parquet(path)
+    rows = rows.withColumn("scan_date", F.to_date("created_at"))
+    if batch is None:
+        rows.write.mode("append").partitionBy("scan_date").parquet(path)
+    else:
+        rows.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("scan_date", "batch").parquet(path)
 
 
 def read_analyses(spark: SparkSession, path: str) -> DataFrame:
