@@ -6,7 +6,7 @@ shared folder and reread as the next one's docs. All stages but the last return
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexatlas.llm.common import bound_batches, materialize, small_or_shuffled
@@ -17,12 +17,16 @@ from lexatlas.llm.quality import keep_quality
 from lexatlas.llm.toxicity import keep_harmless
 
 
+def _same() -> Column:
+    """A row of the documents d is one of the keys k (doc_id, text_hash), whatever further columns the documents have."""
+    return F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.xxhash64("d.text") == F.col("k.text_hash"))
+
+
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     """The rows of docs that have no row in rejected (doc_id, text_hash). The rejected keys are narrow and materialized;
     they are broadcast while they are few, else joined by shuffle."""
-    keys = small_or_shuffled(materialize(rejected.select(F.col("doc_id").alias("r_id"), "text_hash").distinct()))
-    gone = F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.xxhash64("text") == F.col("text_hash"))
-    return docs.join(keys, gone, "left_anti")
+    keys = small_or_shuffled(materialize(rejected.select("doc_id", "text_hash").distinct()))
+    return docs.alias("d").join(keys.alias("k"), _same(), "left_anti")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +47,8 @@ def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     repeated = keys.where("kept")
     if repeated.isEmpty():
         return kept
-    once = kept.join(small_or_shuffled(repeated.select("doc_id", "text_hash")).withColumnRenamed("doc_id", "r_id"), F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.xxhash64("text") == F.col("text_hash")))
-    return _without(kept, repeated).unionByName(once.dropDuplicates(["doc_id", "text_hash"]).select(*docs.columns))
+    once = kept.alias("d").join(small_or_shuffled(repeated.select("doc_id", "text_hash")).alias("k"), _same()).select("d.*")
+    return _without(kept, repeated).unionByName(once.dropDuplicates(["doc_id", "text"]))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
