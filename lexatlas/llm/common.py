@@ -3,7 +3,6 @@ size-checked joins, streamed groups and connected components."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -12,17 +11,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shared import shared_folder
+
 #: Tables of at most so many (narrow) rows are broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or a new local one where it is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+    """The folder that all executors share: ``spark.checkpoint.dir``; where it is unset a new local one in local mode (tests),
+    an error on a cluster."""
+    return shared_folder(spark)
 
 
 def bound_batches(spark: SparkSession, rows: int = 2000) -> None:
