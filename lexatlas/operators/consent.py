@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -11,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import rules
+from ..functions import urls
 from ..functions.text import collapse, hits, present
 from .pages import source_like
 
@@ -18,20 +20,34 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 
 
 class _Segments(HTMLParser):
-    """Elements whose id or class has a consent name, or with a dialog role: text, controls and place."""
+    """Elements that may hold a consent dialog: text, controls and place.
 
-    def __init__(self, names: str):
-        super().__init__()
-        import re
+    An element counts by a name in its id or class, or by a dialog role, but not if it is a landmark of the page. It must
+    hold ``least`` characters of text and a control, and be a dialog, have an attribute that speaks of consent, or lie above
+    the page with a checkbox, a link or few controls. Styles are not computed: an element lies above the page unless its
+    own style says static or relative."""
 
-        self.names, self.stack, self.done, self.at = re.compile(names, re.I), [], [], 0
+    def __init__(self, names: str, least: int):
+        super().__init__()
+        self.names, self.least, self.stack, self.done, self.at = re.compile(names, re.I), least, [], [], 0
 
     def handle_starttag(self, tag, attrs):
         a = {k: v or "" for k, v in attrs}
         self.at += 1
-        hit = bool(self.names.search(f"{a.get('id', '')} {a.get('class', '')}")) or a.get("role") in ("dialog", "alertdialog") or a.get("aria-modal") == "true" or (tag == "dialog" and "open" in a)
-        control = tag == "button" or a.get("role") == "button" or (tag == "input" and a.get("type") in ("button", "submit"))
-        node = {"tag": tag, "hit": hit, "start": self.at, "text": [], "controls": [], "control": control}
+        name, kind, role = a.get("id", ""), a.get("class", ""), a.get("role", "").lower()
+        dialog = role in ("dialog", "alertdialog") or a.get("aria-modal") == "true" or (tag == "dialog" and "open" in a)
+        known = name.lower() in rules.CONSENT_IDS or rules.CONSENT_CLASS in kind.lower()
+        landmark = tag in rules.LANDMARK_TAGS or role in rules.LANDMARK_ROLES
+        control = tag == "button" or role == "button" or (tag == "input" and a.get("type") in ("button", "submit"))
+        node = {
+            "tag": tag, "start": self.at, "text": [], "controls": [], "control": control, "known": known, "loose": False,
+            "hit": not landmark and (known or dialog or bool(self.names.search(f"{name} {kind}"))),
+            "sure": dialog or any(re.search(rules.CONSENT_ATTRIBUTE, f"{k}={v}", re.I) for k, v in a.items()),
+            "above": not re.search(r"position\s*:\s*(static|relative)", a.get("style", ""), re.I),
+        }
+        if (tag == "a" and "href" in a) or (tag == "input" and a.get("type") == "checkbox"):
+            for x in self.stack:
+                x["loose"] = True
         if control and tag == "input":
             for x in self.stack:
                 x["controls"].append(a.get("value", ""))
@@ -40,6 +56,8 @@ class _Segments(HTMLParser):
 
     def handle_data(self, data):
         self.at += 1
+        if self.stack and self.stack[-1]["tag"] in ("script", "style"):
+            return
         for x in self.stack:
             if x["hit"] or x["control"]:
                 x["text"].append(data)
@@ -54,27 +72,33 @@ class _Segments(HTMLParser):
             if node["control"]:
                 for x in self.stack:
                     x["controls"].append(text)
-            if node["hit"]:
+            if node["hit"] and (node["known"] or self._dialog_like(node, text)):
                 self.done.append((node["start"], self.at, text, node["controls"]))
             if node["tag"] == tag:
                 break
 
+    def _dialog_like(self, node, text):
+        n = len(node["controls"])
+        return len(text) >= self.least and n > 0 and (node["sure"] or (node["above"] and (node["loose"] or n <= 6)))
+
 
 def consent_segments(pages: DataFrame, names: str = rules.CONSENT_NAMES, least: int = 30) -> DataFrame:
     """P17. (page_id, seg_start, seg_end, text, labels): elements named like a consent dialog or vendor, with text of at
-    least ``least`` characters and an action control. Pages without such a word never reach the parser."""
+    least ``least`` characters and an action control, but no landmarks (headers, navigation, footers, main parts). The
+    containers of ``rules.CONSENT_IDS`` and ``rules.CONSENT_CLASS`` count as they are. Pages without such a word never
+    reach the parser; null pages have no rows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for page, html in zip(pdf["page_id"], pdf["html"], strict=True):
-                parser = _Segments(names)
+                parser = _Segments(names, least)
                 parser.feed(html)
                 parser.handle_endtag(parser.stack[0]["tag"]) if parser.stack else None
-                rows += [(page, *s) for s in sorted(parser.done) if len(s[2]) >= least and s[3]]
+                rows += [(page, *s) for s in sorted(parser.done)]
             yield pd.DataFrame(rows, columns=["page_id", "seg_start", "seg_end", "text", "labels"])
 
-    named = pages.where(F.col("html").rlike(f"(?i){names}|role=.(alert)?dialog|aria-modal")).select("page_id", "html")
+    named = pages.where(F.col("html").rlike(f"(?i){names}|{rules.CONSENT_CLASS}|role=.?(alert)?dialog|aria-modal")).select("page_id", "html")
     return named.mapInPandas(run, "page_id long, seg_start int, seg_end int, text string, labels array<string>")
 
 
@@ -121,6 +145,13 @@ def consent_controls(segments: DataFrame) -> DataFrame:
     return kept.select("page_id", "label", F.when(F.col("label").rlike(rules.REJECT_LABEL), "reject").when(F.col("label").rlike(rules.MANAGE_LABEL), "manage").otherwise("accept").alias("action"))
 
 
+def page_resources(pages: DataFrame) -> DataFrame:
+    """Resources of P19: (page_id, page_host, resource_url), the addresses of the frames and scripts of pages (page_id, url,
+    html) as they are written, without relative ones, which name no host."""
+    src = F.regexp_extract_all("html", F.lit(r"""(?is)<(?:iframe|script)\b[^>]*?\ssrc\s*=\s*["']?\s*((?:https?:)?//[^"'\s>]+)"""), F.lit(1))
+    return pages.select("page_id", urls.host(F.col("url")).alias("page_host"), F.explode(src).alias("resource_url"))
+
+
 def cmp_vendors(resources: DataFrame, vendors: list[str] = rules.CONSENT_VENDORS) -> DataFrame:
     """P19. (vendor, pages, sites): consent vendors by the hosts of frames and scripts (page_id, page_host, resource_url)."""
     found = F.filter(F.array(*map(F.lit, vendors)), lambda v: F.contains(F.lower("resource_url"), v))

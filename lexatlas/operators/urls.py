@@ -129,23 +129,29 @@ def rank_legal_urls(sitemap: DataFrame, k: int = 5, tokens: list[str] = rules.SL
     return sitemap.withColumn("score", score.cast("int")).where("score > 0").withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
 
 
-def sitemap_urls(robots: DataFrame, sitemaps: DataFrame, lang: Column | None = None, prefer: str = "en") -> DataFrame:
-    """S3. (site, pos, url) from robots (site, text) and sitemaps (sitemap_url, xml): the first two Sitemap lines, one
-    nested level of at most six maps (those for which ``lang``, a condition on loc, holds come first; by default those whose
-    path names the language ``prefer``), no assets."""
+def sitemap_urls(robots: DataFrame, sitemaps: DataFrame) -> DataFrame:
+    """S3. (site, pos, url) from robots (site, text, and page_url if known) and sitemaps (sitemap_url, xml): the first two
+    Sitemap lines, and one nested level of at most six maps (.xml addresses that name a sitemap), no assets. A first path
+    segment of ``page_url`` of at most five characters is a language: its maps come first, and of the others only the
+    first one listed is read. Without page_url, or where it has no such segment, all maps are alike."""
     lines = F.slice(F.regexp_extract_all("text", F.lit(r"(?im)^\s*sitemap:\s*(\S+)"), F.lit(1)), 1, 2)
-    top = robots.select("site", F.posexplode(lines).alias("m", "sitemap_url"))
+    page = F.col("page_url") if "page_url" in robots.columns else F.lit(None).cast("string")
+    segment = F.regexp_extract(page, r"^\w+://[^/?#]*/+([^/?#]{1,5})(?:[/?#]|$)", 1)
+    prefix = F.when(segment != "", F.concat(F.lit("/"), segment, F.lit("/")))
+    top = robots.select("site", prefix.alias("prefix"), F.posexplode(lines).alias("m", "sitemap_url"))
     locs = F.regexp_extract_all("xml", F.lit(r"(?is)<loc>\s*(.*?)\s*</loc>"), F.lit(1))
     maps = sitemaps.select("sitemap_url", F.posexplode(locs).alias("n", "loc"))
-    level1 = top.join(maps, "sitemap_url").select("site", "m", "n", "loc")
-    nested = level1.where(F.col("loc").rlike(r"(?i)\.xml(\?|$)"))
-    own = F.desc(F.col("loc").rlike("(?i)[/_-]" + prefer + "[/_.-]")) if lang is None else F.desc(lang)
-    few = nested.withColumn("r", F.row_number().over(W.partitionBy("site").orderBy(own, "m", "n"))).where("r <= 6")
+    is_map = F.col("loc").rlike(r"(?i)\.xml(\?|$)") & F.col("loc").rlike("(?i)sitemap")
+    level1 = top.join(maps, "sitemap_url").select("site", "prefix", "m", "n", "loc", is_map.alias("is_map"))
+    site = W.partitionBy("site")
+    nested = level1.where("is_map").withColumn("own", F.coalesce(F.contains("loc", "prefix"), F.lit(False)))
+    nested = nested.withColumn("at", F.row_number().over(site.orderBy("m", "n"))).where("prefix IS NULL OR own OR at = 1")
+    few = nested.withColumn("r", F.row_number().over(site.orderBy(F.desc("own"), "at"))).where("r <= 6")
     inner = maps.select(F.col("sitemap_url").alias("loc"), F.col("n").alias("b"), F.col("loc").alias("url"))
     level2 = few.join(inner, "loc").select("site", F.lit(1).alias("level"), F.col("r").alias("a"), "b", "url")
-    level1 = level1.where(~F.col("loc").rlike(r"(?i)\.xml(\?|$)")).select("site", F.lit(0).alias("level"), F.col("m").alias("a"), F.col("n").alias("b"), F.col("loc").alias("url"))
+    level1 = level1.where("NOT is_map").select("site", F.lit(0).alias("level"), F.col("m").alias("a"), F.col("n").alias("b"), F.col("loc").alias("url"))
     every = level1.unionByName(level2).where(~F.col("url").rlike("(?i)" + rules.ASSET_URL))
-    return every.withColumn("pos", F.row_number().over(W.partitionBy("site").orderBy("level", "a", "b"))).select("site", "pos", "url")
+    return every.withColumn("pos", F.row_number().over(site.orderBy("level", "a", "b"))).select("site", "pos", "url")
 
 
 def supplement_candidates(links: DataFrame, sitemap: DataFrame, least: int = 3, score: int = 4) -> DataFrame:

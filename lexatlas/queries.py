@@ -234,13 +234,17 @@ def _(spark, d):
 @query("s3_sitemap_urls", cte("sitemap") + f""", inner_maps AS (SELECT site, row_number() OVER (PARTITION BY site ORDER BY pos) AS r, url FROM sitemap)
   SELECT site, CAST(r AS INTEGER) AS pos, url FROM inner_maps""")
 def _(spark, d):
-    """Robots files and two levels of maps made from the sitemap table: one index and one map per site."""
+    """Robots files and two levels of maps made from the sitemap table: per site an index of three maps, of which the first
+    is missing, the second is in another language and the third holds the site's addresses."""
     rows = derived(spark, d, "sitemap")
+    at = lambda path: F.concat(F.lit("https://"), "site", F.lit(path))
+    loc = lambda url: F.concat(F.lit("<url><loc>"), url, F.lit("</loc></url>"))
     sites = rows.select("site").distinct()
-    robots = sites.select("site", F.concat(F.lit("User-agent: *\nSitemap: https://"), "site", F.lit("/index.xml\n")).alias("text"))
-    index = sites.select(F.concat(F.lit("https://"), "site", F.lit("/index.xml")).alias("sitemap_url"), F.concat(F.lit("<loc>https://"), "site", F.lit("/en/map.xml</loc>")).alias("xml"))
-    urls_in = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "url"))), lambda r: F.concat(F.lit("<url><loc>"), r["url"], F.lit("</loc></url>"))), "")
-    maps = rows.groupBy("site").agg(urls_in.alias("xml")).select(F.concat(F.lit("https://"), "site", F.lit("/en/map.xml")).alias("sitemap_url"), "xml")
+    robots = sites.select("site", at("/en/start").alias("page_url"), F.concat(F.lit("User-agent: *\nSitemap: "), at("/index.xml"), F.lit("\n")).alias("text"))
+    index = sites.select(at("/index.xml").alias("sitemap_url"), F.concat(*(loc(at(f"/{x}/sitemap.xml")) for x in ("ja", "de", "en"))).alias("xml"))
+    other = sites.select(at("/de/sitemap.xml").alias("sitemap_url"), loc(at("/de/datenschutz")).alias("xml"))
+    urls_in = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "url"))), lambda r: loc(r["url"])), "")
+    maps = rows.groupBy("site").agg(urls_in.alias("xml")).select(at("/en/sitemap.xml").alias("sitemap_url"), "xml").unionByName(other)
     return links.sitemap_urls(robots, index.unionByName(maps)).select("site", "pos", "url")
 
 
