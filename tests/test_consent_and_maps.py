@@ -88,3 +88,22 @@ def test_languages_of_given_documents(spark):
     both = docs.select("doc_id", "lang").join(pages.detect_language(docs), "doc_id")
     rates = {r["lang"]: r["rate"] for r in both.groupBy("lang").agg(F.avg((F.col("lang") == F.col("detected")).cast("int")).alias("rate")).collect()}
     assert len(rates) == 4 and min(rates.values()) >= 0.9, rates
+
+
+def test_languages_of_plain_sentences(spark):
+    rows = {
+        "it": "Non sono riuscito a trovare la risposta della quale si parla nel testo.",
+        "pt": "O serviço não guarda os dados que não são usados para as compras do cliente.",
+        "nl": "Het bedrijf bewaart de gegevens van een klant niet, maar zij zijn door anderen te zien.",
+        "pl": "Dane są przechowywane przez firmę, która nie przekazuje ich do innych, jest to jednak możliwe.",
+        "cs": "Údaje se neuchovávají, ale jsou předány jiným podle zákona, které platí pro firmu.",
+        "hu": "Az adatok nem kerülnek át, de ha ez a cég kéri, akkor meg is kell adni.",
+        "ro": "Datele nu sunt păstrate în cadrul firmei, care este obligată să le șteargă din sistem.",
+        "tr": "Veriler şirket için çok önemlidir ve bu nedenle bir yıl gibi kısa süre sonra silinir.",
+        "en": "The data is kept for a year and it is deleted by the company on request.",
+        "ru": "Мы храним данные и не передаём их.", "uk": "Ми зберігаємо дані і не передаємо їх.", "bg": "Ние пазим данните и не ги предаваме.",
+        "el": "Τα δεδομένα", "ja": "データを保存します", "zh": "我们保存数据", "ko": "데이터를 저장합니다",
+    }
+    df = spark.createDataFrame([(i, lang, text) for i, (lang, text) in enumerate(rows.items())], "doc_id long, lang string, text string")
+    got = df.join(pages.detect_language(df), "doc_id").where("lang <> detected").select("lang", "detected").collect()
+    assert got == []
