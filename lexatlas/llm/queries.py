@@ -75,6 +75,24 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_embeddings(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .filter_audit import audit_filters
+
+    return audit_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("filter", "documents")
+
+
+def op12_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard_documents
+
+    return shard_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), 24)
+
+
+def op13_cluster_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .clustering import cluster_vectors
+
+    return cluster_vectors(_table(spark, sf_dir, "embeddings")).drop("cluster_size")
+
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -86,6 +104,9 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_toxicity": op9_toxicity,
     "op10_mix_sources": op10_mix_sources,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_shard_documents": op12_shard_documents,
+    "op13_cluster_vectors": op13_cluster_vectors,
 }
 
 MIX_SQL = r"""
@@ -189,7 +210,65 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
 FROM f
 """
 
+AUDIT_SQL = r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), marks AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), flags AS (
+  SELECT t.part, coalesce(m.good, false) AS good, coalesce(m.toxic, false) AS toxic, {
+    'A': len(words) < 200, 'B': 100 * len(list_distinct(words)) < 50 * len(words),
+    'C': 100 * len(regexp_extract_all(text, '[A-Z]')) > 2 * length(text), 'D': regexp_matches(text, '[#$%&*|]'),
+    'E': coalesce(t.doc_id > min(t.doc_id) OVER (PARTITION BY text), false)} AS fails
+  FROM texts t LEFT JOIN marks m USING (doc_id)
+), letters AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c
+), orders AS (
+  SELECT a.c || b.c || c.c || d.c || e.c AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5
+), bits AS (
+  SELECT part, good, toxic, concat(CASE WHEN fails.A THEN 'A' ELSE '' END, CASE WHEN fails.B THEN 'B' ELSE '' END, CASE WHEN fails.C THEN 'C' ELSE '' END,
+    CASE WHEN fails.D THEN 'D' ELSE '' END, CASE WHEN fails.E THEN 'E' ELSE '' END) AS failed FROM flags
+), counted AS (
+  SELECT part, failed, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM bits GROUP BY part, failed
+), steps AS (
+  SELECT c.*, o.filter_order, s.step, o.filter_order[s.step] AS letter, contains(failed, o.filter_order[s.step]) AS own,
+    failed <> '' AND len(list_filter(range(1, s.step), lambda i: contains(failed, o.filter_order[i]))) > 0 AS earlier
+  FROM counted c, orders o, (SELECT unnest(range(1, 6)) AS step) s
+), totals AS (
+  SELECT part, filter_order, step, letter, sum(n) FILTER (NOT own AND NOT earlier) AS kept, sum(n) FILTER (own AND NOT earlier) AS removed,
+    sum(n) FILTER (own AND earlier) AS redundant, sum(n) FILTER (own AND length(failed) = 1) AS unique_fails,
+    sum(good) FILTER (own AND NOT earlier) AS good_lost, sum(toxic) FILTER (own AND NOT earlier) AS toxic_lost FROM steps GROUP BY ALL
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed,
+  CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost,
+  CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost, CAST(coalesce(sum(removed) OVER (PARTITION BY part, letter), 0) AS BIGINT) AS shapley FROM totals
+"""
+
+
+def _cluster_sql(clusters: int = 40, rounds: int = 5, dims: int = 64) -> str:
+    """K-means round by round: a0, a1, ... assign the vectors to the centroids c0, c1, ..."""
+    parts = [
+        f"""kept AS MATERIALIZED (SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0)""",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c, v FROM kept QUALIFY c < {clusters})",
+    ]
+    for i in range(rounds + 1):
+        far = "list_sum(list_transform(list_zip(k.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+        parts.append(f"a{i} AS MATERIALIZED (SELECT k.r, arg_min(c.c, {far} * {clusters} + c.c) AS c, min({far}) AS distance FROM kept k, c{i} c GROUP BY k.r)")
+        if i < rounds:
+            mean = f"""SELECT a.c, list(m ORDER BY d) AS v FROM (SELECT a.c, d, CAST((sum(k.v[d]) - ((sum(k.v[d]) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS m
+  FROM a{i} a JOIN kept k USING (r), (SELECT unnest(range(1, {dims + 1})) AS d) GROUP BY a.c, d) a GROUP BY a.c"""
+            parts.append(f"m{i} AS ({mean}), c{i + 1} AS MATERIALIZED (SELECT c{i}.c, coalesce(m{i}.v, c{i}.v) AS v FROM c{i} LEFT JOIN m{i} USING (c))")
+    return "WITH " + ", ".join(parts) + f"""
+SELECT k.vec_id, CAST(a.c AS INTEGER) AS cluster, CAST(a.distance AS BIGINT) AS distance, CAST(sum(a.distance) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(a.distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN kept k USING (r) JOIN c{rounds} c ON c.c = a.c"""
+
+
 ORACLES = {
+    "op11_filter_audit": AUDIT_SQL,
+    "op13_cluster_vectors": _cluster_sql(),
     "op3_warc_salvage": WARC_SQL,
     "op1_ngram_join": JACCARD_SQL,
     "op2_embedding_dedup": LINKS_SQL,
