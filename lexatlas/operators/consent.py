@@ -116,10 +116,27 @@ def outermost_segments(segments: DataFrame) -> DataFrame:
 
 
 def dedupe_prefix(segments: DataFrame, n: int = 50) -> DataFrame:
-    """W6. Drops segments (page_id, pos, text) whose first ``n`` characters occur in an earlier one of the page."""
-    later, earlier = segments.alias("a"), segments.select("page_id", "pos", "text").alias("b")
-    same = (F.col("a.page_id") == F.col("b.page_id")) & (F.col("b.pos") < F.col("a.pos")) & F.contains(F.col("b.text"), F.left(F.col("a.text"), F.lit(n)))
-    return later.join(earlier, same, "left_anti")
+    """W6. Drops segments (page_id, pos, text, ...) whose first ``n`` characters occur in an earlier kept one of the page; a null
+    text is an empty one, and that occurs in any. Segments are read by page and position as a stream; of a page only the
+    kept texts are held, and no two of those begin alike."""
+    schema = segments.schema
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        page, kept, heads = None, [], set()
+        for pdf in batches:
+            keep = []
+            for of, text in zip(pdf["page_id"], pdf["text"], strict=True):
+                if of != page:
+                    page, kept, heads = of, [], set()
+                head = (text or "")[:n]
+                fresh = head not in heads and not any(head in t for t in kept)
+                if fresh:
+                    kept.append(text or "")
+                    heads.add(head)
+                keep.append(fresh)
+            yield pdf[keep]
+
+    return segments.repartition("page_id").sortWithinPartitions("page_id", "pos").mapInPandas(run, schema)
 
 
 def longest_banner(candidates: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.scan import bare, carried, numbered, ranges
 from ..functions.text import present, sentences
 from ..rules import CONSENT_WORDS
 
@@ -27,14 +28,13 @@ def reuse_analyses(docs: DataFrame, analyses: DataFrame) -> tuple[DataFrame, Dat
 
 
 def previous_snapshot(docs: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """J3. (doc_id, prev_hash, prev_at): the domain's latest snapshot before the document's time ``ts``. An as-of join as one
-    window over the union; a domain's rows are sorted, not gathered."""
+    """J3. (doc_id, prev_hash, prev_at): the domain's latest snapshot before the document's time ``ts`` (of equal times that
+    with the largest hash). An as-of join as one scan over the union of both, in ranges of domain and time."""
     both = docs.select("domain", "ts", "doc_id", F.lit(None).cast("string").alias("h"), F.lit(0).alias("kind")).unionByName(
         snapshots.select("domain", F.col("created_at").alias("ts"), F.lit(None).cast("long").alias("doc_id"), F.col("content_hash").alias("h"), F.lit(1).alias("kind"))
     )
-    w = W.partitionBy("domain").orderBy("ts", "kind").rowsBetween(W.unboundedPreceding, -1)
-    last = F.last(F.when(F.col("kind") == 1, F.struct("h", "ts")), ignorenulls=True).over(w)
-    return both.withColumn("p", last).where("kind = 0").select("doc_id", F.col("p.h").alias("prev_hash"), F.col("p.ts").alias("prev_at"))
+    found = carried(both, ["domain"], ["ts", "kind", "h", "doc_id"], {"p": (F.when(F.col("kind") == 1, F.struct("h", "ts")), False)})
+    return found.where("kind = 0").select("doc_id", F.col("p.h").alias("prev_hash"), F.col("p.ts").alias("prev_at"))
 
 
 def version_status(docs: DataFrame, snapshots: DataFrame) -> DataFrame:
@@ -77,21 +77,20 @@ def sentence_sequence_diff(prev: DataFrame, cur: DataFrame, limit: int = 20) ->
 
 
 def change_timeline(snapshots: DataFrame) -> DataFrame:
-    """U6. (domain, created_at, prev_at, added, removed) of consecutive versions. Each sentence's hash goes to its own version
-    as +1 and to the next one as -1; versions, not texts, are sorted, and what meets by version is narrow."""
-    w = W.partitionBy("domain").orderBy("created_at")
-    order = snapshots.select("domain", "created_at").select("domain", "created_at", F.lag("created_at").over(w).alias("prev_at"), F.lead("created_at").over(w).alias("next_at"))
+    """U6. (domain, created_at, prev_at, added, removed) of consecutive versions, of which a domain has one at a time. Versions
+    are numbered in ranges of domain and time; each sentence's hash goes to its own version as +1 and to the next number
+    as -1, so what meets is narrow and no domain is gathered."""
+    order = bare(numbered(snapshots.select("domain", "created_at"), ["domain"], ["created_at"], "n"))
     texts = snapshots.select("domain", "created_at", F.transform(sentences(F.col("text")), lambda s: F.xxhash64(s)).alias("hashes"))
     rows = order.join(texts, ["domain", "created_at"])
-    none = F.lit(None)
-    signs = [
-        rows.select("domain", "created_at", "prev_at", F.explode_outer("hashes").alias("h"), F.lit(1).alias("d")),
-        rows.where("next_at is not null").select("domain", F.col("next_at").alias("created_at"), none.cast(order.schema["prev_at"].dataType).alias("prev_at"), F.explode("hashes").alias("h"), F.lit(-1).alias("d")),
-    ]
-    both = signs[0].unionByName(signs[1]).repartition("domain", "created_at")
-    net = both.groupBy("domain", "created_at", "h").agg(F.max("prev_at").alias("prev_at"), F.sum(F.when(F.col("h").isNotNull(), F.col("d")).otherwise(0)).alias("d"))
-    counts = net.groupBy("domain", "created_at").agg(F.max("prev_at").alias("prev_at"), F.sum(F.greatest("d", F.lit(0))).alias("added"), F.sum(F.greatest(-F.col("d"), F.lit(0))).alias("removed"))
-    return counts.where("prev_at is not null").select("domain", "created_at", "prev_at", "added", "removed")
+    none = F.lit(None).cast(snapshots.schema["created_at"].dataType)
+    own = rows.select("domain", "n", "created_at", none.alias("prev_at"), F.explode_outer("hashes").alias("h"), F.lit(1).alias("d"))
+    past = rows.select("domain", (F.col("n") + 1).alias("n"), none.alias("created_at"), F.col("created_at").alias("prev_at"), F.explode_outer("hashes").alias("h"), F.lit(-1).alias("d"))
+    both = own.unionByName(past).repartition("domain", "n")
+    at = [F.max(c).alias(c) for c in ("created_at", "prev_at")]
+    net = both.groupBy("domain", "n", "h").agg(*at, F.sum(F.when(F.col("h").isNotNull(), F.col("d")).otherwise(0)).alias("d"))
+    counts = net.groupBy("domain", "n").agg(*at, F.sum(F.greatest("d", F.lit(0))).alias("added"), F.sum(F.greatest(-F.col("d"), F.lit(0))).alias("removed"))
+    return counts.where("created_at is not null and prev_at is not null").drop("n")
 
 
 def page_key(url: Column) -> Column:
@@ -106,26 +105,31 @@ def recent_history(analyses: DataFrame, k: int = 10) -> DataFrame:
 
 
 def mru_pages(scans: DataFrame, k: int) -> DataFrame:
-    """W11. (client_id, page_key, last_ts, rank): pages of each client by last visit, newest first."""
+    """W11. (client_id, page_key, last_ts, rank): pages of each client by last visit, newest first. Each task passes on its
+    first ``k`` of a client only (Spark limits ranked windows before the exchange)."""
     last = scans.groupBy("client_id", page_key(F.col("url")).alias("page_key")).agg(F.max("ts").alias("last_ts"))
     rank = F.row_number().over(W.partitionBy("client_id").orderBy(F.desc("last_ts"), "page_key"))
     return last.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def recently_counted(scans: DataFrame, k: int = 5) -> DataFrame:
-    """W12. Adds counted: is the page among the client's previous k rows that have an address."""
-    w = W.partitionBy("client_id").orderBy("ts", "scan_id").rowsBetween(-k, -1)
+    """W12. Adds counted: is the page among the client's previous k rows that have an address. Rows are numbered per client
+    in ranges of client and time, and compared with the number of the page's last row, in ranges of client and page."""
     keyed = scans.where("url is not null").withColumn("page_key", page_key(F.col("url")))
-    return keyed.withColumn("counted", F.array_contains(F.collect_list("page_key").over(w), F.col("page_key")))
+    rows = bare(numbered(keyed, ["client_id"], ["ts", "scan_id"], "_n"))
+    found = bare(carried(rows, ["client_id", "page_key"], ["_n"], {"_prev": (F.col("_n"), False)}))
+    return found.withColumn("counted", F.coalesce(F.col("_n") - F.col("_prev") <= k, F.lit(False))).drop("_n", "_prev")
 
 
 def rescan_sessions(scans: DataFrame, gap: str = "10 minutes") -> DataFrame:
     """W13, gap part. (client_id, url, first_ts, last_ts, scans, content_hash): scans of a page by a client that follow within
-    the gap (a gap of just that length included), and their last hash."""
-    w = W.partitionBy("client_id", "url").orderBy("ts", "content_hash")
-    new = F.when(F.col("ts") <= F.lag("ts").over(w) + F.expr(f"INTERVAL {gap}"), 0).otherwise(1)
-    marked = scans.withColumn("new", new).withColumn("session", F.sum("new").over(w))
-    return marked.groupBy("client_id", "url", "session").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("scans"), F.max_by("content_hash", F.struct("ts", "content_hash")).alias("content_hash")).drop("session")
+    the gap (a gap of just that length included), and their last hash. Scans without a time are one session of their page.
+    One write in ranges of page and time serves both scans: for the time before, and for the session's first."""
+    rows = ranges(scans.select("client_id", "url", "ts", "content_hash"), ["client_id", "url"], ["ts", "content_hash"])
+    rows = carried(rows, ["client_id", "url"], ["ts", "content_hash"], {"prev": (F.col("ts"), False)})
+    new = F.col("prev").isNull() | (F.col("ts") > F.col("prev") + F.expr(f"INTERVAL {gap}"))
+    rows = carried(rows, ["client_id", "url"], ["ts", "content_hash"], {"session": (F.when(new, F.col("ts")), True)})
+    return rows.groupBy("client_id", "url", "session").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("scans"), F.max_by("content_hash", F.struct("ts", "content_hash")).alias("content_hash")).drop("session")
 
 
 def collapse_rescans(scans: DataFrame, gap_seconds: int = 600) -> DataFrame:

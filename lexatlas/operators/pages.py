@@ -2,33 +2,34 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Iterator, Mapping
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import rules
+from ..functions.markup import DROPPED, body_text
+from ..functions.scan import carried
+from ..functions.shared import written
 from ..functions.text import BLANK, collapse, decode_entities, hits
+from ..languages import SAMPLES, Guesser
 
 #: A word with a letter: a run of non-blanks that starts behind a blank or the text's start.
 WORD = "(?<![^" + BLANK[1:-1] + "])[^" + BLANK[1:-1] + r"\p{L}]*+\p{L}[^" + BLANK[1:-1] + "]*+"
 QUOTA = "(?i)quota limits|exceeding recaptcha"
 
 
-def strip_tags(html: Column, drop: tuple[str, ...] = ("script", "style", "nav", "header", "footer", "svg", "noscript")) -> Column:
-    out = F.regexp_replace(html, "(?s)<!--.*?-->", " ")
-    for tag in drop:
-        out = F.regexp_replace(out, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", " ")
-    out = F.regexp_replace(out, "(?s)<[^>]*>", " ")
-    return collapse(decode_entities(out))
+def strip_tags(html: Column, drop: tuple[str, ...] = DROPPED) -> Column:
+    """The body's text without the elements ``drop``, common character references decoded, blanks collapsed."""
+    return collapse(decode_entities(body_text(html, drop)))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
-    """P5. (page_id, url, text): body text without scripts, styles, navigation, headers, footers, drawings."""
-    body = F.regexp_replace("html", r"(?is)^.*?<body\b[^>]*>", "")
-    return pages.select("page_id", "url", strip_tags(body).alias("text"))
+    """P5. (page_id, url, text): body text without scripts, styles, navigation, headers, footers, drawings; elements end
+    where the document tree ends them."""
+    return pages.select("page_id", "url", strip_tags(F.col("html")).alias("text"))
 
 
 def decode_bodies(raw: DataFrame) -> DataFrame:
@@ -66,7 +67,7 @@ def source_like(text: Column) -> Column:
 def fetch_outcomes(pages: DataFrame) -> DataFrame:
     """S8. (page_id, outcome, retryable): the first of http_error, content_type, quota_page, js_rendered, source_code,
     too_thin that applies, else ok."""
-    text = strip_tags(F.coalesce("html", F.lit("")))
+    text = F.col("_text")
     thin = F.length(text) < 200
     outcome = (
         F.when(F.col("status") >= 400, "http_error")
@@ -77,7 +78,8 @@ def fetch_outcomes(pages: DataFrame) -> DataFrame:
         .when(source_like(text), "source_code")
         .otherwise("ok")
     )
-    return pages.select("page_id", outcome.alias("outcome"), F.coalesce(F.col("status").isin(403, 429, 503), F.lit(False)).alias("retryable"))
+    rows = pages.withColumn("_text", strip_tags(F.coalesce("html", F.lit(""))))
+    return rows.select("page_id", outcome.alias("outcome"), F.coalesce(F.col("status").isin(403, 429, 503), F.lit(False)).alias("retryable"))
 
 
 def outcome_histogram(outcomes: DataFrame, links: DataFrame) -> DataFrame:
@@ -171,19 +173,27 @@ def vocabulary_variety(docs: DataFrame, least: int = 40) -> DataFrame:
     return found.select("doc_id", n.cast("long").alias("tokens"), F.when(n >= least, F.round(F.size(F.array_distinct(words)) / n, 6)).otherwise(1.0).alias("variety"))
 
 
-def detect_language(docs: DataFrame, stopwords: dict[str, str] = rules.STOPWORDS) -> DataFrame:
-    """P21. (doc_id, detected): script ranges decide first; Latin texts take the language with the most stop words (ties
-    and none: the first of en, then alphabetical)."""
-    text, plain = F.col("_text"), F.col("_plain")
-    langs = ["en", *sorted(set(stopwords) - {"en"})]
-    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("_text")).withColumns({
-        "_script": text.rlike("|".join(pattern for _, pattern in rules.SCRIPTS)), "_plain": F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}]+", " "), F.lit(" ")),
-    })
-    counts = [F.struct(hits(plain, f" (?:{'|'.join(stopwords[lang].split())})(?= )").alias("n"), F.lit(-i).alias("order"), F.lit(lang).alias("lang")) for i, lang in enumerate(langs)]
-    ladder = F.when(~F.col("_script"), F.array_max(F.array(*counts))["lang"])  # one search for any script spares most texts the ladder
+def detect_language(docs: DataFrame, samples: Mapping[str, str] = SAMPLES) -> DataFrame:
+    """P21. (doc_id, detected): script ranges decide first; the other texts take the language whose character n-grams, as
+    counted in ``samples``, make them most likely (ties: en, then alphabetical; en where there are no letters). Whole texts
+    are scored, in one pass of a Pandas function; those with a decided script do not reach it."""
+
+    @F.pandas_udf("string")
+    def guessed(texts: pd.Series) -> pd.Series:
+        return texts.map(_guesser(tuple(samples.items())).guess, na_action="ignore")
+
+    text = F.col("_text")
+    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("_text"))
+    rows = rows.withColumn("_latin", F.when(~text.rlike("|".join(pattern for _, pattern in rules.SCRIPTS)), text))  # one search spares most texts the ladder
+    ladder = F.when(F.col("_latin").isNotNull(), guessed("_latin"))
     for lang, pattern in rules.SCRIPTS:
         ladder = ladder.when(text.rlike(pattern) & (text.rlike(r"[\x{0400}-\x{04ff}]") if lang in ("uk", "ru") else F.lit(True)), lang)
-    return rows.select("doc_id", ladder.otherwise(F.array_max(F.array(*counts))["lang"]).alias("detected"))
+    return rows.select("doc_id", ladder.otherwise(guessed(text)).alias("detected"))
+
+
+@functools.cache
+def _guesser(samples: tuple[tuple[str, str], ...]) -> Guesser:
+    return Guesser(dict(samples))
 
 
 def dedupe_text(docs: DataFrame) -> DataFrame:
@@ -195,11 +205,16 @@ def dedupe_text(docs: DataFrame) -> DataFrame:
 
 def usable_text_filter(payloads: DataFrame, fallbacks: list[str]) -> DataFrame:
     """P22. (page, ts, text, from_cache): payloads under 30 characters or equal to a fallback text are replaced by the
-    page's latest good one before them, or dropped if there is none."""
-    good = F.when((F.length("text") >= 30) & ~F.col("text").isin(*fallbacks), F.col("text"))
-    w = W.partitionBy("page").orderBy("ts").rowsBetween(W.unboundedPreceding, 0)
-    df = payloads.withColumn("good", good).withColumn("last", F.last("good", ignorenulls=True).over(w))
-    return df.where("last is not null").select("page", "ts", F.col("last").alias("text"), F.col("good").isNull().alias("from_cache"))
+    page's latest good one before them (of equal times by the text's digest), or dropped if there is none. The latest good
+    one is found on digests, in ranges of page and time; texts meet by page, time and digest, and only those needed."""
+    good = F.coalesce((F.length("text") >= 30) & ~F.col("text").isin(*fallbacks), F.lit(False))
+    rows = payloads.select("page", "ts", "text", good.alias("good"), F.sha2("text", 256).alias("h"))
+    keys = carried(rows.drop("text"), ["page"], ["ts", "h"], {"src": (F.when(F.col("good"), F.struct(F.col("ts").alias("ts"), F.col("h").alias("h"))), False)})
+    thin = written(keys.where("not good and src is not null").select("page", "ts", F.col("src.ts").alias("src_ts"), F.col("src.h").alias("src_h")))
+    needed = thin.select("page", F.col("src_ts").alias("ts"), F.col("src_h").alias("h")).distinct()
+    texts = rows.where("good").join(needed, ["page", "ts", "h"], "left_semi").groupBy("page", F.col("ts").alias("src_ts"), F.col("h").alias("src_h")).agg(F.any_value("text").alias("text"))
+    cached = thin.join(texts, ["page", "src_ts", "src_h"]).select("page", "ts", "text", F.lit(True).alias("from_cache"))
+    return rows.where("good").select("page", "ts", "text", F.lit(False).alias("from_cache")).unionByName(cached)
 
 
 def best_candidate(samples: DataFrame) -> DataFrame:

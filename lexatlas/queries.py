@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import rules
+from . import languages, rules
 from .functions import urls as U
 from .functions.shared import shared_folder
 from .functions.text import BLANK
@@ -18,6 +18,7 @@ from .plans import pipelines
 from .samples import WITH_TEXTS, cte, derived
 from .sources.crawl import spread
 from .streaming import jobs
+from .streaming.ordered import use_rocksdb
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -252,19 +253,22 @@ def _(spark, d):
 
 
 def sql_strip(html: str) -> str:
-    out = f"regexp_replace({html}, '(?s)<!--.*?-->', ' ', 'g')"
-    for tag in ("script", "style", "nav", "header", "footer", "svg", "noscript"):
-        out = f"regexp_replace({out}, {q(rf'(?is)<{tag}\b[^>]*>.*?</{tag}\s*>')}, ' ', 'g')"
-    out = f"regexp_replace({out}, '(?s)<[^>]*>', ' ', 'g')"
+    """Main text by other means than the operator: element ends become marks, and the innermost marked spans go first."""
+    out = f"regexp_replace({html}, {q('(?is)^.*?<body(?:[\\s/][^>]*)?>')}, '')"
+    out = f"regexp_replace(regexp_replace({out}, '(?s)<!--.*?-->', ' ', 'g'), {q('(?is)<script(?:[\\s/][^>]*)?>.*?</script[\\s/]*>|<style(?:[\\s/][^>]*)?>.*?</style[\\s/]*>')}, ' ', 'g')"
+    kinds = ("nav", "header", "footer", "svg", "noscript")
+    for i, tag in enumerate(kinds, 1):
+        out = f"regexp_replace(regexp_replace({out}, {q(f'(?i)<{tag}(?:[\\s/](?:\"[^\"]*\"|[^>\"])*)?>')}, chr({i}), 'g'), {q(f'(?i)</{tag}[\\s/]*>')}, chr({16 + i}), 'g')"
+    for _ in range(3):
+        for i in range(1, len(kinds) + 1):
+            out = f"regexp_replace({out}, '\\x{i:02x}[^\\x{i:02x}\\x{16 + i:02x}]*\\x{16 + i:02x}', ' ', 'g')"
+    out = f"regexp_replace(regexp_replace({out}, '(?s)[\\x01-\\x05].*$', ' '), '(?s)<[^>]*>|[\\x11-\\x15]', ' ', 'g')"
     for mark, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         out = f"replace({out}, {q(mark)}, {q(char)})"
     return sql_collapse(out)
 
 
-BODY = "regexp_replace(html, '(?is)^.*?<body\\b[^>]*>', '')"
-
-
-@query("p5_main_text", f"SELECT page_id, url, {sql_strip(BODY)} AS text FROM pages")
+@query("p5_main_text", f"SELECT page_id, url, {sql_strip('html')} AS text FROM pages")
 def _(spark, d):
     return pages.main_text(read(spark, d, "pages"))
 
@@ -305,17 +309,7 @@ def _(spark, d):
     return pages.outcome_histogram(pages.fetch_outcomes(f), f.select((F.col("page_id") % 50).alias("origin_page"), "page_id"))
 
 
-@query("p6_rendered_text_choice", f"""WITH t AS (SELECT page_id, substr({sql_strip(BODY)}, 1, CASE WHEN page_id % 3 = 0 THEN 5000 ELSE 100 END) AS s, CASE WHEN page_id % 3 = 1 THEN repeat('payload ', 40) END AS p,
-    CASE WHEN page_id % 2 = 0 THEN repeat('shown ', 60) END AS r FROM pages)
-  SELECT page_id, CASE WHEN length(s) >= 200 THEN s WHEN length(p) >= 200 THEN p WHEN r IS NOT NULL THEN trim(r) ELSE s END AS text,
-    CASE WHEN length(s) >= 200 THEN 'static' WHEN length(p) >= 200 THEN 'payload' WHEN r IS NOT NULL THEN 'rendered' ELSE 'static' END AS chosen FROM t""")
-def _(spark, d):
-    t = pages.main_text(read(spark, d, "pages"))
-    own = t.select("page_id", F.when(F.col("page_id") % 3 == 0, F.left("text", F.lit(5000))).otherwise(F.left("text", F.lit(100))).alias("static_text"), F.when(F.col("page_id") % 3 == 1, F.repeat(F.lit("payload "), 40)).alias("payload_text"))
-    return pages.rendered_text_choice(own, t.where("page_id % 2 = 0").select("page_id", F.repeat(F.lit("shown "), 60).alias("rendered_text")))
-
-
-@query("p6_rendered_text_whole", f"""WITH t AS (SELECT page_id * 2 + n.i AS page_id, CASE WHEN n.i = 0 THEN {sql_strip(BODY)} END AS s, CASE WHEN page_id % 3 = 1 THEN repeat('payload ', 40) END AS p,
+@query("p6_rendered_text_whole", f"""WITH t AS (SELECT page_id * 2 + n.i AS page_id, CASE WHEN n.i = 0 THEN {sql_strip('html')} END AS s, CASE WHEN page_id % 3 = 1 THEN repeat('payload ', 40) END AS p,
     CASE WHEN page_id % 2 = 0 THEN repeat('shown ', 60) END AS r FROM pages CROSS JOIN (SELECT 0 AS i UNION ALL SELECT 1) n)
   SELECT page_id, CASE WHEN length(s) >= 200 THEN s WHEN length(p) >= 200 THEN p WHEN r IS NOT NULL THEN trim(r) ELSE s END AS text,
     CASE WHEN length(s) >= 200 THEN 'static' WHEN length(p) >= 200 THEN 'payload' WHEN r IS NOT NULL THEN 'rendered' ELSE 'static' END AS chosen FROM t""")
@@ -328,7 +322,10 @@ def _(spark, d):
     return pages.rendered_text_choice(own, shown)
 
 
-@query("p7_payload_prose", f"""SELECT page_id, t AS text FROM (SELECT page_id, {sql_collapse("replace(replace(" + sql_strip(BODY) + ", '\"', ' '), chr(92), ' ')")} AS t FROM pages) WHERE length(t) >= 200 AND contains(t, ' ')""")
+QUERIES["p6_rendered_text_choice"], ORACLES["p6_rendered_text_choice"] = QUERIES["p6_rendered_text_whole"], ORACLES["p6_rendered_text_whole"]  # the older name
+
+
+@query("p7_payload_prose", f"""SELECT page_id, t AS text FROM (SELECT page_id, {sql_collapse("replace(replace(" + sql_strip('html') + ", '\"', ' '), chr(92), ' ')")} AS t FROM pages) WHERE length(t) >= 200 AND contains(t, ' ')""")
 def _(spark, d):
     """Pages whose text lies in a script only, as a literal."""
     t = pages.main_text(read(spark, d, "pages")).select("page_id", F.translate("text", '"\\', "  ").alias("t"))
@@ -377,15 +374,27 @@ def _(spark, d):
     return pages.vocabulary_variety(read(spark, d, "documents"))
 
 
-def _sql_language() -> str:
-    counts = {lang: f"len(list_filter(w, lambda x: x IN ({', '.join(map(q, words.split()))})))" for lang, words in rules.STOPWORDS.items()}
-    order = ["en", *sorted(set(rules.STOPWORDS) - {"en"})]
-    pick = "CASE " + " ".join(f"WHEN {counts[x]} = greatest({', '.join(counts.values())}) THEN '{x}'" for x in order) + " END"
+def _sql_language(table: str, key: str) -> str:
+    """Counts the profiles anew from the sample texts, and scores texts by joins on n-grams."""
+    plain = lambda t: f"' ' || trim(regexp_replace(lower({t}), {q('[^\\p{L}\\p{Nl}\\p{No}]+')}, ' ', 'g')) || ' '"
     ladder = " ".join(f"WHEN regexp_matches(text, {q(p)}){' AND regexp_matches(text, ' + q(rules.SCRIPTS[-1][1]) + ')' if x in ('uk', 'ru') else ''} THEN '{x}'" for x, p in rules.SCRIPTS)
-    return f"SELECT doc_id, CASE {ladder} ELSE {pick} END AS detected FROM (SELECT doc_id, text, regexp_split_to_array(lower(text), '[^\\p{{L}}]+') AS w FROM documents)"
-
-
-@query("p21_detect_language", _sql_language())
+    zipped = lambda source, id_: f"(SELECT {id_}, unnest(list_zip(l, l[2:], l[3:])) AS z FROM (SELECT {id_}, string_split(t, '') AS l FROM {source}))"
+    cut = lambda source, id_: f"SELECT {id_}, n, gram, count(*) AS c FROM (SELECT {id_}, unnest([1, 2, 3]) AS n, unnest([z[1], z[1] || z[2], z[1] || z[2] || z[3]]) AS gram FROM {zipped(source, id_)}) WHERE gram IS NOT NULL GROUP BY ALL"
+    given = ", ".join(f"({q(lang)}, {q(text)})" for lang, text in languages.SAMPLES.items())
+    return f"""lang_texts AS (SELECT lang, {plain('text')} AS t FROM (VALUES {given}) v(lang, text)), lang_grams AS ({cut('lang_texts', 'lang')}),
+  lang_seen AS (SELECT n, gram FROM lang_grams GROUP BY ALL), lang_known AS (SELECT n, count(*) AS k FROM lang_seen GROUP BY n),
+  lang_total AS (SELECT lang, n, sum(c) + {languages.PSEUDO}::DOUBLE * (any_value(k) + 1) AS total FROM lang_grams JOIN lang_known USING (n) GROUP BY lang, n),
+  lang_other AS (SELECT lang, n, round({languages.SCALE} * ln({languages.PSEUDO}::DOUBLE / total)) AS w FROM lang_total),
+  lang_weights AS (SELECT s.n, s.gram, t.lang, round({languages.SCALE} * ln((coalesce(g.c, 0) + {languages.PSEUDO}::DOUBLE) / t.total)) - o.w AS w
+    FROM lang_seen s JOIN lang_total t ON t.n = s.n JOIN lang_other o ON o.n = s.n AND o.lang = t.lang LEFT JOIN lang_grams g ON g.n = s.n AND g.gram = s.gram AND g.lang = t.lang),
+  own_texts AS (SELECT {key}, {plain('text')} AS t FROM {table} WHERE NOT regexp_matches(text, {q('|'.join(p for _, p in rules.SCRIPTS))})), own_grams AS MATERIALIZED ({cut('own_texts', key)}),
+  own_scores AS (SELECT {key}, lang, sum(s) AS s FROM (SELECT {key}, lang, sum(c * w) AS s FROM own_grams JOIN lang_weights USING (n, gram) GROUP BY ALL
+    UNION ALL SELECT {key}, lang, sum(c * w) AS s FROM own_grams JOIN lang_other USING (n) GROUP BY ALL) GROUP BY ALL),
+  guesses AS (SELECT {key}, arg_max(lang, (s, -CASE WHEN lang = 'en' THEN 0 ELSE ascii(lang) * 128 + ascii(lang[2:]) END)) AS lang FROM own_scores GROUP BY {key}),
+  languages AS (SELECT d.{key}, CASE {ladder} WHEN trim({plain('text')}) = '' THEN 'en' ELSE coalesce(g.lang, 'en') END AS detected FROM {table} d LEFT JOIN guesses g USING ({key}))"""
+
+
+@query("p21_detect_language", f"WITH {_sql_language('documents', 'doc_id')} SELECT doc_id, detected FROM languages")
 def _(spark, d):
     return pages.detect_language(read(spark, d, "documents"))
 
@@ -437,11 +446,25 @@ def _(spark, d):
     return consent.cmp_vendors(derived(spark, d, "resources"))
 
 
-@query("w6_dedupe_prefix", cte("segments") + " SELECT page_id, pos FROM segments a WHERE NOT EXISTS (SELECT 1 FROM segments b WHERE b.page_id = a.page_id AND b.pos < a.pos AND contains(b.text, substr(a.text, 1, 50)))")
+def _sql_prefixes(table: str) -> str:
+    head = "len(list_filter(f.kept, lambda t: contains(t, substr(o.text, 1, 50)))) = 0"
+    return cte(table).replace("WITH ", "WITH RECURSIVE ", 1) + f""", o AS (SELECT page_id, pos, text, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS rn FROM {table}),
+  f AS (SELECT page_id, pos, rn, true AS keep, [text] AS kept FROM o WHERE rn = 1 UNION ALL
+    SELECT o.page_id, o.pos, o.rn, {head}, CASE WHEN {head} THEN list_append(f.kept, o.text) ELSE f.kept END FROM f JOIN o ON o.page_id = f.page_id AND o.rn = f.rn + 1)
+  SELECT page_id, pos FROM f WHERE keep"""
+
+
+@query("w6_dedupe_prefix", _sql_prefixes("segments"))
 def _(spark, d):
     return consent.dedupe_prefix(derived(spark, d, "segments")).select("page_id", "pos")
 
 
+@query("w6_prefix_cascades", _sql_prefixes("cascades"))
+def _(spark, d):
+    """Each document, a segment that begins like it and holds the next one, and the next one."""
+    return consent.dedupe_prefix(derived(spark, d, "cascades")).select("page_id", "pos")
+
+
 @query("w7_outermost_segments", cte("segments") + """ SELECT page_id, pos, CAST(row_number() OVER (PARTITION BY page_id ORDER BY length(text), seg_start) AS INTEGER) AS rank FROM segments a
   WHERE NOT EXISTS (SELECT 1 FROM segments b WHERE b.page_id = a.page_id AND b.pos <> a.pos AND b.seg_start <= a.seg_start AND b.seg_end >= a.seg_end)""")
 def _(spark, d):
@@ -756,6 +779,20 @@ def _(spark, d):
     return history.recently_counted(derived(spark, d, "scans")).select("scan_id", "counted")
 
 
+def decisions(table: str, gap: str = "INTERVAL 12 HOURS") -> str:
+    """The fold of W13 and T2 as recursion over each page's scans: hashes and times of its rows so far."""
+    at = "list_position(f.times, list_max(f.times))"
+    near = f"(o.ts - f.times[{at}] <= {gap} AND o.content_hash <> f.hashes[{at}])"
+    known = "list_contains(f.hashes, o.content_hash)"
+    put = lambda xs, x: f"f.{xs}[:{at} - 1] || [{x}] || f.{xs}[{at} + 1:]"
+    return f"""ordered AS (SELECT client_id, url, content_hash, ts, row_number() OVER (PARTITION BY client_id, url ORDER BY ts, content_hash) AS rn FROM {table}),
+  folded AS (SELECT *, [content_hash] AS hashes, [ts] AS times, 'insert' AS action FROM ordered WHERE rn = 1 UNION ALL
+    SELECT o.*, CASE WHEN {near} THEN {put('hashes', 'o.content_hash')} WHEN {known} THEN f.hashes ELSE f.hashes || [o.content_hash] END,
+      CASE WHEN {near} THEN {put('times', 'o.ts')} WHEN {known} THEN list_transform(f.times, lambda t: o.ts) ELSE f.times || [o.ts] END,
+      CASE WHEN {near} THEN 'overwrite' WHEN {known} THEN 'bump' ELSE 'insert' END
+    FROM folded f JOIN ordered o ON o.client_id = f.client_id AND o.url = f.url AND o.rn = f.rn + 1)"""
+
+
 @query("w13_rescan_sessions", cte("scans") + """, n AS (SELECT *, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 12 HOURS THEN 0 ELSE 1 END AS new FROM scans WINDOW w AS (PARTITION BY client_id, url ORDER BY ts, content_hash)),
   s AS (SELECT *, sum(new) OVER (PARTITION BY client_id, url ORDER BY ts, content_hash ROWS UNBOUNDED PRECEDING) AS session FROM n)
   SELECT client_id, url, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS scans, arg_max(content_hash, (ts, content_hash)) AS content_hash FROM s GROUP BY client_id, url, session""")
@@ -763,7 +800,7 @@ def _(spark, d):
     return history.rescan_sessions(derived(spark, d, "scans"), "12 hours")
 
 
-@query("w13_collapse_rescans")
+@query("w13_collapse_rescans", cte("scans").replace("WITH ", "WITH RECURSIVE ", 1) + f", {decisions('scans')} SELECT client_id, url, content_hash, ts, action FROM folded")
 def _(spark, d):
     return history.collapse_rescans(derived(spark, d, "scans"), 12 * 3600)
 
@@ -887,7 +924,7 @@ def _(spark, d):
     return model.localized_messages(read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 7 != 0, F.col("lang")).alias("lang"), (F.col("doc_id") % 2 == 0).alias("has_document")))
 
 
-@query("l7_fallback_answers", cte("questions") + ", r AS (" + _sql_language().replace("FROM documents", "FROM questions").replace("doc_id, text,", "id, has_document, text,").replace("SELECT doc_id, CASE", "SELECT id, has_document, CASE").replace("AS detected", "AS lang") + f"), m AS ({_sql_messages('r')}) SELECT id, message AS answer FROM m")
+@query("l7_fallback_answers", cte("questions") + f""", {_sql_language('questions', 'id')}, r AS (SELECT id, has_document, detected AS lang FROM questions JOIN languages USING (id)), m AS ({_sql_messages('r')}) SELECT id, message AS answer FROM m""")
 def _(spark, d):
     return model.fallback_answers(derived(spark, d, "questions")).select("id", "answer")
 
@@ -946,6 +983,7 @@ def _drain(stream: DataFrame) -> DataFrame:
 
 
 def event_stream(spark: SparkSession, d: str) -> DataFrame:
+    use_rocksdb(spark)
     schema = read(spark, d, "events").schema
     raw = spark.readStream.schema(schema).parquet(f"{d}/event[s].parquet")  # a pattern, so that a single file may be streamed
     return raw.select(
@@ -969,9 +1007,10 @@ def _(spark, d):
     return out.select("client_id", "url", F.unix_micros("first_ts").alias("first_us"), F.unix_micros("last_ts").alias("last_us"), "scans")
 
 
-@query("t2_stream_history")
+@query("t2_stream_history", f"WITH RECURSIVE {STREAM_SQL}, {decisions('s')} SELECT client_id, url, content_hash, ts, action FROM folded WHERE ts <= {CLOSED}")
 def _(spark, d):
-    return _drain(jobs.stream_history(event_stream(spark, d), 12 * 3600, LATE))
+    out = _drain(jobs.stream_history(event_stream(spark, d), 12 * 3600, LATE))
+    return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @query("t3_stream_version_changes", f"""WITH {STREAM_SQL}, p AS (SELECT client_id, ts, lag(content_hash) OVER w AS prev_hash, content_hash FROM s WINDOW w AS {IN_ORDER})
@@ -987,6 +1026,19 @@ def _(spark, d):
     return _drain(jobs.stream_dedupe(rows, "60 days")).select("canonical_url")
 
 
+FETCH_KINDS = "CASE event_type WHEN 'click' THEN 'static' WHEN 'view' THEN 'rendered' ELSE 'page' END"
+
+
+@query("t4_stream_fetches", f"""WITH RECURSIVE {STREAM_SQL}, o AS (SELECT *, CAST(epoch_us(ts) AS BIGINT) AS us, row_number() OVER (PARTITION BY kind ORDER BY ts) AS rn FROM (SELECT ts, {FETCH_KINDS} AS kind FROM s)),
+  f AS (SELECT kind, rn, us, us AS fetched FROM o WHERE rn = 1 UNION ALL
+    SELECT o.kind, o.rn, o.us, CASE WHEN o.us - f.fetched >= CASE o.kind WHEN 'static' THEN 60000000 WHEN 'rendered' THEN 300000000 ELSE 86400000000 END THEN o.us ELSE f.fetched END
+    FROM f JOIN o ON o.kind = f.kind AND o.rn = f.rn + 1)
+  SELECT 'site' AS canonical_url, kind, us FROM f WHERE us = fetched AND us <= (SELECT CAST(epoch_us({CLOSED}) AS BIGINT)) GROUP BY kind, us""")
+def _(spark, d):
+    rows = event_stream(spark, d).select(F.lit("site").alias("canonical_url"), F.expr(FETCH_KINDS).alias("kind"), "ts")
+    return _drain(jobs.stream_fetches(rows, late=LATE)).select("canonical_url", "kind", F.unix_micros("ts").alias("us"))
+
+
 @query("t5_stream_longest_text", f"""WITH {STREAM_SQL}, l AS (SELECT client_id, ts, repeat('x', CAST(greatest(0, floor(value)) AS INTEGER)) AS text FROM s), m AS (SELECT *, max(length(text)) OVER (PARTITION BY client_id ORDER BY ts, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM l)
   SELECT client_id AS page, CAST(length(text) AS INTEGER) AS n FROM m WHERE length(text) > coalesce(before, 0) AND ts <= {CLOSED}""")
 def _(spark, d):

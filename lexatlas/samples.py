@@ -81,9 +81,13 @@ DERIVED: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT page_id, n.i AS pos, CASE (page_id + n.i) % 8 WHEN 0 THEN 'Accept all' WHEN 1 THEN 'Reject all' WHEN 2 THEN ' Manage  cookies ' WHEN 3 THEN 'OK'
           WHEN 4 THEN 'Read more' WHEN 5 THEN 'Decline or manage cookies' WHEN 6 THEN '' ELSE 'settings' END AS label FROM {{pages}} CROSS JOIN {SIX}"""),
     "segments": (("documents",), f"""
-        SELECT CAST(floor(doc_id / 4) AS BIGINT) AS page_id, CAST(doc_id % 4 AS INT) AS pos, CASE WHEN doc_id % 4 = 3 THEN substr(text, 1, 60) ELSE text || {_clause('doc_id % 12')} END AS text,
+        SELECT CAST(floor(doc_id / 4) AS BIGINT) AS page_id, CAST(doc_id % 4 AS INT) AS pos, text || {_clause('doc_id % 12')} AS text,
           CAST(CASE doc_id % 4 WHEN 0 THEN 10 WHEN 1 THEN 20 WHEN 2 THEN 60 ELSE 70 END AS INT) AS seg_start, CAST(CASE doc_id % 4 WHEN 0 THEN 50 WHEN 1 THEN 30 WHEN 2 THEN 90 ELSE 80 + doc_id % 3 * 10 END AS INT) AS seg_end
         FROM {{documents}}"""),
+    "cascades": (("documents",), """
+        SELECT doc_id AS page_id, 0 AS pos, text FROM {documents}
+        UNION ALL SELECT d.doc_id AS page_id, 1 AS pos, d.text || n.text AS text FROM {documents} d JOIN (SELECT doc_id - 1 AS doc_id, text FROM {documents}) n ON n.doc_id = d.doc_id
+        UNION ALL SELECT doc_id - 1 AS page_id, 2 AS pos, text FROM {documents}"""),
     "analyses": (("documents", "labels"), """
         SELECT md5(CAST(d.doc_id AS STRING)) AS analysis_id, CASE WHEN d.doc_id % 7 = 0 THEN NULL ELSE 'c' || CAST(d.doc_id % 40 AS STRING) END AS client_id,
           'https://site' || CAST(d.doc_id % 50 AS STRING) || '.example.com/docs/' || CAST(d.doc_id AS STRING) AS url, 'site' || CAST(d.doc_id % 50 AS STRING) || '.example.com' AS domain,

@@ -1,13 +1,14 @@
-"""Jobs on streams of scans, pages and payloads. Every keyed state has a time to live in event time."""
+"""Jobs on streams of scans, pages and payloads. Every keyed state has a time to live in event time, counted from the
+key's last row."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Mapping
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from .ordered import Fold, Histories, InEventOrder, Longest, in_event_order
 
 DAY_MS = 24 * 3600 * 1000
 
@@ -18,65 +19,16 @@ def stream_collapse_rescans(scans: DataFrame, gap: str = "10 minutes", late: str
     return rows.agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("scans")).drop("session_window")
 
 
-def _keyed(stream: DataFrame, keys: list[str], value: str, fold, out: str, state: str, late: str, ttl_ms: int) -> DataFrame:
-    """Fold of each key's rows in event order, whatever batches they come in.
-
-    Rows wait in the state until the watermark has passed them, ``late`` behind the newest row of the stream; then no
-    earlier row can follow (the stream drops such), and they are folded by time, equal times by null first and value: fold(key, state
-    tuple or None, ts in microseconds, value) -> (output rows, new state). So the last rows of a stream stay open until newer ones come. A
-    state goes once the watermark has passed its key's last row by the time to live. Rows without a time are dropped.
-    The state holds a key's rows of the time that ``late`` spans.
-    """
-    names = [f.split()[0] for f in out.split(", ")]
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        *folded, times, values, last = held.get if held.exists else (None, [], [], 0)
-        folded, times, values = (tuple(folded) if held.exists and last else None), list(times), list(values)
-        for pdf in batches:
-            times += pdf["us"].tolist()
-            values += [None if v is None else str(v) for v in pdf["value"]]
-        passed, rows = held.getCurrentWatermarkMs() * 1000, []
-        order = sorted(range(len(times)), key=lambda i: (times[i], values[i] is not None, values[i] or ""))
-        ready = [i for i in order if times[i] <= passed]
-        for i in ready:
-            more, folded = fold(key, folded, times[i], values[i])
-            rows += more
-            last = times[i]
-        rest = order[len(ready) :]
-        if not rest and last + ttl_ms * 1000 <= passed:
-            held.remove()
-        else:
-            empty = (None,) * state.count(", ") + (None,)
-            held.update((*(folded or empty), [times[i] for i in rest], [values[i] for i in rest], last))
-            due = -(-times[rest[0]] // 1000) - 1 if rest else last // 1000 + ttl_ms
-            held.setTimeoutTimestamp(max(due, passed // 1000 + 1))
-        if rows:
-            yield pd.DataFrame(rows, columns=names)
-
-    schema = out.replace("ts timestamp", "ts long")
-    rows = stream.where("ts is not null").select(*keys, "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col(value).alias("value"))
-    done = rows.withWatermark("ts", late).groupBy(*keys).applyInPandasWithState(run, schema, f"{state}, times array<long>, pending array<string>, last long", "append", GroupStateTimeout.EventTimeTimeout)
-    return done.withColumn("ts", F.timestamp_micros("ts"))
+def _folded(stream: DataFrame, keys: list[str], value: str, fold: Fold, out: str, state: str, late: str, ttl_ms: int, kind=InEventOrder) -> DataFrame:
+    return in_event_order(stream, keys, value, kind([f.split()[0] for f in out.split(", ")], state, fold, ttl_ms), out, late)
 
 
 def stream_history(scans: DataFrame, gap_seconds: int = 600, late: str = "1 hour", ttl_ms: int = 30 * DAY_MS) -> DataFrame:
     """T2. (client_id, url, content_hash, ts, action) of each scan: overwrite, bump or insert, by the page's rows so far,
-    one per distinct hash."""
-
-    def fold(key, state, us, h):
-        hashes, times = (list(x) for x in state) if state else ([], [])
-        at = max(range(len(times)), key=times.__getitem__, default=None)
-        if at is not None and us - times[at] <= gap_seconds * 1_000_000 and h != hashes[at]:
-            hashes[at], times[at], action = h, us, "overwrite"
-        elif h in hashes:
-            times, action = [us] * len(times), "bump"
-        else:
-            hashes.append(h)
-            times.append(us)
-            action = "insert"
-        return [(*key, h, us, action)], (hashes, times)
-
-    return _keyed(scans, ["client_id", "url"], "content_hash", fold, "client_id string, url string, content_hash string, ts timestamp, action string", "hashes array<string>, seen array<long>", late, ttl_ms)
+    one per distinct hash. A null hash is an empty one."""
+    out = "client_id string, url string, content_hash string, ts timestamp, action string"
+    processor = Histories([f.split()[0] for f in out.split(", ")], gap_seconds, ttl_ms)
+    return in_event_order(scans, ["client_id", "url"], "content_hash", processor, out, late)
 
 
 def stream_version_changes(docs: DataFrame, late: str = "1 hour", ttl_ms: int = 365 * DAY_MS) -> DataFrame:
@@ -85,10 +37,10 @@ def stream_version_changes(docs: DataFrame, late: str = "1 hour", ttl_ms: int =
     def fold(key, state, us, h):
         prev = state[0] if state else None
         if h is None:
-            return [], state or (None,)
+            return [], (prev,)
         return [(key[0], prev, h, us)] if prev not in (None, h) else [], (h,)
 
-    return _keyed(docs, ["domain"], "content_hash", fold, "domain string, prev_hash string, content_hash string, ts timestamp", "hash string", late, ttl_ms)
+    return _folded(docs, ["domain"], "content_hash", fold, "domain string, prev_hash string, content_hash string, ts timestamp", "hash string", late, ttl_ms)
 
 
 def stream_dedupe(pages: DataFrame, ttl: str = "24 hours", key: str = "canonical_url") -> DataFrame:
@@ -96,6 +48,23 @@ def stream_dedupe(pages: DataFrame, ttl: str = "24 hours", key: str = "canonical
     return pages.withWatermark("ts", ttl).dropDuplicatesWithinWatermark([key])
 
 
+#: How long a fetch of each kind serves for the same address, in milliseconds.
+FETCH_TTL_MS = {"static": 60_000, "rendered": 300_000, "page": DAY_MS}
+
+
+def stream_fetches(pages: DataFrame, ttl_ms: Mapping[str, int] = FETCH_TTL_MS, late: str = "1 hour") -> DataFrame:
+    """T4 by kind of fetch. (canonical_url, kind, ts) of the requests (canonical_url, kind, ts) that must be fetched: the
+    first of an address and kind, and each that comes the kind's time to live or more after the last one fetched. A kind
+    that is not listed is always fetched."""
+
+    def fold(key, state, us, _):
+        fresh = state and us - state[0] < ttl_ms.get(key[1], 0) * 1000
+        return ([], state) if fresh else ([(*key, us)], (us,))
+
+    out = "canonical_url string, kind string, ts timestamp"
+    return _folded(pages, ["canonical_url", "kind"], "kind", fold, out, "fetched long", late, max(ttl_ms.values()))
+
+
 def stream_longest_text(frames: DataFrame, late: str = "1 hour", ttl_ms: int = DAY_MS) -> DataFrame:
     """T5. (page, ts, text) whenever a page's longest consent text grows; null is an empty text."""
 
@@ -103,7 +72,7 @@ def stream_longest_text(frames: DataFrame, late: str = "1 hour", ttl_ms: int = D
         most = state[0] if state else 0
         return ([(key[0], us, text)], (len(text),)) if len(text or "") > most else ([], (most,))
 
-    return _keyed(frames, ["page"], "text", fold, "page string, ts timestamp, text string", "most int", late, ttl_ms)
+    return _folded(frames, ["page"], "text", fold, "page string, ts timestamp, text string", "most long", late, ttl_ms, Longest)
 
 
 def stream_signature_changes(payloads: DataFrame, late: str = "1 hour", ttl_ms: int = DAY_MS) -> DataFrame:
@@ -114,21 +83,22 @@ def stream_signature_changes(payloads: DataFrame, late: str = "1 hour", ttl_ms:
     def fold(key, state, us, s):
         return [(key[0], us, s)] if state is None or state[0] != s else [], (s,)
 
-    return _keyed(payloads.select("page", "ts", signature.alias("signature")), ["page"], "signature", fold, "page string, ts timestamp, signature string", "signature string", late, ttl_ms)
+    return _folded(payloads.select("page", "ts", signature.alias("signature")), ["page"], "signature", fold, "page string, ts timestamp, signature string", "signature string", late, ttl_ms)
 
 
 def stream_converged(samples: DataFrame, enough: int = 3000, least: int = 300, repeats: int = 2, late: str = "1 hour", ttl_ms: int = DAY_MS) -> DataFrame:
     """T7. (page, ts, length) once a page's longest text so far has ``enough`` characters, or has not grown for ``repeats`` samples
-    at ``least`` characters."""
+    at ``least`` characters. Only lengths wait."""
 
-    def fold(key, state, us, text):
+    def fold(key, state, us, length):
         longest, same, done = state or (0, 0, False)
-        n = len(text or "")
+        n = int(length)
         longest, same = (n, 0) if n > longest else (longest, same + 1)
         now = not done and (longest >= enough or (longest >= least and same >= repeats))
         return [(key[0], us, longest)] if now else [], (longest, same, done or now)
 
-    return _keyed(samples, ["page"], "text", fold, "page string, ts timestamp, length int", "longest int, same int, done boolean", late, ttl_ms)
+    lengths = samples.select("page", "ts", F.format_string("%010d", F.length(F.coalesce("text", F.lit("")))).alias("length"))
+    return _folded(lengths, ["page"], "length", fold, "page string, ts timestamp, length int", "longest long, same long, done boolean", late, ttl_ms)
 
 
 def stream_alert_rate(analyses: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
