@@ -45,19 +45,54 @@ class ProductQuantiser:
         back = np.concatenate([b[codes[:, i]] for i, b in enumerate(self.books)], 1)
         return own, codes.astype(np.uint8), np.linalg.norm(rest - back, axis=1)
 
-    def probes(self, x: np.ndarray, threshold: float, z: float) -> list[np.ndarray]:
+    def measure(self, sample: np.ndarray, threshold: float, z: float, points: int = 1500, kin: int = 4) -> None:
+        """Set ``width``, the part of the exact bound within which neighbours' lists are probed.
+
+        Neighbours at the threshold are made of sample vectors x in the directions that neighbours may lie in: those of the
+        nearest sample vectors, those between any two of the sample, and any direction at all. Each needs some width to be
+        found from either side; the largest but for 1 in 2000 of each kind of direction counts, times ``z``, at most the
+        whole bound, which holds for every direction. So vectors that fill few dimensions are probed further.
+        """
+        rng = np.random.default_rng(11)
+        x = sample[rng.choice(len(sample), min(points, len(sample)), replace=False)]
+        near = np.empty((len(x), min(kin, len(sample))), np.int64)
+        for at in range(0, len(x), 128):
+            near[at : at + 128] = np.argpartition(-(x[at : at + 128] @ sample.T), near.shape[1] - 1, axis=1)[:, : near.shape[1]]
+        any_two = lambda: sample[rng.integers(0, len(sample), len(x))]
+        kinds = [
+            [sample[near[:, i]] for i in range(near.shape[1])], [any_two() - any_two() for _ in range(kin)], [rng.normal(size=x.shape) for _ in range(kin)],
+        ]
+        tan, widths = np.sqrt(1 - threshold**2) / threshold, [0.0]
+        for kind in kinds:
+            need = []
+            for y in kind:
+                u = y - (y * x).sum(1, keepdims=True) * x
+                size = np.linalg.norm(u, axis=1)
+                fits = size > 1e-6
+                v = x[fits]
+                w = threshold * v + np.sqrt(1 - threshold**2) * u[fits] / size[fits, None]
+                v_near, w_near = v @ self.centres.T, w @ self.centres.T
+                o, c, row = v_near.argmax(1), w_near.argmax(1), np.arange(len(v))
+                apart = np.linalg.norm(self.centres[o] - self.centres[c], axis=1)
+                gap = np.minimum(v_near[row, o] - v_near[row, c], w_near[row, c] - w_near[row, o])
+                need.append(np.where(o == c, 0, gap / np.maximum(tan * apart, 1e-12)))
+            if len(need := np.concatenate(need)):
+                widths.append(float(np.quantile(need, 0.9995)))
+        self.width = min(1.0, z * max(widths))
+
+    def probes(self, x: np.ndarray, threshold: float) -> list[np.ndarray]:
         """Lists that may hold a vector of cosine >= threshold to each x.
 
-        A neighbour is cos(a) x + sin(a) u with u orthogonal to x; it falls to list c instead of x's own list o only if
-        u.(c - o) >= (x.o - x.c) / tan(a). For a direction u without preference u.(c - o) has standard deviation
-        |c - o| / sqrt(dim); lists beyond ``z`` of these are not probed.
+        A neighbour is cos(a) x + sin(a) u with a unit vector u orthogonal to x; it falls to list c instead of x's own list o
+        only if u.(c - o) >= (x.o - x.c) / tan(a). Since u.(c - o) <= |c - o| for every u, lists beyond that need not be
+        probed; those beyond ``width`` of it are not.
         """
         near = x @ self.centres.T
         own = near.argmax(1)
-        reach = z * np.sqrt(1 - threshold**2) / threshold / np.sqrt(x.shape[1])
+        reach = self.width * np.sqrt(1 - threshold**2) / threshold
         apart = np.sqrt(np.maximum(0, 2 - 2 * self.centres @ self.centres.T))
         gap = near[np.arange(len(x)), own][:, None] - near
-        return [np.flatnonzero(row) for row in gap <= reach * apart[own]]
+        return [np.flatnonzero(row) for row in gap <= reach * apart[own] + 1e-12]
 
     def distances(self, q: np.ndarray, centre: int, codes: np.ndarray) -> np.ndarray:
         """Asymmetric distances of query vectors to the coded members of a list, by table lookup."""
@@ -81,13 +116,14 @@ def _unit(rows) -> np.ndarray:
 
 
 def link_embeddings(
-    vectors: DataFrame, threshold: float = 0.9, max_sample: int = 20_000, lists: int | None = None, subspaces: int = 8, codes: int = 64, z: float = 2.0,
+    vectors: DataFrame, threshold: float = 0.9, max_sample: int = 20_000, lists: int | None = None, subspaces: int = 8, codes: int = 64, z: float = 1.25,
 ) -> DataFrame:
     """Link the rows of ``vectors`` (vec_id, embedding, ...) whose cosine, in double precision, is >= ``threshold``.
 
     The index is fitted on at most ``max_sample`` vectors in hash order and holds all: each vector lies in one of
     about sqrt(n) coarse lists as a residual code with its reconstruction error. Each vector searches the lists that a
-    neighbour may lie in (a pair is found if either finds the other), compares table-lookup distances there, less the member's error, with the threshold's distance
+    neighbour may lie in (a pair is found if either finds the other; how far is measured on the sample, with ``z`` as a
+    margin, so that vectors of few inner dimensions lose no links; a ``z`` of 100 gives the bound that holds for all), compares table-lookup distances there, less the member's error, with the threshold's distance
     (which loses no pair of the probed lists), and the rest by exact cosine. Equal embeddings are one class. A list's
     members and searchers are dealt into units of bounded size; units return link counts and a spanning forest, never
     pairs.
@@ -130,7 +166,10 @@ def _search(classes: DataFrame, threshold, max_sample, lists, subspaces, codes,
     n, kind = classes.count(), classes.schema["embedding"].dataType.simpleString()
     sample = classes.orderBy(F.xxhash64("key"), "key").limit(max_sample).select("embedding").collect()
     lists = lists or max(1, min(len(sample) // 4, round(n**0.5)))
-    shared = spark.sparkContext.broadcast(ProductQuantiser(_unit(r[0] for r in sample), lists, subspaces, codes))
+    unit = _unit(r[0] for r in sample)
+    quantiser = ProductQuantiser(unit, lists, subspaces, codes)
+    quantiser.measure(unit, threshold, z)
+    shared = spark.sparkContext.broadcast(quantiser)
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pq = shared.value
@@ -139,7 +178,7 @@ def _search(classes: DataFrame, threshold, max_sample, lists, subspaces, codes,
                 continue
             x = _unit(pdf["embedding"])
             own, code, error = pq.encode(x)
-            probes = pq.probes(x, threshold, z)
+            probes = pq.probes(x, threshold)
             yield pd.DataFrame({"node": pdf["node"], "copies": pdf["copies"], "vector": pdf["embedding"], "list": own.astype(np.int32), "codes": [c.tobytes() for c in code], "error": error, "probes": [p.astype(np.int32) for p in probes], "asks": [_bits(p, len(pq.centres)) for p in probes]})
 
     coded = materialize(classes.select("node", "copies", "embedding").mapInPandas(encode, f"node long, copies long, vector {kind}, list int, codes binary, error double, probes array<int>, asks binary"))
