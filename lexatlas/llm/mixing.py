@@ -4,28 +4,31 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, prefix_sum, small_or_shuffled
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: So many words, or one of each source, may be sorted one by one at the cut.
+FEW = 100_000
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int], budget_share: float, max_repeats: int) -> DataFrame:
-    """(source, source_size, longest, rank, before, target) from (source, size) rows.
+    """(source, source_size, rank, before, most, target) from (source, size) rows.
 
     Sources in code-point order (null last) take ``weights`` in turn and share ``budget_share`` of all sizes; a target
     stops at ``max_repeats`` times the source's size and the excess is shared anew by weight until none is above.
     Each round is one aggregate over the sources; only its two sums come to the driver.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.max("size").alias("longest")).withColumn("one", F.lit(1))
+    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("one", F.lit(1))
     order = [F.col("source").asc_nulls_last()]
     ranked = prefix_sum(prefix_sum(per, order, "one", "rank"), order, "source_size", "upto")
     cycle = F.array(*(F.lit(int(w)) for w in weights))
     ranked = materialize(
         ranked.select(
-            "source", "source_size", "longest", "rank", (F.col("upto") - F.col("source_size")).alias("before"),
+            "source", "source_size", "rank", (F.col("upto") - F.col("source_size")).alias("before"),
             F.element_at(cycle, ((F.col("rank") - 1) % len(weights) + 1).cast("int")).alias("weight"),
             (F.col("source_size") * max_repeats).alias("most"),
         )
@@ -42,30 +45,58 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], budget_share: float
     return materialize(ranked.withColumn("target", target))
 
 
-def cut_queue(entries: DataFrame, budget: int, slack: int) -> tuple[DataFrame, DataFrame]:
+def words_until(time: float, target: Column) -> Column:
+    """How many words a source has sent at a virtual time: the largest k with k / target <= time, as doubles compare."""
+    k = F.floor(F.lit(time) * target)
+    return k + F.when((k + 1) / target <= time, 1).otherwise(0) - F.when(k / target > time, 1).otherwise(0)
+
+
+def cut_time(sources: DataFrame, budget: int, ways: int = 32) -> tuple[float, float]:
+    """Virtual times (before, until) such that the ``sources`` (target, most) have sent fewer than ``budget`` words at the
+    first and no fewer at the second, and at most FEW, or one of each source, between. Each round sums up what the
+    sources have sent at ``ways`` times between, and goes on within the two that hold the budget."""
+    sources = sources.where("target > 0 and most > 0")
+    sent = lambda t: F.sum(F.least(words_until(t, F.col("target")), F.col("most")))
+    n, last = sources.agg(F.count("*"), F.max(F.col("most") / F.col("target"))).first()
+    before, until = 0.0, float(last or 0)
+    low, high = 0, sources.agg(sent(until)).first()[0] or 0
+    if high < budget:
+        return until, until
+    while high - low > max(n, FEW):
+        times = [t for t in np.unique(np.linspace(before, until, ways + 2)[1:-1]).tolist() if before < t < until]
+        if not times:
+            break
+        for t, words in zip(times, sources.agg(*(sent(t).alias(f"w{i}") for i, t in enumerate(times))).first(), strict=True):
+            if words < budget:
+                before, low = t, words
+            else:
+                until, high = t, words
+                break
+    return before, until
+
+
+def cut_queue(entries: DataFrame, sources: DataFrame, budget: int) -> tuple[DataFrame, DataFrame]:
     """Cut the merged queue of ``entries`` (row, rank, tie, size, end, target; size > 0) at ``budget`` words.
 
     A word that its source sends as the k-th has the virtual finish time k / target, and the mix is the first ``budget``
-    words of all sources by finish time and rank. Entries are range-sorted by the time of their last word and summed up:
-    those that end while the sum and one open entry of each source (``slack`` words in all) stay within the budget are
-    taken whole, those that start after the entry that fills it are not taken, and only the words of the few between are
-    sorted one by one. Returns (row, words) of the words taken, and the sorted entries with ``mix_end``, the words of
-    entries up to each.
+    words of all sources by finish time and rank. Entries are range-sorted by the time of their last word and summed up.
+    The time at which the budget is reached is found from the ``sources`` (``cut_time``); entries that end before it are
+    taken whole, those that begin after it are not, and of those open then the words before it. The few words at the time
+    itself are sorted one by one. Returns (row, words) of the words taken, and the sorted entries with ``mix_end``, the
+    words of entries up to each.
     """
     timed = entries.withColumn("finish", F.col("end") / F.col("target"))
     ordered = prefix_sum(timed, ["finish", "rank", "tie", "end", "row"], "size", "mix_end")
-    sure, last = ordered.agg(F.max(F.when(F.col("mix_end") + slack <= budget, F.col("finish"))), F.min(F.when(F.col("mix_end") >= budget, F.col("finish")))).first()
-    sure, last = -1.0 if sure is None else sure, float("inf") if last is None else last
-    whole = ordered.where(F.col("finish") <= sure)
-    rest = budget - (whole.agg(F.sum("size")).first()[0] or 0)
+    before, until = cut_time(sources, budget)
     first = F.col("end") - F.col("size")
-    between = ordered.where((F.col("finish") > sure) & ((first + 1) / F.col("target") <= last))
-    runs = between.select("row", "rank", "target", "end", F.explode(F.sequence(first, F.col("end") - 1, F.lit(4096).cast("long"))).alias("k"))
-    words = runs.select("row", "rank", "target", F.explode(F.sequence("k", F.least(F.col("k") + 4095, F.col("end") - 1))).alias("k"))
-    words = words.select("row", "rank", ((F.col("k") + 1) / F.col("target")).alias("time"), F.lit(1).cast("long").alias("one"))
+    of = lambda t: F.greatest(F.lit(0), F.least(words_until(t, F.col("target")) - first, F.col("size"))).cast("long")
+    sent = ordered.withColumn("sure", of(before)).withColumn("near", of(until) - F.col("sure"))
+    rest = budget - (sent.agg(F.sum("sure")).first()[0] or 0)
+    words = sent.where("near > 0").select("row", "rank", "target", F.explode(F.sequence(first + F.col("sure") + 1, first + F.col("sure") + F.col("near"))).alias("k"))
+    words = words.select("row", "rank", (F.col("k") / F.col("target")).alias("time"), F.lit(1).cast("long").alias("one"))
     placed = prefix_sum(words, ["time", "rank"], "one", "place").where(F.col("place") <= rest)
     part = placed.groupBy("row").agg(F.sum("one").alias("words"))
-    return whole.select("row", F.col("size").alias("words")).unionByName(part), ordered
+    return sent.where("sure > 0").select("row", F.col("sure").alias("words")).unionByName(part), ordered
 
 
 def mix_sources(
@@ -88,7 +119,7 @@ def mix_sources(
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     base = materialize(docs.select("doc_id", "source", size.alias("size")).withColumn("row", F.monotonically_increasing_id()))
     targets = source_targets(base, weights, budget_share, max_repeats)
-    total, slack = targets.agg(F.sum("source_size"), F.sum("longest")).first()
+    total = targets.agg(F.sum("source_size")).first()[0]
     key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":" + seed)))
     mine = base.join(
         small_or_shuffled(targets.select(F.col("source").alias("t_source"), "rank", "source_size", "before", "target")),
@@ -98,7 +129,7 @@ def mix_sources(
     passes = queued.where((F.col("size") > 0) & (F.col("target") > 0)).withColumn("tie", F.explode(F.array(*(F.lit(i) for i in range(max_repeats)))))
     end = F.col("upto") - F.col("before") + F.col("tie") * F.col("source_size")
     entries = passes.select("row", "rank", "tie", "size", end.alias("end"), "target")
-    taken, ordered = cut_queue(entries, int(min(budget_share, max_repeats) * (total or 0)), slack or 0)
+    taken, ordered = cut_queue(entries, targets.select("target", "most"), int(min(budget_share, max_repeats) * (total or 0)))
     firsts = ordered.where("tie = 0").select("row", F.lit(0).cast("long").alias("words"), (F.col("mix_end") - F.col("size")).alias("at"))
     given = taken.withColumn("at", F.lit(None).cast("long")).unionByName(firsts).groupBy("row").agg(F.sum("words").alias("taken"), F.min("at").alias("at"))
     first = F.when(F.col("target") > 0, (F.col("upto") - F.col("before")) / F.col("target"))

@@ -82,7 +82,8 @@ def test_mix_is_the_cut_of_the_word_order(spark):
 def test_another_order_takes_other_words(spark):
     rows = [(i, 0, 0, 10, 10 * (i + 1), 100.0) for i in range(20)]
     names = "row long, rank long, tie int, size long, end long, target double"
-    cut = lambda r: {x["row"]: x["words"] for x in mixing.cut_queue(spark.createDataFrame(r, names), 105, 10)[0].collect() if x["words"]}
+    sources = spark.createDataFrame([(100.0, 200)], "target double, most long")
+    cut = lambda r: {x["row"]: x["n"] for x in mixing.cut_queue(spark.createDataFrame(r, names), sources, 105)[0].groupBy("row").agg(F.sum("words").alias("n")).collect()}
     assert cut(rows) == dict.fromkeys(range(10), 10) | {10: 5}
     assert cut([(i, a, b, c, 210 - e, t) for i, a, b, c, e, t in rows]) == dict.fromkeys(range(10, 20), 10) | {9: 5}
 
