@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import urls
+from ..functions.shared import written
 from ..functions.text import present
 
 
@@ -32,13 +36,36 @@ def match_rules(docs: DataFrame, markers: list[str]) -> DataFrame:
     return docs.select("doc_id", F.explode(found).alias("marker"))
 
 
-def match_rule_table(docs: DataFrame, markers: DataFrame, most: int = 10_000) -> DataFrame:
-    """J6 for a table of markers (marker), at most ``most``: a broadcast nested loop, its size checked."""
-    n = markers.limit(most + 1).count()
-    if n > most:
-        raise ValueError(f"more than {most} markers")
-    low = docs.select("doc_id", F.lower("text").alias("low"))
-    return low.join(F.broadcast(markers), F.contains("low", "marker")).select("doc_id", "marker")
+def match_rule_table(docs: DataFrame, markers: DataFrame, block: int = 100_000) -> DataFrame:
+    """J6 for a table of markers (marker) of any size: (doc_id, marker) for each distinct marker that a lower-cased text
+    contains; an empty one is in every text but a null one, a null one in none.
+
+    Markers are dealt into blocks of about ``block`` by hash; each is broadcast and becomes an Aho-Corasick automaton in the
+    tasks, so texts are read once a block, however many markers it has. Of a text, only its distinct markers are held."""
+    table = written(markers.select("marker").where("marker is not null").distinct())
+    n = max(1, -(-table.count() // block))
+    low = docs.select("doc_id", F.lower("text").alias("low")).where("low is not null")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    found = None
+    for i in range(n):
+        part = [r["marker"] for r in table.where(F.pmod(F.xxhash64("marker"), F.lit(n)) == i).collect()]
+        shared = docs.sparkSession.sparkContext.broadcast(part)
+
+        def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for m in filter(None, shared.value):
+                automaton.add_word(m, m)
+            automaton.make_automaton()
+            always = [m for m in shared.value if not m]
+            for pdf in batches:
+                rows = [(doc, m) for doc, text in zip(pdf["doc_id"], pdf["low"], strict=True) for m in [*always, *({m for _, m in automaton.iter(text)} if len(automaton) else ())]]
+                yield pd.DataFrame(rows, columns=["doc_id", "marker"])
+
+        hits = low.mapInPandas(search, f"doc_id {kind}, marker string")
+        found = hits if found is None else found.unionByName(hits)
+    return found
 
 
 def marker_presence(docs: DataFrame, high: list[str] = rules.HIGH_MARKERS, network: list[str] = rules.NETWORK_MARKERS) -> DataFrame:

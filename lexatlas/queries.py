@@ -855,7 +855,26 @@ def _(spark, d):
     return sampling.chunk_sizes(read(spark, d, "documents"))
 
 
-@query("c4_chunk_documents")
+CHUNK_TYPE = "STRUCT(chunks VARCHAR[], open VARCHAR, joint VARCHAR, head BOOLEAN, long BOOLEAN, alone BOOLEAN, size INTEGER)"
+
+
+def _sql_chunks() -> str:
+    """The fold as list_reduce: pieces and state have one type."""
+    made = lambda **f: "CAST({" + ", ".join(f"'{k}': {f.get(k, v)}" for k, v in {"chunks": "[]::VARCHAR[]", "open": "''", "joint": "''", "head": "false", "long": "false", "alone": "false", "size": "size"}.items()) + f"}} AS {CHUNK_TYPE})"
+    edges = lambda t: f"regexp_replace({t}, {q(f'^{BLANK}+|{BLANK}+$')}, '', 'g')"
+    sentence = f"CASE WHEN length(s) > size THEN list_transform(range(0, length(s), size), lambda i: {made(open='substr(s, i + 1, size)', joint=q(' '), head='j = 1', long='true', alone='true')}) ELSE [{made(open='s', joint=q(' '), head='j = 1', long='true')}] END"
+    cut = f"list_filter(string_split(regexp_replace(b, {q(f'([.!?。！？\n]){BLANK}+')}, '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')"
+    block = f"CASE WHEN length(b) > size THEN flatten(list_transform({cut}, lambda s, j: {sentence})) ELSE [{made(open='b', joint='chr(10) || chr(10)', head='true')}] END"
+    closed = f"CASE WHEN a.open <> '' THEN list_append(a.chunks, {edges('a.open')}) ELSE a.chunks END"
+    fits = "NOT (p.head AND (p.long OR a.long)) AND a.open <> '' AND length(a.open || p.joint || p.open) <= p.size"
+    step = made(chunks=f"CASE WHEN p.alone THEN list_append({closed}, p.open) WHEN {fits} THEN a.chunks ELSE {closed} END", open=f"CASE WHEN p.alone THEN '' WHEN {fits} THEN a.open || p.joint || p.open ELSE p.open END", long="p.long", size="p.size")
+    return f"""WITH sizes AS ({ORACLES['c4_chunk_sizes']}), t AS (SELECT doc_id, text, chunk_size AS size FROM documents JOIN sizes USING (doc_id)),
+  p AS (SELECT doc_id, size, flatten(list_transform(list_filter(list_transform(string_split_regex(text, '\n{{2,}}'), lambda x: {edges('x')}), lambda x: x <> ''), lambda b: {block})) AS pieces FROM t),
+  f AS (SELECT doc_id, list_reduce(pieces, lambda a, p: {step}, {made()}) AS a FROM p), c AS (SELECT doc_id, {closed} AS chunks FROM f)
+  SELECT doc_id, CAST(unnest(range(0, least(48, len(chunks)))) AS INTEGER) AS chunk_no, unnest(chunks[1:48]) AS chunk, CAST(len(chunks) AS INTEGER) AS n_chunks FROM c"""
+
+
+@query("c4_chunk_documents", _sql_chunks())
 def _(spark, d):
     return sampling.chunk_documents(read(spark, d, "documents"))
 

