@@ -183,15 +183,16 @@ def derive_analyses(stored: DataFrame) -> DataFrame:
 
 
 def new_snapshots(docs: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """S5. Documents (domain, content_hash, ...) that differ from their domain's latest snapshot."""
+    """S5. Documents (domain, content_hash, ...) that differ from their domain's latest snapshot, each version once."""
     latest = latest_snapshot(snapshots).select("domain", F.col("content_hash"))
-    return docs.join(latest, ["domain", "content_hash"], "left_anti")
+    return docs.join(latest, ["domain", "content_hash"], "left_anti").dropDuplicates(["domain", "content_hash"])
 
 
 def snapshot_rows(docs: DataFrame, analyses: DataFrame) -> DataFrame:
-    """S5. (domain, content_hash, raw_text, analysis_json) of documents (domain, content_hash, text) and the analyses
+    """S5. (domain, content_hash, raw_text, analysis_json, created_at if given) of documents (domain, content_hash, text) and the analyses
     (domain, content_hash, ...) of the same version, as JSON; null where there is none."""
     fields = [c for c in analyses.columns if c not in ("domain", "content_hash")]
     packed = analyses.select("domain", "content_hash", F.to_json(F.struct("domain", *fields)).alias("analysis_json"))
     one = packed.groupBy("domain", "content_hash").agg(F.max("analysis_json").alias("analysis_json"))
-    return docs.join(one, ["domain", "content_hash"], "left").select("domain", "content_hash", F.col("text").alias("raw_text"), "analysis_json")
+    time = ["created_at"] if "created_at" in docs.columns else []
+    return docs.join(one, ["domain", "content_hash"], "left").select("domain", "content_hash", F.col("text").alias("raw_text"), "analysis_json", *time)

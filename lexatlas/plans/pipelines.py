@@ -9,22 +9,36 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import urls
+from ..functions.shared import written
 from ..operators import consent, history, model, pages, risk, sampling
 from ..operators import urls as links
 
 
-def clean_corpus(crawl: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(docs, rejected) of fetched pages (page_id, url, status, content_type, html): one row per canonical address and text
-    that reads as prose; the others with their reason."""
-    outcome = pages.fetch_outcomes(crawl)
-    text = pages.strip_boilerplate(pages.main_text(crawl)).withColumnRenamed("page_id", "doc_id")
-    rows = text.join(outcome.withColumnRenamed("page_id", "doc_id"), "doc_id")
-    docs = links.canonical_urls(pages.prose_quality(rows.where("outcome = 'ok'"))).withColumn("domain", urls.domain(F.col("url")))
+def clean_corpus(crawl: DataFrame, rendered: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(docs, rejected) of fetched pages (page_id, url, status, content_type, and html or body): one row per canonical address
+    and text that reads as prose; the others with their reason.
+
+    Bodies are decoded; a page without enough static text takes the prose of its scripts, else its ``rendered`` text (page_id,
+    rendered_text); texts lose boilerplate, are scored and gated, and get their language and variety of words."""
+    if "html" not in crawl.columns:
+        crawl = crawl.join(pages.decode_bodies(crawl).select("page_id", F.col("text").alias("html")), "page_id")
+    outcome = pages.fetch_outcomes(crawl).select("page_id", "outcome")
+    static = pages.main_text(crawl).select("page_id", "url", F.col("text").alias("static_text"))
+    payload = pages.payload_prose(crawl).withColumnRenamed("text", "payload_text")
+    if rendered is None:
+        rendered = crawl.select("page_id", F.lit(None).cast("string").alias("rendered_text")).limit(0)
+    chosen = pages.rendered_text_choice(static.join(payload, "page_id", "left"), rendered)
+    text = pages.strip_boilerplate(chosen.join(static.select("page_id", "url"), "page_id")).join(outcome, "page_id")
+    # Text from elsewhere mends what was wrong with the static one only.
+    mended = (F.col("chosen") != "static") & F.col("outcome").isin("js_rendered", "too_thin", "source_code")
+    rows = written(text.withColumn("outcome", F.when(mended, "ok").otherwise(F.col("outcome"))).withColumnRenamed("page_id", "doc_id"))
+    docs = links.cache_key_urls(links.canonical_urls(pages.prose_quality(rows.where("outcome = 'ok'")))).withColumn("domain", urls.domain(F.col("url")))
     kept = pages.dedupe_text(pages.prose_gate(docs)).withColumn("content_hash", F.sha2("text", 256))
     first = kept.groupBy("canonical_url").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    kept = kept.join(first, "doc_id", "left_semi").drop("outcome", "retryable")
+    kept = written(kept.join(first, "doc_id", "left_semi").drop("outcome"))
     lost = rows.select("doc_id", "outcome").join(kept.select("doc_id"), "doc_id", "left_anti")
-    return kept, lost.select("doc_id", F.when(F.col("outcome") == "ok", "not_prose_or_repeated").otherwise(F.col("outcome")).alias("reason"))
+    facts = pages.detect_language(kept).withColumnRenamed("detected", "lang").join(pages.vocabulary_variety(kept), "doc_id")
+    return kept.join(facts, "doc_id"), lost.select("doc_id", F.when(F.col("outcome") == "ok", "not_prose_or_repeated").otherwise(F.col("outcome")).alias("reason"))
 
 
 def find_legal_pages(crawl: DataFrame, sitemap: DataFrame | None = None, disabled: DataFrame | None = None, k: int = 12) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import languages, rules
 from .functions import urls as U
-from .functions.shared import shared_folder
+from .functions.shared import shared_folder, written
 from .functions.text import BLANK
 from .operators import consent, history, model, pages, risk, sampling
 from .operators import urls as links
@@ -733,6 +733,33 @@ def _(spark, d):
     return history.new_snapshots(docs, derived(spark, d, "versions")).select("doc_id")
 
 
+@query("s5_snapshot_table", cte("versions") + """, l AS (SELECT *, lag(content_hash) OVER (PARTITION BY domain ORDER BY created_at) AS before FROM versions)
+  SELECT domain, content_hash, text AS raw_text, '{"domain":"' || domain || '","safety_score":' || length(text) % 101 || '}' AS analysis_json, created_at FROM l WHERE before IS DISTINCT FROM content_hash""")
+def _(spark, d):
+    """Three batches of versions, each appended twice to a bucketed table."""
+    from .sources import crawl
+
+    table, rows = f"snapshots_{uuid.uuid4().hex}", derived(spark, d, "versions")
+    for no in (0, 0, 1, 1, 2, 2):
+        batch = rows.where(F.col("version_no") == no)
+        crawl.append_snapshot_table(batch, batch.select("domain", "content_hash", (F.length("text") % 101).alias("safety_score")), table, 8)
+    found = written(spark.table(table))
+    spark.sql(f"DROP TABLE {table}")
+    return found
+
+
+@query("pipeline_version_history", cte("policy_docs", "versions") + """, d AS (SELECT doc_id, 'site' || CAST(doc_id AS VARCHAR) AS domain, ts - doc_id % 4 AS ts, content_hash FROM policy_docs),
+  latest AS (SELECT domain, arg_max(content_hash, created_at) AS h FROM versions GROUP BY 1)
+  SELECT doc_id, CASE WHEN v.content_hash IS NULL THEN 'new' WHEN v.content_hash = d.content_hash THEN 'unchanged' ELSE 'changed' END AS status,
+    NOT EXISTS (SELECT 1 FROM latest l WHERE l.domain = d.domain AND l.h = d.content_hash) AS appended FROM d ASOF LEFT JOIN versions v ON d.domain = v.domain AND v.created_at < d.ts""")
+def _(spark, d):
+    """Status of every document, and whether it is to be appended to the snapshots."""
+    docs = derived(spark, d, "policy_docs").select("doc_id", F.concat(F.lit("site"), F.col("doc_id").cast("string")).alias("domain"), (F.col("ts") - F.col("doc_id") % 4).alias("ts"), "content_hash")
+    status, fresh = pipelines.version_history(docs, derived(spark, d, "versions"))
+    marked = fresh.select("doc_id", F.lit(True).alias("appended"))
+    return status.join(marked, "doc_id", "left").select("doc_id", "status", F.coalesce("appended", F.lit(False)).alias("appended"))
+
+
 @query("s6_read_analyses", cte("analyses") + """ SELECT analysis_id, coalesce(safety_score, 0) AS safety_score, coalesce(safety_prediction, CASE WHEN coalesce(safety_score, 0) >= 85 THEN 'Very safe' WHEN safety_score >= 65 THEN 'Mostly safe'
   WHEN safety_score >= 40 THEN 'Use with caution' WHEN safety_score >= 20 THEN 'Risky' ELSE 'High risk' END) AS safety_prediction FROM analyses""")
 def _(spark, d):
@@ -805,6 +832,17 @@ def _(spark, d):
     return history.collapse_rescans(derived(spark, d, "scans"), 12 * 3600)
 
 
+@query("pipeline_scan_history", cte("scans").replace("WITH ", "WITH RECURSIVE ", 1) + f""", {decisions('scans', 'INTERVAL 10 MINUTES')},
+  a AS (SELECT client_id, count(*) FILTER (action = 'insert') AS inserts, count(*) FILTER (action = 'overwrite') AS overwrites, count(*) FILTER (action = 'bump') AS bumps FROM folded GROUP BY 1),
+  m AS (SELECT client_id, {SCAN_KEY} AS page_key, max(ts) AS last_ts FROM scans GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY last_ts DESC, page_key) AS rank FROM m)
+  SELECT client_id, CAST(rank AS INTEGER) AS rank, page_key, last_ts, inserts, overwrites, bumps FROM k JOIN a USING (client_id) WHERE rank <= 10""")
+def _(spark, d):
+    """The recent pages of each client beside the decisions on its scans."""
+    decided, recent = pipelines.scan_history(derived(spark, d, "scans"))
+    kinds = [F.count_if(F.col("action") == a).alias(f"{a}s") for a in ("insert", "overwrite", "bump")]
+    return recent.join(decided.groupBy("client_id").agg(*kinds), "client_id").select("client_id", "rank", "page_key", "last_ts", "inserts", "overwrites", "bumps")
+
+
 @query("w14_cap_history", cte("scans") + " SELECT scan_id, ts FROM scans ORDER BY ts DESC, scan_id DESC LIMIT 50")
 def _(spark, d):
     return history.cap_newest(derived(spark, d, "scans"), 50, "ts", "scan_id").select("scan_id", "ts")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.history import derive_analyses, new_snapshots
+from ..functions.shared import written
+from ..operators.history import derive_analyses, new_snapshots, snapshot_rows
 from ..operators.risk import score_label
 
 PAGE_SCHEMA = "page_id long, url string, status int, content_type string, html string, body binary, fetched_at timestamp"
@@ -29,11 +30,14 @@ def read_crawl(spark: SparkSession, path: str, fmt: str = "parquet", schema: str
     raise ValueError(f"unknown format {fmt}")
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, most_bytes: int = 1 << 30) -> DataFrame:
     """The table dealt over all cores where its files give fewer tasks than there are (a small table in one row group, read
-    before heavy text work); any larger table as it is."""
+    before heavy text work); a table of more than ``most_bytes`` as it is, so that no large one is shuffled for it."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(cores) if int(str(size)) <= most_bytes else df
 
 
 def append_analyses(df: DataFrame, path: str, batch: str | None = None) -> None:
@@ -53,12 +57,28 @@ def read_analyses(spark: SparkSession, path: str) -> DataFrame:
     return derive_analyses(spark.read.option("mergeSchema", "true").parquet(path))
 
 
-def append_snapshots(docs: DataFrame, snapshots: DataFrame, path: str) -> None:
-    """S5. Append the documents (domain, content_hash, text, ...) that are new or changed, by a hash of the domain."""
-    rows = new_snapshots(docs, snapshots).withColumn("domain_hash", F.pmod(F.xxhash64("domain"), F.lit(64)))
+def append_snapshots(docs: DataFrame, snapshots: DataFrame, path: str, analyses: DataFrame | None = None) -> None:
+    """S5. Append the documents (domain, content_hash, text, created_at) that are new or changed, each version once, as snapshot
+    rows with their raw_text and the analysis_json of ``analyses`` (domain, content_hash, ...), by a hash of the domain. A
+    batch that was written is not new any more, so it may be repeated once ``snapshots`` holds it."""
+    done = docs.select("domain", "content_hash").limit(0) if analyses is None else analyses
+    rows = snapshot_rows(new_snapshots(docs, snapshots), done).withColumn("domain_hash", F.pmod(F.xxhash64("domain"), F.lit(64)))
     rows.write.mode("append").partitionBy("domain_hash").parquet(path)
 
 
+def append_snapshot_table(docs: DataFrame, analyses: DataFrame, table: str, buckets: int = 64) -> DataFrame:
+    """S5 on a catalog table that is bucketed by domain: appends what is new or changed, and returns the table. The latest
+    versions, as-of lookups and the next append read its side without an exchange. Append several versions of a domain
+    one after the other: each batch is compared with what is stored, and a repeated batch adds nothing."""
+    spark = docs.sparkSession
+    fresh = docs.dropDuplicates(["domain", "content_hash"])
+    if spark.catalog.tableExists(table):
+        fresh = new_snapshots(docs, spark.table(table))
+    rows = written(snapshot_rows(fresh, analyses))
+    rows.repartition(buckets, "domain").write.format("parquet").bucketBy(buckets, "domain").sortBy("domain", "created_at").mode("append").saveAsTable(table)
+    return spark.table(table)
+
+
 def scan_stream(spark: SparkSession, path: str, schema: str = SCAN_SCHEMA) -> DataFrame:
     """S7. Scan events as a stream of Parquet files."""
     return spark.readStream.schema(schema).parquet(path)

@@ -182,7 +182,8 @@ def test_pipelines_and_tables(spark, tmp_path):
     pages_df = spark.read.parquet(f"{SF}/pages.parquet").withColumns({"status": F.lit(200), "content_type": F.lit("text/html")})
     docs, lost = pipelines.clean_corpus(pages_df)
     assert docs.count() + lost.count() == pages_df.count()
-    assert pipelines.find_legal_pages(pages_df).count() >= 0
+    links = pipelines.find_legal_pages(pages_df).collect()
+    assert len({(r["page_id"], r["pos"]) for r in links}) == len(links) and all(r["score"] >= 0 for r in links)
     findings, scored, flags, work = pipelines.risk_report(docs.select("doc_id", "text"), spark.createDataFrame([], "doc_id long, n_trackers int"))
     assert scored.count() == flags.count() == docs.count() and work.count() <= docs.count() and findings.count() >= 0
     segments, controls = pipelines.consent_audit(pages_df)
