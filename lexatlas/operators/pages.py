@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions.markup import DROPPED, body_text
+from ..functions.payload import payloads
 from ..functions.scan import carried
 from ..functions.shared import written
 from ..functions.text import BLANK, collapse, decode_entities, hits
@@ -104,14 +105,11 @@ def rendered_text_choice(pages: DataFrame, rendered: DataFrame) -> DataFrame:
 
 
 def payload_prose(pages: DataFrame, least: int = 200) -> DataFrame:
-    """P7. (page_id, text): strings of at least ``least`` characters with a blank that scripts carry as JSON or quoted
-    literals, joined in order, without markup and the payload's own keys and marks; source-like or short results are
-    dropped."""
-    scripts = F.regexp_extract_all("html", F.lit(r"(?is)<script\b[^>]*>(.*?)</script\s*>"), F.lit(1))
-    literal = F.regexp_extract_all(F.array_join(scripts, "\n"), F.lit(r'("(?:[^"\\]++|\\.)*+")'), F.lit(1))
-    literal = F.filter(literal, lambda s: F.length(s) >= least)
-    plain = F.transform(literal, lambda s: F.get_json_object(F.concat(F.lit('{"a":'), s, F.lit("}")), "$.a"))
-    prose = F.filter(F.transform(plain, lambda s: collapse(F.regexp_replace(strip_noise(s, rules.PAYLOAD_MARKS), "<[^>]*>", " "))), lambda s: s.isNotNull() & (F.length(s) >= least) & s.contains(" "))
+    """P7. (page_id, text): strings of at least ``least`` characters with a blank that scripts carry as values of JSON, at any
+    depth and however often encoded, or as quoted literals, joined in order, without markup and the payload's own marks;
+    source-like or short results are dropped."""
+    clean = lambda s: collapse(F.regexp_replace(strip_noise(s, rules.PAYLOAD_MARKS), "<[^>]*>", " "))
+    prose = F.filter(F.transform(payloads(F.col("html"), least), clean), lambda s: (F.length(s) >= least) & s.contains(" "))
     return pages.select("page_id", F.array_join(prose, " ").alias("text")).where((F.length("text") >= least) & ~source_like(F.col("text")))
 
 

@@ -332,6 +332,15 @@ def _(spark, d):
     return pages.payload_prose(t.select("page_id", F.concat(F.lit('<html><script>push("'), "t", F.lit('")</script></html>')).alias("html")))
 
 
+@query("p7_payload_islands", ORACLES["p7_payload_prose"])
+def _(spark, d):
+    """Pages whose text lies below keys and lists of a JSON island, in JSON that is a string itself."""
+    t = pages.main_text(read(spark, d, "pages")).select("page_id", F.translate("text", '"\\', "  ").alias("t"))
+    inner = F.concat(F.lit('{\\"children\\":[1,null,{\\"body\\":\\"'), "t", F.lit('\\"}]}'))
+    island = F.concat(F.lit('<script id="x" type="application/json">{"a rather long key with blanks, which is no prose at all":{"props":["short",{"data":"'), inner, F.lit('"}]}}</script>'))
+    return pages.payload_prose(t.select("page_id", F.concat(F.lit("<html>"), island, F.lit("</html>")).alias("html")))
+
+
 @query("p8_strip_boilerplate", cte("policy_docs") + " SELECT doc_id, " + sql_collapse("replace(text, chr(9), ' ')") + " AS text FROM policy_docs")
 def _(spark, d):
     dirty = derived(spark, d, "policy_docs").select("doc_id", F.concat(F.lit("Protected by reCAPTCHA Click for more info. "), "text", F.lit(" Trustpilot 4.8 excellent")).alias("text"))
