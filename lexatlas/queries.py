@@ -757,7 +757,7 @@ def _(spark, d):
     return found
 
 
-@query("pipeline_version_history", cte("policy_docs", "versions") + """, d AS (SELECT doc_id, 'site' || CAST(doc_id AS VARCHAR) AS domain, ts - doc_id % 4 AS ts, content_hash FROM policy_docs),
+@query("plan_version_history", cte("policy_docs", "versions") + """, d AS (SELECT doc_id, 'site' || CAST(doc_id AS VARCHAR) AS domain, ts - doc_id % 4 AS ts, content_hash FROM policy_docs),
   latest AS (SELECT domain, arg_max(content_hash, created_at) AS h FROM versions GROUP BY 1)
   SELECT doc_id, CASE WHEN v.content_hash IS NULL THEN 'new' WHEN v.content_hash = d.content_hash THEN 'unchanged' ELSE 'changed' END AS status,
     NOT EXISTS (SELECT 1 FROM latest l WHERE l.domain = d.domain AND l.h = d.content_hash) AS appended FROM d ASOF LEFT JOIN versions v ON d.domain = v.domain AND v.created_at < d.ts""")
@@ -841,7 +841,7 @@ def _(spark, d):
     return history.collapse_rescans(derived(spark, d, "scans"), 12 * 3600)
 
 
-@query("pipeline_scan_history", cte("scans").replace("WITH ", "WITH RECURSIVE ", 1) + f""", {decisions('scans', 'INTERVAL 10 MINUTES')},
+@query("plan_scan_history", cte("scans").replace("WITH ", "WITH RECURSIVE ", 1) + f""", {decisions('scans', 'INTERVAL 10 MINUTES')},
   a AS (SELECT client_id, count(*) FILTER (action = 'insert') AS inserts, count(*) FILTER (action = 'overwrite') AS overwrites, count(*) FILTER (action = 'bump') AS bumps FROM folded GROUP BY 1),
   m AS (SELECT client_id, {SCAN_KEY} AS page_key, max(ts) AS last_ts FROM scans GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY last_ts DESC, page_key) AS rank FROM m)
   SELECT client_id, CAST(rank AS INTEGER) AS rank, page_key, last_ts, inserts, overwrites, bumps FROM k JOIN a USING (client_id) WHERE rank <= 10""")
@@ -1022,6 +1022,60 @@ def _(spark, d):
     return model.language_mix(rows)
 
 
+# ---- pipelines
+
+
+def _sql_corpus() -> str:
+    language = _sql_language("kept", "doc_id")
+    prose = PROSE_SQL.replace("FROM documents", "FROM fetched WHERE outcome = 'ok'").replace("doc_id, text,", "doc_id, url, text,", 1)
+    prose = prose.replace("prose AS (SELECT doc_id, url, text,", "prose AS (SELECT doc_id, url, text,") if "prose AS (SELECT doc_id, url, text," in prose else prose.replace("prose AS (SELECT doc_id, text,", "prose AS (SELECT doc_id, url, text,")
+    return cte("fetches") + f""", s AS (SELECT *, {sql_strip('html')} AS t FROM fetches), fetched AS (SELECT page_id AS doc_id, url, t AS text, {OUTCOME} AS outcome FROM s), {prose},
+  gated AS (SELECT *, CASE WHEN prose_score >= 0.55 THEN 'prose' ELSE 'short_legal' END AS kind, {sql_canonical('url')} AS canonical_url FROM prose
+    WHERE length(text) >= 300 AND prose_score >= 0.4 AND NOT ({sql_count('text', rules.CODE_TOKENS)} >= 6 AND {sql_count('text', rules.CODE_TOKENS)} / greatest(length(text), 1) > 0.002)),
+  once AS (SELECT * FROM gated QUALIFY row_number() OVER (PARTITION BY lower({sql_collapse('text')}) ORDER BY doc_id) = 1),
+  kept AS (SELECT * FROM once QUALIFY row_number() OVER (PARTITION BY canonical_url ORDER BY doc_id) = 1), {language}
+  SELECT doc_id, kind AS verdict, canonical_url, detected AS lang, sha256(text) AS content_hash FROM kept JOIN languages USING (doc_id)
+  UNION ALL SELECT doc_id, CASE outcome WHEN 'ok' THEN 'not_prose_or_repeated' ELSE outcome END, NULL, NULL, NULL FROM fetched WHERE doc_id NOT IN (SELECT doc_id FROM kept)"""
+
+
+@query("plan_clean_corpus", _sql_corpus())
+def _(spark, d):
+    """Every fetched page: a document with its kind, or the reason why it is none."""
+    docs, lost = pipelines.clean_corpus(derived(spark, d, "fetches"))
+    none = F.lit(None).cast("string")
+    return docs.select("doc_id", F.col("kind").alias("verdict"), "canonical_url", "lang", "content_hash").unionByName(
+        lost.select("doc_id", F.col("reason").alias("verdict"), none.alias("canonical_url"), none.alias("lang"), none.alias("content_hash"))
+    )
+
+
+@query("plan_risk_report", cte("policy_docs", "resources") + f""", {FLAGS_SQL}, {PENALTY}, {SCORES_SQL.split("FROM matches GROUP BY 1),", 1)[1]},
+  n AS (SELECT doc_id, count(*) AS findings FROM findings GROUP BY 1)
+  SELECT l.doc_id, l.score, l.label, coalesce(n.findings, 0) AS findings, f.needs_attention, f.should_warn, f.critical,
+    a.opt_out OR l.doc_id IN (SELECT doc_id FROM findings WHERE category IN ('AI_USAGE', 'DATA_SALE')) AS letter
+  FROM labelled l JOIN flags f USING (doc_id) JOIN facts a USING (doc_id) LEFT JOIN n USING (doc_id)""")
+def _(spark, d):
+    """Every document's findings, score, flags and whether a letter is written."""
+    seen = risk.tracker_summary(trackers_of(spark, d)).select(F.col("page_id").alias("doc_id"), "n_trackers")
+    findings, scored, flags, work = pipelines.risk_report(derived(spark, d, "policy_docs"), seen)
+    per = findings.groupBy("doc_id").agg(F.count("*").alias("findings"))
+    rows = scored.select("doc_id", "score", "label").join(flags, "doc_id").join(per, "doc_id", "left").join(work.select("doc_id", F.lit(True).alias("letter")), "doc_id", "left")
+    return rows.select("doc_id", "score", "label", F.coalesce("findings", F.lit(0)).alias("findings"), "needs_attention", "should_warn", "critical", F.coalesce("letter", F.lit(False)).alias("letter"))
+
+
+@query("plan_model_batch", """SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 AND doc_id % 150 <= 100 THEN CAST(doc_id % 150 AS INTEGER) END AS safety_score,
+  CASE WHEN doc_id % 2 = 1 THEN 'not_json' WHEN doc_id % 150 > 100 THEN 'score_range' END AS reason FROM documents""")
+def _(spark, d):
+    """A provider that answers every second document, some beyond the range of scores."""
+
+    def answer(pdf):
+        own = pdf[pdf["id"] % 2 == 0]
+        return own.assign(output='{"domain":"a","safety_score":' + (own["id"] % 150).astype(str) + ',"summary":"s","findings":[]}')
+
+    docs = read(spark, d, "documents").withColumn("translated_text", F.lit(""))
+    done, rejected = pipelines.model_batch(docs, {"first": answer}, "no answer")
+    return done.select("id", "safety_score", F.lit(None).cast("string").alias("reason")).unionByName(rejected.select("id", F.lit(None).cast("int").alias("safety_score"), "reason"))
+
+
 # ---- flagship
 
 
