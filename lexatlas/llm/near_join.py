@@ -242,13 +242,14 @@ def verify_units(units: DataFrame, threshold: float) -> DataFrame:
     return stream_groups(units, ["tree", "prefix", "ca", "cb"], verify, "node long, links long, root long")
 
 
-def jaccard_links(docs: DataFrame, n: int = 5, threshold: float = 0.8, trees: int = 20, target_recall: float = 0.9995) -> DataFrame:
+def jaccard_links(docs: DataFrame, n: int = 5, threshold: float = 0.8, trees: int = 20, target_recall: float = 0.9995, weigh_links: bool = False) -> DataFrame:
     """Similarity join of ``docs`` (doc_id, text, ...) with itself on sets of ``n``-word shingles.
 
     Every document has a label of DEPTH MinHash values in each of ``trees`` prefix tries. The labels are sorted, and
-    the prefixes that sorted neighbours share are the matched prefixes; they are shortened, all alike, until the recall
-    estimated from the similarities of matched neighbours reaches ``target_recall`` (``forest_depth``): to the length that finds pairs at
-    the threshold that often at the shortest, and less far where the links seen are closer. Documents of an equal
+    the prefixes that sorted neighbours share are the matched prefixes; they are shortened, all alike, until pairs at
+    the threshold itself, the hardest to find, are found with ``target_recall`` (``forest_depth``). ``weigh_links`` asks for that
+    recall on average over the similarities of matched neighbours instead: prefixes stay longer, and candidates fewer, where
+    the links seen are closer, but pairs near the threshold are then found less often. Documents of an equal
     shortened prefix share a node and are candidates, and their Jaccard similarity is computed exactly. Copies are one
     class and are verified once;
     nodes whose members meet in an earlier tree are skipped; the members of a large node are dealt into blocks, and
@@ -268,9 +269,11 @@ def jaccard_links(docs: DataFrame, n: int = 5, threshold: float = 0.8, trees: in
         known.groupBy("kh", "kl").agg(lead.alias("lead"), F.count("*").alias("copies"), F.first("labels").alias("labels"), F.first("n_shingles").alias("n_shingles"))
         .select("kh", "kl", F.col("lead.row").alias("node"), F.col("lead.doc_id").alias("copy_id"), "copies", "labels", "n_shingles")
     )
-    tries = materialize(sorted_tries(classes, trees, forest_depth(threshold, trees, target_recall)))
+    depth = forest_depth(threshold, trees, target_recall)
+    tries = materialize(sorted_tries(classes, trees, depth))
     cand = materialize(classes.join(small_or_shuffled(materialize(tries.select("node").distinct())), "node", "left_semi"))
-    depth = forest_depth(threshold, trees, target_recall, neighbour_links(tries, cand, threshold))
+    if weigh_links:
+        depth = forest_depth(threshold, trees, target_recall, neighbour_links(tries, cand, threshold))
     met = materialize(tries.where(F.col("match") >= depth).select("node", "tree", prefix_of(F.col("l1"), F.col("l2"), depth).alias("prefix")))
     own = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: prefix_of(F.element_at("labels", 2 * t + 1), F.element_at("labels", 2 * t + 2), depth))
     cand = materialize(cand.withColumn("prefixes", own).drop("labels"))
