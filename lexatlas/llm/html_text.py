@@ -19,6 +19,10 @@ CSS_NOISE = re.compile(r"/\*(?s:.*?)(?:\*/|\Z)|<!--|-->")
 CSS_MARK = re.compile(r"\"(?:[^\"\\\n]|\\(?s:.))*+\"|'(?:[^'\\\n]|\\(?s:.))*+'|[{};]")
 DRAWING = re.compile(r"<(?:svg|math)(?=[\s/>])", re.I)
 SIMPLE = re.compile(r"[.#]?[A-Za-z_][\w-]*\Z")
+#: Parts of a selector: a tag or *, .class, #id, [attribute] or [attribute=value], blanks or >.
+PART = re.compile(r"\s*(>)\s*|(\s+)|([.#]?)((?:[A-Za-z_]|-(?=[\w-]))[\w-]*)|(\*)|\[\s*([\w-]+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[\w-]+)\s*)?\]")
+#: Attribute of elements that are not drawn at all; no page can spell it.
+UNDRAWN_MARK = " undrawn"
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template".split())
@@ -183,7 +187,7 @@ def parse(source: str) -> Node:
                 push(made)
         node = Node(tag, _attributes(attrs) if attrs and not attrs.isspace() else {})
         if drawn and any(tag in UNDRAWN[x.tag] for x in stack if x.tag in UNDRAWN):
-            node.attrs["hidden"] = ""
+            node.attrs[UNDRAWN_MARK] = ""
         stack[-1].children.append(node)
         if drawn and attrs and attrs.endswith("/") and (tag in UNDRAWN or any(x.tag in UNDRAWN for x in stack)):
             continue
@@ -227,23 +231,116 @@ def style_rules(css: str) -> Iterator[tuple[str, str]]:
                     yield names, ";".join(body)
 
 
-def declared(body: str) -> dict[str, bool]:
-    """Whether a list of declarations shows the element, by the last display and the last visibility in it."""
-    out: dict[str, bool] = {}
+def declared(body: str) -> dict[str, tuple[bool, bool]]:
+    """By display and visibility: whether the declaration that counts is important, and whether it shows the element. The
+    last one counts, and important ones before all others."""
+    out: dict[str, tuple[bool, bool]] = {}
     for part in body.split(";"):
         name, _, value = part.partition(":")
-        name, value = name.strip().lower(), value.replace("!important", "").strip().lower()
-        if name == "display":
-            out[name] = value != "none"
+        name, value = name.strip().lower(), value.strip().lower()
+        if important := re.search(r"!\s*important\Z", value):
+            value = value[: important.start()].strip()
+        if name == "display" and value:
+            shown = value != "none"
         elif name == "visibility" and value in ("visible", "hidden", "collapse"):
-            out[name] = value == "visible"
+            shown = value == "visible"
+        else:
+            continue
+        if important or not out.get(name, (False, True))[0]:
+            out[name] = (bool(important), shown)
     return out
 
 
-def sheet(root: Node) -> dict[str, dict[str, tuple[int, bool]]]:
-    """By simple selector (tag, .class, #id): what the page's style sheets declare for it on every screen, the last
-    word with its place."""
-    todo, rules, found = [root], 0, {}
+class Compound:
+    """What one element of a selector has to be: its tag (None: any), id, classes and attributes."""
+
+    __slots__ = ("tag", "ids", "classes", "attrs", "child")
+
+    def __init__(self):
+        self.tag, self.ids, self.classes, self.attrs = None, [], [], []
+        self.child = False  # must the element before be its parent (else: any ancestor)
+
+    def fits(self, node: Node) -> bool:
+        a = node.attrs
+        if self.tag is not None and self.tag != node.tag or any(a.get("id") != i for i in self.ids):
+            return False
+        if self.classes:
+            own = a.get("class", "").split()
+            if any(c not in own for c in self.classes):
+                return False
+        return all(name in a and (value is None or a[name] == value) for name, value in self.attrs)
+
+    def key(self) -> str:
+        """One thing that every element that fits has."""
+        return f"#{self.ids[0]}" if self.ids else f".{self.classes[0]}" if self.classes else self.tag or "*"
+
+
+def selector(text: str) -> list[Compound] | None:
+    """The compounds of a selector of tags, ids, classes, attributes, descendants and children, left to right; None for
+    any other (those with siblings or pseudo-classes hold in some states or places only and hide nothing)."""
+    steps, empty, at = [Compound()], True, 0
+    while at < len(text):
+        m = PART.match(text, at)
+        if m is None:
+            return None
+        at = m.end()
+        if m[1] or m[2]:
+            if empty:
+                return None
+            steps.append(Compound())
+            steps[-1].child, empty = bool(m[1]), True
+            continue
+        last = steps[-1]
+        if m[4] and not m[3] or m[5]:
+            if not empty:
+                return None
+            last.tag = m[4].lower() if m[4] else None
+        elif m[4]:
+            (last.classes if m[3] == "." else last.ids).append(m[4])
+        else:
+            value = m[7]
+            last.attrs.append((m[6].lower(), value[1:-1] if value and value[0] in "\"'" else value))
+        empty = False
+    return None if empty else steps
+
+
+def leads(steps: list[Compound], node: Node, above: dict[int, Node | None]) -> bool:
+    """Does an element that fits the last step stand where the steps before it say? The elements that may stand for a
+    step are kept as a set, so that the time is in proportion to steps and depth."""
+    ends = [node]
+    for i in range(len(steps) - 1, 0, -1):
+        before, found, seen = steps[i - 1], [], set()
+        for x in ends:
+            up = above[id(x)]
+            while up is not None and id(up) not in seen:
+                if not steps[i].child:
+                    seen.add(id(up))
+                if before.fits(up):
+                    found.append(up)
+                if steps[i].child:
+                    break
+                up = above[id(up)]
+        ends = found
+        if not ends:
+            return False
+    return True
+
+
+def names_of(node: Node) -> list[str]:
+    """What selectors can call an element by: its tag, .classes and #id."""
+    a = node.attrs
+    out = [node.tag, *(f".{c}" for c in a["class"].split())] if "class" in a else [node.tag]
+    return [*out, f"#{a['id']}"] if "id" in a else out
+
+
+Rules = dict[str, tuple[list[Compound], dict[str, tuple[bool, int, bool]]]]
+
+
+def sheet(root: Node) -> Rules:
+    """By selector: its compounds, and what the page's style sheets say of visibility on every screen, by display and
+    visibility: importance, place and whether it shows, of the declaration that counts."""
+    todo, rules = [root], 0
+    found: Rules = {}
     while todo:
         x = todo.pop()
         if x.tag != "style":
@@ -251,40 +348,68 @@ def sheet(root: Node) -> dict[str, dict[str, tuple[int, bool]]]:
         elif _on_screens(x.attrs.get("media", "")):
             for names, body in style_rules("".join(c for c in x.children if isinstance(c, str))):
                 rules += 1
-                for name in names.split(","):
-                    if SIMPLE.match(name := name.strip()):
-                        found.setdefault(name, {}).update({k: (rules, v) for k, v in declared(body).items()})
+                if said := declared(body):
+                    for name in map(str.strip, names.split(",")):
+                        if name in found or (steps := selector(name)):
+                            own = found.setdefault(name, (found[name][0] if name in found else steps, {}))[1]
+                            for k, (important, shown) in said.items():
+                                own[k] = max(own.get(k, (False, 0, True)), (important, rules, shown))
     return found
 
 
 def hidden_selectors(node: Node, out: set[str]) -> set[str]:
-    """Simple selectors whose last rule hides on every screen."""
-    out |= {name for name, said in sheet(node).items() if not all(v for _, v in said.values())}
+    """Simple selectors whose rules hide on every screen."""
+    out |= {name for name, (_, said) in sheet(node).items() if SIMPLE.match(name) and not all(v[2] for v in said.values())}
     return out
 
 
-def styled(node: Node, rules: dict[str, dict[str, tuple[int, bool]]]) -> dict[str, bool]:
-    """What styles say of an element: those of its own attribute, else of its id, its classes (the last rule) or its tag."""
-    out: dict[str, bool] = {}
-    if rules:
-        a = node.attrs
-        classes = [v for c in a.get("class", "").split() if (v := rules.get(f".{c}"))]
-        for level in ([rules.get(node.tag, {})], classes, [rules.get(f"#{a.get('id')}", {})]):
-            for k in ("display", "visibility"):
-                if said := [v[k] for v in level if k in v]:
-                    out[k] = max(said)[1]
-    if "style" in node.attrs:
-        out |= declared(node.attrs["style"])
-    return out
+class Styles:
+    """The page's rules by something that the elements they are about have. Rules about elements within others are
+    looked at only where all the names they ask for are around, so a page takes time in proportion to its
+    elements and the rules that name them."""
+
+    def __init__(self, root: Node):
+        self.rules: dict[str, list[tuple]] = {}
+        self.nested = False
+        for steps, said in sheet(root).values():
+            weight = (sum(len(s.ids) for s in steps), sum(len(s.classes) + len(s.attrs) for s in steps), sum(s.tag is not None for s in steps))
+            needs = frozenset(n for s in steps[:-1] for n in ([s.tag] if s.tag else []) + [f".{c}" for c in s.classes] + [f"#{i}" for i in s.ids])
+            self.nested |= len(steps) > 1
+            self.rules.setdefault(steps[-1].key(), []).append((steps, needs, weight, said))
+        self.above: dict[int, Node | None] = {id(root): None}
+
+    def within(self, node: Node, around: frozenset[str]) -> frozenset[str]:
+        """The names around the children of an element."""
+        own = names_of(node) if self.nested else ()
+        return around if all(n in around for n in own) else around.union(own)
+
+    def of(self, node: Node, parent: Node, around: frozenset[str]) -> dict[str, bool]:
+        """What styles say of an element: by importance, then those of its own attribute before rules, then by what the
+        selector names (ids, classes and attributes, tags), then the last."""
+        best: dict[str, tuple] = {}
+        if self.rules:
+            if self.nested:
+                self.above[id(node)] = parent
+            for key in {"*", *names_of(node)}:
+                for steps, needs, weight, said in self.rules.get(key, ()):
+                    if needs <= around and steps[-1].fits(node) and (len(steps) == 1 or leads(steps, node, self.above)):
+                        for k, (important, place, shown) in said.items():
+                            best[k] = max(best.get(k, ()), (important, False, weight, place, shown))
+        if "style" in node.attrs:
+            for k, (important, shown) in declared(node.attrs["style"]).items():
+                best[k] = max(best.get(k, ()), (important, True, (), 0, shown))
+        return {k: v[-1] for k, v in best.items()}
 
 
 def prune(root: Node) -> None:
-    """Take out what is not shown. An element without visibility loses its text but keeps elements that are made visible."""
-    rules = sheet(root)
+    """Take out what is not shown. An element without visibility loses its text but keeps elements that are made visible.
+    A hidden attribute, and a dialog that is not open, give way to a style that says how to display the element."""
+    styles = Styles(root)
     order: list[tuple[Node, Node | None, bool]] = []
-    todo: list[tuple[Node, Node | None, bool]] = [(root, None, True)]
+    todo: list[tuple[Node, Node | None, bool, frozenset[str]]] = [(root, None, True, frozenset())]
     while todo:
-        node, parent, shown = todo.pop()
+        node, parent, shown, around = todo.pop()
+        around = styles.within(node, around)
         order.append((node, parent, shown))
         kept = []
         for c in node.children:
@@ -292,11 +417,13 @@ def prune(root: Node) -> None:
                 if shown:
                     kept.append(c)
                 continue
-            a, said = c.attrs, styled(c, rules) if rules or "style" in c.attrs else {}
-            if c.tag in UNSEEN or "hidden" in a or (c.tag == "input" and a.get("type", "").lower() == "hidden") or (c.tag == "dialog" and "open" not in a) or not said.get("display", True):
+            a, said = c.attrs, styles.of(c, node, around) if styles.rules or "style" in c.attrs else {}
+            if c.tag in UNSEEN or UNDRAWN_MARK in a or (c.tag == "input" and a.get("type", "").lower() == "hidden"):
+                continue
+            if not said.get("display", "hidden" not in a and (c.tag != "dialog" or "open" in a)):
                 continue
             kept.append(c)
-            todo.append((c, node, said.get("visibility", shown)))
+            todo.append((c, node, said.get("visibility", shown), around))
         node.children = kept
     for node, parent, shown in reversed(order):
         if parent is not None and not shown:
@@ -416,8 +543,13 @@ def _list(node: Node) -> list[str]:
     return lines
 
 
+#: Stands where a group of rows begins or ends; no cell spans beyond it.
+GROUP_END = Node("", {})
+
+
 def _table(node: Node) -> list[str]:
-    """Caption, then a line per row (or more, if a cell has several), cells padded to their column's width."""
+    """Caption, then a line per row (or more, if a cell has several), cells padded to their column's width. A rowspan of 0
+    reaches to the end of its group of rows."""
     lines: list[str] = []
     rows: list[list[list[str]]] = []
     taken: dict[int, int] = {}  # columns that cells from above still cover, and for how many rows
@@ -428,10 +560,12 @@ def _table(node: Node) -> list[str]:
         if isinstance(x, str):
             if x.strip():
                 lines.append(BLANKS.sub(" ", x).strip())
+        elif x is GROUP_END:
+            taken = {}
         elif not visible(x):
             continue
         elif x.tag in ("tbody", "thead", "tfoot"):
-            todo += reversed(x.children)
+            todo += [GROUP_END, *reversed(x.children), GROUP_END]
         elif x.tag == "tr":
             row: list[list[str]] = []
             begun: dict[int, int] = {}
@@ -443,6 +577,7 @@ def _table(node: Node) -> list[str]:
                     while taken.get(len(row), 0) > 0:
                         row.append([])
                     wide, high = count(cell.attrs.get("colspan", ""), 100), count(cell.attrs.get("rowspan", ""), 65534)
+                    high = high or 65534
                     begun |= {len(row) + i: high - 1 for i in range(max(1, wide))}
                     row += [[y for y in _lines(cell) if y], *([[]] * (wide - 1))]
             taken = {k: v for k, v in ({k: v - 1 for k, v in taken.items()} | begun).items() if v > 0}
@@ -475,8 +610,9 @@ def render(source: str | None) -> str:
 def extract_text(pages: DataFrame) -> DataFrame:
     """Visible text of ``pages`` (page_id, html, ...) laid out as a reader sees it.
 
-    A tree builder supplies implied tags; scripts, styles, heads and elements that attributes or simple style rules
-    hide on every screen, by the cascade of those, are left out (rules for print, or for screens of some sizes only, hide nothing); text in
+    A tree builder supplies implied tags; scripts, styles, heads and elements that attributes or style rules
+    hide on every screen, by the cascade of those, are left out (rules for print, or for screens of some sizes only, hide
+    nothing, nor do selectors of siblings and pseudo-classes); text in
     drawings and formulas is read; blocks stand on lines of their own, paragraphs apart by blank lines, list items behind marks,
     and table cells in aligned columns. Pages are independent rows: one pass, no shuffle.
 
