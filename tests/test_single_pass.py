@@ -54,3 +54,16 @@ def test_leaves_are_large_enough_for_hot_keys():
 
     n = 3_600_000
     assert n / ordered.CHUNK * n / (ordered.LEAF_ROWS / 2) < 20_000
+
+
+def test_snapshot_files_outlive_their_table(spark, tmp_path):
+    from lexatlas.sources import crawl
+
+    docs = spark.createDataFrame([("a", "h1", "x", 1), ("a", "h1", "x", 1), ("b", "h2", "y", 2)], "domain string, content_hash string, text string, created_at long")
+    none = docs.select("domain", "content_hash").limit(0)
+    for _ in range(2):
+        crawl.append_snapshot_table(docs, none, "kept_files", 2, f"{tmp_path}/t")
+    files = sorted(p.name for p in (tmp_path / "t").glob("*.parquet"))
+    spark.sql("DROP TABLE kept_files")
+    assert files == sorted(p.name for p in (tmp_path / "t").glob("*.parquet"))
+    assert sorted(r["domain"] for r in spark.read.parquet(f"{tmp_path}/t").collect()) == ["a", "b"]
